@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, mixing, quality, sharding, warc
 from .common import documents
 
 
@@ -20,13 +20,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_quality_rules": quality.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
