@@ -46,3 +46,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+_MADE: dict = {}
+
+
+def once(key: str, make):
+    """make() of the first call with this key in this Python worker; keeps a few, so that tasks of one job share tables."""
+    if key not in _MADE:
+        while len(_MADE) >= 4:
+            _MADE.pop(next(iter(_MADE)))
+        _MADE[key] = make()
+    return _MADE[key]

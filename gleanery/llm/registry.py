@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sharding, warc
+from . import exact_dedup, mixing, quality, sentencepiece_codec, sharding, token_counts, warc
 from .common import documents
 
 
@@ -24,12 +24,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op7_sentencepiece, op8_token_counts, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
