@@ -73,6 +73,7 @@ def draw_slots(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame
     rows = rows.withColumn("count", F.greatest(F.lit(0).cast("long"), F.when(last, F.ceil(in_shard - uniform)).otherwise(edge("_hi")) - edge("_lo")))
     earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_from", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long"))).where("count > 0")
+    rows = rows.repartition("shard", "source_no")  # a few rows for each shard become its slots
     return rows.select("source_no", "n_blocks", "shard", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("count") - 1)).alias("turn"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, sharding, token_counts, warc
+from . import exact_dedup, language_id, mixing, quality, sentencepiece_codec, sharding, token_counts, warc
 from .common import documents
 
 
@@ -32,12 +32,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op7_sentencepiece, op8_token_counts, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op7_sentencepiece, op8_token_counts, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
