@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, sharding, token_counts, warc
+from . import exact_dedup, language_id, mixing, near_dedup, quality, sentencepiece_codec, sharding, substring_dedup, token_counts, warc
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_removed(documents(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op5_warc, op6_minhash_dedup, op7_sentencepiece, op8_token_counts, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op3_sharding, op4_substring_dedup, op5_warc, op6_minhash_dedup, op7_sentencepiece, op8_token_counts, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
