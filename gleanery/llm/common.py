@@ -58,3 +58,15 @@ def once(key: str, make):
             _MADE.pop(next(iter(_MADE)))
         _MADE[key] = make()
     return _MADE[key]
+
+
+def slices(texts, most_bytes: int = 4 << 20):
+    """(first, end) rows of parts of a column of strings, of about most_bytes each: bounds what a worker holds."""
+    lo = size = 0
+    for k, x in enumerate(texts):
+        size += x.as_buffer().size if x.is_valid else 0
+        if size >= most_bytes:
+            yield lo, k + 1
+            lo, size = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -12,19 +12,21 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, words
+from .common import once, slices, words
 
 UND = "und"
 #: Documents to learn from, about: all labelled ones if there are fewer, else a pseudorandom choice by doc_id.
 TRAIN_DOCUMENTS = 12_000
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+#: The longest run of bytes that counts as evidence.
+MOST_BYTES = 5
 SMOOTHING = 0.1
 SWITCH_PENALTY = 12.0
 #: No word counts more than this against a language of its script.
@@ -32,7 +34,6 @@ MOST_AGAINST = 8.0
 #: Share of a language's letters from which a script is one of its own.
 LEAST_SCRIPT_SHARE = 0.02
 REMEMBERED = 400_000
-LONGEST_WORD = 64
 
 # The first code points of runs of one script, and that script's name; letters elsewhere are "other".
 SCRIPT_RUNS = [
@@ -57,14 +58,24 @@ def word_script(word: str) -> str | None:
     return next((script_of(c) for c in word if c.isalpha()), None)
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the 1- to 4-grams of the word with its edges marked. Only the ends of a very long word are looked at,
-    as evidence of one word; the document's words all are."""
-    if len(word) > LONGEST_WORD:
-        word = word[: LONGEST_WORD // 2] + word[-LONGEST_WORD // 2 :]
-    marked = f"\x02{word.lower()}\x03"
-    n = len(marked)
-    return [crc32(marked[i : i + k].encode("utf-8", "replace")) % BUCKETS for k in (1, 2, 3, 4) for i in range(n - k + 1)]
+def letter_count(word: str) -> int:
+    return len(word) if word.isalpha() else sum(map(str.isalpha, word))
+
+
+def word_grams(some: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For n from 1 to MOST_BYTES, the bucket of the n bytes from each place of the words in lower case, their edges
+    marked, and whether they lie within one word; and each word's first place. No word is cut."""
+    parts = [f"\x02{w.lower()}\x03".encode("utf-8", "replace") for w in some]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join([*parts, bytes(MOST_BYTES)]), np.uint8).astype(np.uint64)
+    n = data.size - MOST_BYTES
+    left = np.repeat(starts + sizes, sizes) - np.arange(n)
+    code, out = np.zeros(n, np.uint64), []
+    for k in range(MOST_BYTES):
+        code = code * np.uint64(257) + data[k : n + k] + np.uint64(1)
+        out.append((((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), left > k))
+    return out, starts
 
 
 class Model:
@@ -96,18 +107,19 @@ def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Model:
         sums: dict[str, np.ndarray] = {}
         letters: dict[str, dict[str, int]] = {}
         for batch in batches:
-            buckets: dict[str, list[list[int]]] = {}
-            weights: dict[str, list[int]] = {}
+            found: dict[str, tuple[list[str], list[int]]] = {}
             for lang, word, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (script := word_script(word)) is None:
                     continue
                 own = letters.setdefault(lang, {})
-                own[script] = own.get(script, 0) + times * sum(map(str.isalpha, word))
-                buckets.setdefault(lang, []).append(grams(word))
-                weights.setdefault(lang, []).append(times)
-            for lang, lists in buckets.items():
-                each = np.repeat(weights[lang], list(map(len, lists)))
-                sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(lists), each, BUCKETS).astype(np.int64)
+                own[script] = own.get(script, 0) + times * letter_count(word)
+                some, weights = found.setdefault(lang, ([], []))
+                some.append(word)
+                weights.append(times)
+            for lang, (some, weights) in found.items():
+                levels, starts = word_grams(some)
+                each = np.repeat(weights, np.diff(np.append(starts, levels[0][0].size)))
+                sums[lang] = sums.get(lang, 0) + sum(np.bincount(at[inside], each[inside], BUCKETS) for at, inside in levels).astype(np.int64)
         langs = list(sums)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "counts": pa.array([sums[x].tobytes() for x in langs], pa.binary()), "letters": pa.array([list(letters[x].items()) for x in langs], pa.map_(pa.string(), pa.int64()))})
 
@@ -125,14 +137,16 @@ def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Model:
 def best_labels(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The label of each row that maximises the sum of scores less `penalty` for each change of label.
 
-    One label throughout is best if the label with the highest sum is nowhere beaten, over any run of rows, by more than
-    half the penalty: n changes make n + 1 runs, which gain no more than n + 1 halves. Only other cases take the
-    Viterbi loop. Of equal paths that with lower label numbers wins, from the end."""
+    One label throughout is best unless leaving it pays: a run of other labels costs one penalty at an edge, two inside,
+    and gains at most the sum of what the best other label is ahead by, row by row. Only where some run gains more is
+    the Viterbi loop needed. Of equal paths that with lower label numbers wins, from the end."""
     n, k = scores.shape
     top = int(scores.sum(0).argmax())
-    gains = np.cumsum(scores - scores[:, top : top + 1], axis=0)
-    lowest = np.minimum.accumulate(np.vstack([np.zeros((1, k), gains.dtype), gains[:-1]]), axis=0)
-    if k == 1 or float((gains - lowest).max()) <= penalty / 2:
+    if k == 1:
+        return np.zeros(n, np.int32)
+    ahead = np.concatenate([[0.0], np.cumsum(np.delete(scores, top, axis=1).max(axis=1) - scores[:, top], dtype=np.float64)])
+    inside = (ahead - np.minimum.accumulate(ahead)).max()
+    if inside <= 2 * penalty and ahead.max() <= penalty and ahead[-1] - ahead.min() <= penalty:
         return np.full(n, top, np.int32)
     path, came = [0.0] * k, np.empty((n, k), np.int32)
     labels = range(k)
@@ -171,35 +185,50 @@ class Labeller:
             self.rows, self.letters = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
         for lo in range(0, len(fresh), 4096):
             part = fresh[lo : lo + 4096]
-            buckets = list(map(grams, part))
-            starts = np.cumsum([0, *map(len, buckets)][:-1])
-            sums = np.add.reduceat(model.table[np.concatenate(buckets)], starts, axis=0)
+            levels, starts = word_grams(part)
+            gains = np.zeros((levels[0][0].size, len(model.langs)), np.float32)
+            for at, inside in levels:
+                gains[inside] += model.table[at[inside]]
+            sums = np.add.reduceat(gains, starts, axis=0)
+            of_script: dict[str | None, list[int]] = {}
             for k, word in enumerate(part):
-                letters = sum(map(str.isalpha, word))
-                allowed = model.scripts.get(word_script(word) or "", ())
-                row = np.zeros(len(model.langs), np.float32)
-                if letters and allowed:
-                    own = sums[k][list(allowed)]
-                    row[:] = -2 * MOST_AGAINST
-                    row[list(allowed)] = np.maximum(own - own.max(), -MOST_AGAINST)
-                self.rows[first + lo + k], self.letters[first + lo + k] = row, letters if allowed else 0
+                script = word_script(word)
+                of_script.setdefault(script, []).append(k)
+                if script in model.scripts:
+                    self.letters[first + lo + k] = letter_count(word)
                 self.known[word] = first + lo + k
-
-    def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """For each word of the text its label (-1: in no language's script, or without letters) and its letters."""
-        found = text.encode("utf-8", "surrogatepass").split()
-        found = b" ".join(found).decode("utf-8", "surrogatepass").split(" ") if found else []
-        if fresh := [w for w in dict.fromkeys(found) if w not in self.known]:
-            if len(self.known) + len(fresh) > REMEMBERED and self.known:
-                self.forget()
-                fresh = list(dict.fromkeys(found))
-            self.learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        letters = self.letters[at]
-        labels = np.full(len(found), -1, np.int32)
-        if (some := np.flatnonzero(letters)).size:
-            labels[some] = best_labels(self.rows[at[some]], SWITCH_PENALTY)
-        return labels, letters
+            for script, some in of_script.items():
+                at, allowed = np.array(some), model.scripts.get(script)
+                if allowed:
+                    own = sums[np.ix_(at, allowed)]
+                    rows = np.full((at.size, len(model.langs)), -2 * MOST_AGAINST, np.float32)
+                    rows[:, allowed] = np.maximum(own - own.max(axis=1, keepdims=True), -MOST_AGAINST)
+                    self.rows[first + lo + at] = rows
+                else:
+                    self.letters[first + lo + at] = 0
+
+    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its words' labels (-1: in no language's script, or without letters) and letters."""
+        split = [[w.decode("utf-8", "replace") for w in t.encode("utf-8", "replace").split()] if not t.isascii() else t.translate(_ONLY_ASCII).split() for t in texts]
+        every = dict.fromkeys(w for found in split for w in found)
+        fresh = [w for w in every if w not in self.known]
+        if fresh and self.known and len(self.known) + len(fresh) > REMEMBERED:
+            self.forget()
+            fresh = list(every)
+        self.learn(fresh)
+        out = []
+        for found in split:
+            at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+            letters = self.letters[at]
+            labels = np.full(len(found), -1, np.int32)
+            if (some := np.flatnonzero(letters)).size:
+                labels[some] = best_labels(self.rows[at[some]], SWITCH_PENALTY)
+            out.append((labels, letters))
+        return out
+
+
+#: str.split() also splits at these ASCII control characters, which are parts of words here.
+_ONLY_ASCII = {c: "\x01" for c in range(0x1C, 0x20)}
 
 
 def identify(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
@@ -217,10 +246,9 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
 
     def run(batches):
         labeller = once(key, lambda: Labeller(shipped.value))
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(whole.column(text_at), 1 << 20)):
             out: list[list] = [[] for _ in added]
-            for text in batch.column(text_at):
-                labels, letters = labeller.label(text.as_py()) if text.is_valid and langs else (np.empty(0, np.int32), np.empty(0, np.int32))
+            for labels, letters in labeller.label([x if x and langs else "" for x in batch.column(text_at).to_pylist()]):
                 share = np.bincount(labels[labels >= 0], weights=letters[labels >= 0], minlength=1)
                 top, total = int(share.argmax()), float(share.sum())
                 row = [langs[top], float(share[top]) / total] if total else [UND, 0.0]
