@@ -6,8 +6,10 @@ choice of places left out, and all pairs under that distance share a key. (Pairs
 chunk is that alike: at the similarity threshold 3 in 100,000 are not.) Candidates are confirmed on their full sets.
 
 Equal sets are one class from the start, and pairs are of classes. A key's members are first held against the smallest
-of them alone; only where this leaves a key's members in different components are the pairs across components compared,
-all of them. Groups of near copies thus cost as many comparisons as they have members, and no link is given up.
+of them, their leader, alone. Where this leaves a leader's members in different components, all pairs across components
+are compared, in blocks of bounded size: by signatures, then, for members that have a near one there, by their full
+sets, as products of a 0/1 matrix. A block returns only links that join components, so neither pairs nor texts multiply,
+and no link is given up that would join two components.
 """
 
 from __future__ import annotations
@@ -147,25 +149,108 @@ def near_links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, perce
     docs: doc_id, text. signed: id, n, signature of one document for each class of equal sets."""
     keys = index_keys(signed)
     first = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    stars = written(keys.join(first, "key"), "stars")
-
-    def links(pairs: DataFrame, tag: str) -> DataFrame:
-        near = written(near_signatures(pairs.distinct(), signed, most, percent), f"near_{tag}")
-        ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"])
-        return written(confirmed(near, written(texts, f"texts_{tag}"), shingle, percent), f"links_{tag}")
-
-    to_first = links(stars.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), "first")
-    labels = components(to_first)
-    members = stars.where("members > 2").select("key", "id", "n", "leader").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    members = written(members.withColumn("component", F.coalesce("component", "id")), "members")
-    split = written(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "split_keys")
-    if split.isEmpty():
-        return to_first
-    rest = written(members.join(split, "key", "left_semi"), "split_members")
-    a, b = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("leader").alias(f"l_{x}")) for x in "ab")
-    across = a.join(b, "key").where((F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.col("b") != F.col("l_b")) & sizes_allow(F.col("n_a"), F.col("n_b"), percent))
-    return to_first.unionByName(links(across.select("a", "b"), "across"))
+    members = written(keys.join(first, "key").select("leader", "id", "n").distinct(), "members")
+    near = _in_blocks(members, signed.select("id", "signature"), 20_000, _near_members(most, percent)).select("leader", F.col("a").alias("id")).distinct()
+    near = written(members.join(near, ["leader", "id"], "left_semi"), "near_members")
+    # The one pass of all texts through a shuffle; by merging whatever the size, as the ids grow with the documents.
+    ids = near.select("id").union(near.select("leader")).distinct().hint("merge")
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near_texts")
+    stars = near_signatures(near.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), signed, most, percent)
+    to_leader = written(confirmed(stars, texts, shingle, percent), "links_to_leaders")
+    labels = components(to_leader)
+    near = written(near.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near_components")
+    mixed = written(near.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("leader"), "mixed_leaders")
+    if mixed.isEmpty():
+        return to_leader
+    found = written(_in_blocks(near.join(mixed, "leader", "left_semi"), texts, 2_000, _joining_links(shingle, percent)).select("a", "b").distinct(), "joining")
+    return to_leader.unionByName(written(confirmed(found, texts, shingle, percent), "links_across"))
+
+
+#: Members of a leader in one block; two blocks are compared at a time.
+BLOCK = 512
+
+
+def _in_blocks(members: DataFrame, contents: DataFrame, rows_at_once: int, compare) -> DataFrame:
+    """leader, a, b: what compare gives for every two blocks (and each alone) of every leader's members. Many small
+    groups go in one call. members: leader, id and more for compare, contents: id and the rest for it. A member of a leader
+    with g blocks is sent g times."""
+    members = written(members, "to_compare")
+    sizes = written(members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1"), "blocks")
+    rows = members.join(sizes, "leader", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_blocks", "_other")
+    total = members.count()
+    rows = rows.withColumn("_call", F.pmod(F.xxhash64("leader", "_i", "_j"), F.lit(max(1, total // rows_at_once))).cast("int")).join(contents, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("leader", "ascending"), ("_i", "ascending"), ("_j", "ascending"), ("id", "ascending")])
+        at = np.stack([table.column(c).to_numpy() for c in ("leader", "_i", "_j")])
+        edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+        out = [(int(at[0, lo]), a, b) for lo, hi in zip(edges, edges[1:], strict=False) if hi - lo > 1 for a, b in compare(table.slice(lo, hi - lo))]
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("leader", "a", "b"))})
+
+    return rows.groupBy("_call").applyInArrow(run, "leader long, a long, b long")
+
+
+def _near_members(most: int, percent: int):
+    """(id, id) of each member with another whose signature and size are near."""
+
+    def compare(table: pa.Table):
+        ids, n = (table.column(c).to_numpy() for c in ("id", "n"))
+        places = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, PLACES)
+        seen = np.zeros(ids.size, bool)
+        for k in range(ids.size):
+            if not seen[k]:
+                near = ((places[k][None, :] != places).sum(axis=1) <= most) & (np.minimum(n[k], n) * 100 >= np.maximum(n[k], n) * percent)
+                near[k] = False
+                if near.any():
+                    seen |= near
+                    seen[k] = True
+        yield from ((i, i) for i in ids[seen].tolist())
+
+    return compare
+
+
+def _joining_links(shingle: int, percent: int):
+    """Links between members, as many as it takes to join the components that links join."""
+
+    def compare(table: pa.Table):
+        signer = once("signer", Signer)
+        ids, own = table.column("id").to_pylist(), table.column("component").to_pylist()
+        sets = [shingle_hashes(t, shingle, signer.hasher) for t in table.column("text").to_pylist()]
+        sizes = np.array([s.size for s in sets], np.int64)
+        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        many = times[column] > 1
+        number = np.cumsum(times > 1) - 1
+        row, column = row[many], number[column[many]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if column.size else 0, width):
+            a, z = np.searchsorted(column, [lo, lo + width])
+            part = np.zeros((len(sets), min(width, int(column[z - 1]) - lo + 1)), np.float32)
+            part[row[a:z], column[a:z] - lo] = 1
+            both += part @ part.T
+        shared = np.rint(both).astype(np.int64)
+        linked = np.triu(100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared), 1)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for a, b in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            ra, rb = find(own[a]), find(own[b])
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+                yield ids[b], ids[a]
+
+    return compare
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
