@@ -67,3 +67,28 @@ def report_columns(frames: list[DataFrame], first: tuple[str, ...] = ("id", "typ
 def plan_bytes(rows: DataFrame) -> int:
     """The optimiser's estimate of the size."""
     return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def markdown(rows: DataFrame, digits: int = 3, most: int = 500) -> str:
+    """A small report as a Markdown table; an error for more than `most` rows."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)
+    lines = [rows.columns, ["---"] * len(rows.columns), *[[show(v) for v in r] for r in found]]
+    return "\n".join(f"| {' | '.join(line)} |" for line in lines) + "\n"
+
+
+def schema_versions(applied: DataFrame, known: list[str]) -> list[str]:
+    """The versions to apply yet, in sequence. applied: version. A version between applied ones is an error."""
+    have = {r[0] for r in applied.select("version").distinct().collect()}
+    left = [v for v in known if v not in have]
+    if left and have and min(left) < max(have):
+        raise ValueError(f"{min(left)} comes before versions that are applied")
+    return left
+
+
+def with_provenance(rows: DataFrame, label_sha: str, commit: str, dirty: bool, config: dict, wall_seconds: float) -> DataFrame:
+    """rows with what a run needs to be repeated, in every row."""
+    pairs = [x for k, v in sorted(config.items()) for x in (F.lit(k), F.lit(str(v)))]
+    return rows.withColumns({"label_sha": F.lit(label_sha), "commit": F.lit(commit), "dirty": F.lit(dirty), "config": F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"), "wall_seconds": F.lit(float(wall_seconds))})
