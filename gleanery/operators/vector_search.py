@@ -65,7 +65,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id: str = "ve
 
     found = vectors.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(score, "q long, id long, score double")
     names = F.array(*map(F.lit, qids))
-    rows = found.withColumn("qid", F.get(names, F.col("q").cast("int"))).where("score IS NOT NULL AND NOT isnan(score)")
+    rows = found.withColumn("qid", F.get(names, F.col("q").cast("int")).cast(queries.schema["qid"].dataType)).where("score IS NOT NULL AND NOT isnan(score)")
     return top_k(rows, k, ascending=metric == "l2").select("qid", "id", "score", "rank")
 
 

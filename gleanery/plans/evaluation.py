@@ -88,7 +88,7 @@ def page_hit_at_k(spark, d):
 def golden_problems(spark, d):
     """Benchmark items as labelled questions on the documents that their text is said to be in: the doc of the same id."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 7 == 0, "unanswerable").when(F.col("item_id") % 11 == 0, "odd").otherwise("factual").alias("type"))
-    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") * 37).alias("doc"), F.substring("text", 1, 12).alias("quote"))
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), (F.col("item_id") * 37).alias("doc"), F.col("text").alias("quote"))
     return evaluation.golden_violations(q, quotes, table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), ("factual", "unanswerable"))
 
 
@@ -227,7 +227,7 @@ SELECT u.qid, first_rank, round(coalesce(1 / first_rank, 0), 6) AS rr, {_METRICS
 SELECT qid, round(coalesce(avg(pr) FILTER (grade > 0), 0), 6) AS context_precision FROM o GROUP BY ALL""",
     "cited_evidence": f"WITH {_C}, {_E}, {_H}, {_G} SELECT qid, bool_or(grade > 0) AS cited_evidence FROM g WHERE rank <= 3 GROUP BY ALL",
     "page_hit_at_k": f"WITH {_C}, {_E}, {_H} SELECT h.qid, min(rank) AS first_rank FROM h JOIN e ON h.qid = e.qid AND h.doc = e.doc AND start // {STEP} BETWEEN char_start // {STEP} AND (char_end - 1) // {STEP} GROUP BY ALL",
-    "golden_problems": """WITH q AS (SELECT item_id AS qid, CASE WHEN item_id % 7 = 0 THEN 'unanswerable' WHEN item_id % 11 = 0 THEN 'odd' ELSE 'factual' END AS type, item_id * 37 AS doc, substr(text, 1, 12) AS quote FROM benchmark)
+    "golden_problems": """WITH q AS (SELECT item_id AS qid, CASE WHEN item_id % 7 = 0 THEN 'unanswerable' WHEN item_id % 11 = 0 THEN 'odd' ELSE 'factual' END AS type, item_id * 37 AS doc, text AS quote FROM benchmark)
 SELECT qid, 'unknown type' AS problem FROM q WHERE type = 'odd' UNION ALL SELECT qid, 'unanswerable with evidence' FROM q WHERE type = 'unanswerable'
 UNION ALL SELECT qid, 'unknown document' FROM q WHERE doc NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT qid, 'quote not found' FROM q JOIN documents ON doc = doc_id WHERE NOT contains(text, quote)""",
     "abstention_scores": f"""WITH {_S} SELECT lang, count(*) FILTER (pos) AS n_answerable, count(*) FILTER (NOT pos) AS n_unanswerable, round(count(*) FILTER (refused AND NOT pos) / nullif(count(*) FILTER (refused), 0), 6) AS abstention_precision,
