@@ -52,14 +52,23 @@ _MADE: dict = {}
 
 
 def once(key: str, make):
-    """make() of the first call with this key in this Python worker; keeps a few, so that tasks of one job share tables."""
+    """make() of the first call with this key in this Python worker, so that tasks of one job share tables. Keeps the last
+    key's alone: a worker goes on to other operators, and must not add up what they keep."""
     if key not in _MADE:
-        while len(_MADE) >= 4:
-            _MADE.pop(next(iter(_MADE)))
+        _MADE.clear()
         _MADE[key] = make()
     return _MADE[key]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from here on this session sends 4 MB to Python at a time, unless its own setting differs from Spark's default.
+    The default, 64 MB, is held several times over by each task that sends texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":
+        conf.set(name, "4m")
+    return df
+
+
 def slices(texts, most_bytes: int = 4 << 20):
     """(first, end) rows of parts of a column of strings, of about most_bytes each: bounds what a worker holds."""
     lo = size = 0

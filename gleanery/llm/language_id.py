@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, slices, words
+from .common import once, slices, small_batches, words
 
 UND = "und"
 #: Documents to learn from, about: all labelled ones if there are fewer, else a pseudorandom choice by doc_id.
@@ -33,7 +33,7 @@ SWITCH_PENALTY = 12.0
 MOST_AGAINST = 8.0
 #: Share of a language's letters from which a script is one of its own.
 LEAST_SCRIPT_SHARE = 0.02
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 # The first code points of runs of one script, and that script's name; letters elsewhere are "other".
 SCRIPT_RUNS = [
@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, (_, t, _) in zip(out, added, strict=True))], names=[*(f.name for f in rest), *(x[0] for x in added)])
 
-    return docs.select(*(f.name for f in rest)).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{n} {t}" for n, _, t in added)]))
+    return small_batches(docs.select(*(f.name for f in rest))).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{n} {t}" for n, _, t in added)]))
 
 
 def held_out() -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, written
+from .common import once, small_batches, written
 from .components import components
 from .hashing import RangeHash, joined_words, word_edges
 
@@ -79,7 +79,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n_shingles", "set_digest", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
 
 
 def index_keys(signed: DataFrame) -> DataFrame:

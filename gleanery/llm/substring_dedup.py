@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, small_batches
 from .hashing import RangeHash, joined_words, word_edges
 
 WINDOW, BLOCK = 50, 25
@@ -242,7 +242,7 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_words
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_groups = max(1, -(-total // group_bytes))
     bits = max(0, (max(1, total // 6 // bucket_words) - 1).bit_length())
-    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = small_batches(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def first(key, table):
         return probe(key[0].as_py(), Texts(table), bits)

@@ -12,10 +12,10 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import once
+from .common import once, small_batches
 from .vocabulary import DEFAULT_MODEL, NORMAL, SPACE, USER_DEFINED, Vocabulary, build_trie, read_model
 
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: What a word counts that the vocabulary can't spell.
 UNKNOWN_WORD_TOKENS = 1
 
@@ -108,4 +108,4 @@ def count_tokens(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text"
                     column.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *(pa.array(v, pa.int64()) for v in out)], names=[*(f.name for f in rest), *names])
 
-    return docs.select(*(f.name for f in rest), text).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{n} long" for n in names)]))
+    return small_batches(docs.select(*(f.name for f in rest), text)).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{n} long" for n in names)]))

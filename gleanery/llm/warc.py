@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, small_batches, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,7 +99,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 256 << 20)
 
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    return written(rows.select("page_id", "url", "html", "refers_to").mapInArrow(write, INDEX), "warc_index")
+    return written(small_batches(rows.select("page_id", "url", "html", "refers_to")).mapInArrow(write, INDEX), "warc_index")
 
 
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
