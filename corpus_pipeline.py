@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from gleanery.llm import exact_dedup, language_id, mixing, near_dedup, sentencepiece_codec
 from gleanery.llm.common import documents, written
 
-#: Below this share of its letters, no language is the document's.
-LEAST_SHARE = 0.5
+#: Below this share of its letters, no language is the document's. Texts of two or three languages stay.
+LEAST_SHARE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those of which no language has half the letters."""
+    """Rejects documents without letters, and those of which no language has a quarter of the letters."""
     model = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
     found = language_id.identify(docs, model, spans=False)
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
