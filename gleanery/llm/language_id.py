@@ -177,12 +177,12 @@ class Labeller:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1 << 14, len(self.model.langs)), np.float32)
-        self.letters = np.zeros(1 << 14, np.int32)
+        self.letters, self.foreign = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def learn(self, fresh: list[str]) -> None:
         model, first = self.model, len(self.known)
         while first + len(fresh) > len(self.rows):
-            self.rows, self.letters = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+            self.rows, self.letters, self.foreign = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.letters, self.foreign))
         for lo in range(0, len(fresh), 4096):
             part = fresh[lo : lo + 4096]
             levels, starts = word_grams(part)
@@ -194,8 +194,8 @@ class Labeller:
             for k, word in enumerate(part):
                 script = word_script(word)
                 of_script.setdefault(script, []).append(k)
-                if script in model.scripts:
-                    self.letters[first + lo + k] = letter_count(word)
+                if script is not None:
+                    (self.letters if script in model.scripts else self.foreign)[first + lo + k] = letter_count(word)
                 self.known[word] = first + lo + k
             for script, some in of_script.items():
                 at, allowed = np.array(some), model.scripts.get(script)
@@ -204,11 +204,10 @@ class Labeller:
                     rows = np.full((at.size, len(model.langs)), -2 * MOST_AGAINST, np.float32)
                     rows[:, allowed] = np.maximum(own - own.max(axis=1, keepdims=True), -MOST_AGAINST)
                     self.rows[first + lo + at] = rows
-                else:
-                    self.letters[first + lo + at] = 0
 
-    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its words' labels (-1: in no language's script, or without letters) and letters."""
+    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text its words' labels (-1: in no language's script, or without letters), their letters in such
+        scripts, and the letters of the other words."""
         split = [[w.decode("utf-8", "replace") for w in t.encode("utf-8", "replace").split()] if not t.isascii() else t.translate(_ONLY_ASCII).split() for t in texts]
         every = dict.fromkeys(w for found in split for w in found)
         fresh = [w for w in every if w not in self.known]
@@ -223,7 +222,7 @@ class Labeller:
             labels = np.full(len(found), -1, np.int32)
             if (some := np.flatnonzero(letters)).size:
                 labels[some] = best_labels(self.rows[at[some]], SWITCH_PENALTY)
-            out.append((labels, letters))
+            out.append((labels, letters, int(self.foreign[at].sum())))
         return out
 
 
@@ -234,9 +233,10 @@ _ONLY_ASCII = {c: "\x01" for c in range(0x1C, 0x20)}
 def identify(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
     """docs with lang_pred, score and (spans) lang_spans: array of first word, number of words and language.
 
-    lang_pred is the label of most letters (`und` if the text is null, has no letter, or none in a known script), score
-    its share of all letters in known scripts, 0 for `und`. Only the text is read. Columns of docs with the names of
-    results are replaced."""
+    lang_pred is the label of most letters, of equal ones the first language; `und` if the text is null or has no letter,
+    or nothing was learnt. score is its share of all letters, 0 for `und`; words in no language's script have no label,
+    so a text of such words alone gets the first language with score 0. Only the text is read. Columns of docs with the
+    names of results are replaced."""
     shipped, key, langs = docs.sparkSession.sparkContext.broadcast(model), f"labels {model.digest}", model.langs
     added = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")]
     if spans:
@@ -248,9 +248,9 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = True) -> DataFrame:
         labeller = once(key, lambda: Labeller(shipped.value))
         for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(whole.column(text_at), 1 << 20)):
             out: list[list] = [[] for _ in added]
-            for labels, letters in labeller.label([x if x and langs else "" for x in batch.column(text_at).to_pylist()]):
+            for labels, letters, foreign in labeller.label([x if x and langs else "" for x in batch.column(text_at).to_pylist()]):
                 share = np.bincount(labels[labels >= 0], weights=letters[labels >= 0], minlength=1)
-                top, total = int(share.argmax()), float(share.sum())
+                top, total = int(share.argmax()), float(share.sum()) + foreign
                 row = [langs[top], float(share[top]) / total] if total else [UND, 0.0]
                 if spans:
                     edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]

