@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import once
+from .common import once, slices, small_batches
 from .vocabulary import DEFAULT_MODEL, NORMAL, SPACE, USER_DEFINED, Vocabulary, build_trie, read_model
 
 UNKNOWN_PENALTY = 10.0
 #: Cuts remembered by a worker, and the longest that is, in characters.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 class Codec:
@@ -31,6 +31,9 @@ class Codec:
         self.cutter = None if inner else re.compile("".join([*breaks, "|"] if breaks else []) + f"{SPACE}*[^{SPACE}{''.join(breaks)}]+|{SPACE}+")
         self.trie = build_trie(usable)
         self.scores = vocabulary.scores
+        size = len(self.trie.check)
+        base = np.array(self.trie.base, np.int64)
+        self.tables = (np.where(base < 0, size, base), np.concatenate([np.array(self.trie.check, np.int64), np.full(512, -1)]), np.array(self.trie.value, np.int64), np.array(vocabulary.scores, np.float64))
         self.unknown_score = min(vocabulary.scores[k] for k in usable.values()) - UNKNOWN_PENALTY
         self.byte_ids = vocabulary.byte_ids
         self.packed = [int(k).to_bytes(4, "little") for k in range(len(vocabulary.pieces))]
@@ -81,23 +84,93 @@ class Codec:
             end = start
         return out[::-1]
 
-    def _split(self, cut: str) -> bytes:
-        found = self.known.get(cut)
-        if found is None:
-            found = b"".join(map(self.packed.__getitem__, self.best_split(cut)))
-            if len(cut) <= LONGEST:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[cut] = found
-        return found
+    def split_many(self, cuts: list[str]) -> list[bytes]:
+        """best_split of each, packed: the same steps, taken for all cuts of about one length at once."""
+        data = [c.encode("utf-8", "surrogatepass") for c in cuts]
+        out: list[bytes] = [b""] * len(cuts)
+        order = sorted(range(len(cuts)), key=lambda k: len(data[k]))
+        for lo in range(0, len(order), 8192):
+            own = order[lo : lo + 8192]
+            own_data = [data[k] for k in own]
+            longest = len(own_data[-1])
+            if longest > 4 * LONGEST:
+                for k in own:
+                    out[k] = self._packed(self.best_split(cuts[k]))
+                continue
+            for k, x in zip(own, self._split_block(own_data, longest), strict=True):
+                out[k] = x if x is not None else self._packed(self.best_split(cuts[k]))
+        return out
+
+    def _split_block(self, data: list[bytes], longest: int) -> list[bytes | None]:
+        """None for a cut whose best split leaves a character unknown."""
+        base, check, value, scores = self.tables
+        n = len(data)
+        sizes = np.fromiter(map(len, data), np.int64, n)
+        text = np.frombuffer(b"".join(x.ljust(longest + 1, b"\0") for x in data), np.uint8).reshape(n, longest + 1).astype(np.int64)
+        widths = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+        best, came, by = np.full((n, longest + 4), -np.inf), np.zeros((n, longest + 4), np.int32), np.full((n, longest + 4), -1, np.int32)
+        best[:, 0] = 0.0
+        for at in range(longest):
+            rows = np.flatnonzero((sizes > at) & (best[:, at] > -np.inf))
+            if not rows.size:
+                continue
+            here, node, alone, width = best[rows, at], np.zeros(rows.size, np.int64), np.zeros(rows.size, bool), widths[rows, at]
+            going, end = np.arange(rows.size), at
+            while going.size and end < longest:
+                child = base[node[going]] + text[rows[going], end]
+                ok = (check[child] == node[going]) & (end < sizes[rows[going]])
+                going, child = going[ok], child[ok]
+                node[going] = child
+                end += 1
+                piece = value[child]
+                hit = piece >= 0
+                if hit.any():
+                    some, piece = going[hit], piece[hit]
+                    score = here[some] + scores[piece]
+                    better = score > best[rows[some], end]
+                    into = rows[some[better]]
+                    best[into, end], came[into, end], by[into, end] = score[better], at, piece[better]
+                    alone[some] |= end - at == width[some]
+            lost = np.flatnonzero(~alone)
+            score, end_of = here[lost] + self.unknown_score, at + width[lost]
+            better = score > best[rows[lost], end_of]
+            into, end_of = rows[lost[better]], end_of[better]
+            best[into, end_of], came[into, end_of], by[into, end_of] = score[better], at, -1
+        ends, steps, known = sizes.copy(), [], np.ones(n, bool)
+        every = np.arange(n)
+        while (ends > 0).any():
+            on = ends > 0
+            piece = np.where(on, by[every, ends], -2)
+            known &= piece != -1
+            steps.append(piece)
+            ends = np.where(on, came[every, ends], 0)
+        pieces = np.array(steps[::-1], "<i4").T if steps else np.empty((n, 0), "<i4")
+        counts = (pieces != -2).sum(axis=1)
+        width, packed = pieces.shape[1], np.ascontiguousarray(pieces).tobytes()
+        return [packed[4 * ((k + 1) * width - c) : 4 * (k + 1) * width] if good else None for k, (c, good) in enumerate(zip(counts.tolist(), known.tolist(), strict=True))]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.packed.__getitem__, ids))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit integers, in sequence."""
+        prefix = SPACE if self.vocabulary.add_dummy_prefix else ""
+        escaped = [prefix + t.replace(" ", SPACE) if t else "" for t in texts]
+        split = [self.cutter.findall(x) if self.cutter else [x] * bool(x) for x in escaped]
+        every = dict.fromkeys(c for own in split for c in own)
+        fresh = [c for c in every if c not in self.known]
+        if self.known and len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = list(every)
+        found = dict(zip(fresh, self.split_many(fresh), strict=True))
+        long = {c: found.pop(c) for c in fresh if len(c) > LONGEST}
+        self.known.update(found)
+        if long:
+            return [b"".join([long[c] if c in long else self.known[c] for c in own]) for own in split]
+        return [b"".join(map(self.known.__getitem__, own)) for own in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers, in sequence."""
-        if not text:
-            return b""
-        escaped = (SPACE if self.vocabulary.add_dummy_prefix else "") + text.replace(" ", SPACE)
-        cuts = self.cutter.findall(escaped) if self.cutter else [escaped]
-        return b"".join(map(self._split, cuts))
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: marks become blanks, byte pieces the characters that they spell (U+FFFD where they spell
@@ -127,14 +200,14 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "t
         codec = once(key, lambda: Codec(shipped.value))
         marks = np.isin(np.arange(len(codec.packed)), codec.byte_ids)
         for batch in batches:
-            for lo, hi in slices(batch.column(columns.index(text))):
+            for lo, hi in slices(batch.column(columns.index(text)), 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 out: list[list] = [[] for _ in added]
-                for x in part.column(columns.index(text)).to_pylist():
+                texts = part.column(columns.index(text)).to_pylist()
+                for x, packed in zip(texts, codec.encode_many([x or "" for x in texts]), strict=True):
                     if x is None:
                         row = [None, 0, 0, None]
                     else:
-                        packed = codec.encode(x)
                         ids = np.frombuffer(packed, "<i4")
                         row = [hashlib.sha256(packed).hexdigest() if digests else ids, len(ids), int(marks[ids].sum()), codec.decode(ids.tolist()) == x]
                     for column, v in zip(out, row, strict=True):
@@ -142,19 +215,7 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "t
                 kept = [part.column(columns.index(f.name)) for f in rest]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, (_, t, _) in zip(out, added, strict=True))], names=[*(f.name for f in rest), *(n for n, _, _ in added)])
 
-    return docs.select(*columns).mapInArrow(encode, schema)
-
-
-def slices(texts, most_bytes: int = 4 << 20):
-    """(first, end) rows of parts of a column of strings, of about most_bytes each: bounds what a worker holds."""
-    lo = size = 0
-    for k, x in enumerate(texts):
-        size += x.as_buffer().size if x.is_valid else 0
-        if size >= most_bytes:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    return small_batches(docs.select(*columns)).mapInArrow(encode, schema)
 
 
 def decode_documents(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "piece_ids", into: str = "text") -> DataFrame:
@@ -170,4 +231,4 @@ def decode_documents(rows: DataFrame, model: str = DEFAULT_MODEL, ids: str = "pi
             texts = [None if x is None else codec.decode(x) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, into])
 
-    return rows.select(*names).mapInArrow(decode, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{into}` string"]))
+    return small_batches(rows.select(*names)).mapInArrow(decode, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{into}` string"]))
