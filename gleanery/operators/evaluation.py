@@ -50,12 +50,13 @@ def metrics_at(hits: DataFrame, spans: DataFrame, ideal: DataFrame, cuts: tuple[
     """For each question with spans: hit, recall, precision and ndcg at each cut, rr and first_rank of the whole list.
 
     Precision divides by the cut, also for shorter lists. ideal: qid, grade of the relevant chunks of the set."""
-    graded = hit_grades(hits, spans)
+    by_item = item_grades(hits, spans)
+    graded = by_item.groupBy("qid", "rank").agg(F.max("grade").alias("grade"))
     dcg = [F.sum(F.when(F.col("rank") <= k, gain(F.col("grade"), F.col("rank"))).otherwise(0.0)).alias(f"dcg@{k}") for k in cuts]
     found = [F.count_if((F.col("rank") <= k) & (F.col("grade") > 0)).alias(f"rel@{k}") for k in cuts]
     by_hit = graded.groupBy("qid").agg(*dcg, *found, F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("first_rank"))
     items = spans.groupBy("qid").agg(F.count_distinct("item").alias("items"))
-    first = item_grades(hits, spans).groupBy("qid", "item").agg(F.min("rank").alias("at"))
+    first = by_item.groupBy("qid", "item").agg(F.min("rank").alias("at"))
     covered = first.groupBy("qid").agg(*[F.count_if(F.col("at") <= k).alias(f"cov@{k}") for k in cuts])
     rows = items.join(by_hit, "qid", "left").join(covered, "qid", "left").join(ideal_dcg(ideal, cuts), "qid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
