@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
+from ..settings import Settings
 from .ranking import ranked, top_k
 
 
@@ -71,4 +72,12 @@ def retriever(mode: str, questions: DataFrame, docs: DataFrame, vectors: DataFra
     raise ValueError("mode is vector, keyword or hybrid")
 
 
-__all__ = ["cut", "hybrid", "lexical_overlap", "rerank", "retriever", "rrf", "top_k", "union_of", "weighted"]
+def configured(settings: Settings, questions: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Hits by the settings' mode, re-ranked if they say so: the first stage then finds max(rerank_n, top_k)."""
+    first = retriever(settings.mode, questions, docs, vectors, max(settings.rerank_n, settings.top_k) if settings.rerank else settings.top_k, settings.depth, settings.rrf_k)
+    if not settings.rerank:
+        return first
+    return rerank(first, questions, docs.select(F.col("doc_id").alias("id"), "text"), settings.top_k, settings.rerank_n)
+
+
+__all__ = ["configured", "cut", "hybrid", "lexical_overlap", "rerank", "retriever", "rrf", "top_k", "union_of", "weighted"]
