@@ -53,4 +53,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
+    return {"op1_quality_rules": quality.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_substring_dedup": substring_dedup.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_minhash_dedup": near_dedup.ORACLE_SQL}

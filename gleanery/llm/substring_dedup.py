@@ -285,3 +285,14 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     rows = remove_repeats(docs.select("doc_id", "text"))
     removed = F.aggregate("repeats", F.lit(0).cast("long"), lambda a, x: a + x["n_words"])
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM x JOIN f USING (h) WHERE first < doc_id),
+word AS (SELECT doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
