@@ -265,7 +265,15 @@ _T = "t AS (SELECT doc_id AS chunk_id, sha256(text) AS sha, text FROM documents)
 _V = "d AS (SELECT doc_id AS k, sha256(text) AS sha FROM documents), s AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE k % 3 <> 0)"
 QUERIES = {f.__name__: f for f in (page_blocks, page_sections, section_fixture, block_offset_violations, line_offsets, repeat_lines, lines_without_repeats, body_sizes, table_rows, heading_classes, page_regions, page_numbers_dropped, item_presence, two_column_order, covered_blocks, page_of_offset, first_page_holding, chunk_regions, chunks_fixed, chunks_recursive, chunks_structure, chunk_violations, chunk_shape, exact_duplicates, missing_embeddings, embedding_reuse, texts_to_embed, hashed_embeddings, upsert_actions, upserted_store, parse_queue, chunk_set_ids, cascade_delete, document_catalog, label_catalog, inspection_totals, near_empty_pages, unknown_sources, constraint_violations, citation_labels, rare_figures)}
 _EV = "e AS (SELECT item_id AS qid, doc_id AS doc, (i - 1)::INT AS start FROM (SELECT item_id, doc_id, b.text AS q, d.text AS t, length(b.text) AS n, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE substr(t, i, n) = q)"
+_BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "title"))
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(b, '(?is)^<[^>]*>|<[^>]*>$', '', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g')"
+for _entity, _plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _CLEAN = f"replace({_CLEAN}, '{_entity}', '{_plain}')"
 ORACLES = {
+    "page_blocks": rf"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+x AS (SELECT page_id, regexp_extract_all(h, '{_BLOCK}') AS l FROM h), y AS (SELECT page_id, i, l[i] AS b FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM x)),
+z AS (SELECT page_id, i, lower(regexp_extract(b, '^<([a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g')) AS text FROM y)
+SELECT page_id AS id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS block_index, tag, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN least(3, substr(tag, 2, 1)::INT) ELSE 0 END AS heading_level, text FROM z WHERE text <> ''""",
     "section_fixture": "SELECT * FROM (VALUES (0, ''), (1, 'PART I'), (2, 'PART I > Item 1'), (3, 'PART I > Item 1 > Sub'), (4, 'PART I > Item 1 > Sub'), (5, 'PART I > Item 2'), (6, 'PART I > Item 2'), (7, 'PART II'), (8, 'PART II')) AS v(block_index, section)",
     "block_offset_violations": "SELECT 0::BIGINT AS n",
     "line_offsets": """WITH l AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents), x AS (SELECT id, i, l[i] AS t FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
@@ -306,3 +314,7 @@ UNION ALL SELECT 'check discount', count(*) FROM lineitem WHERE l_discount < 0 H
     "citation_labels": "SELECT * FROM (VALUES (1, 'p. 7'), (2, 'pp. 90–91')) AS v(id, label)",
     "rare_figures": r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text || ' ' || format('{:,}', n_chars), '\b\d{1,3}(?:,\d{3})+\b')) AS figure FROM documents) SELECT figure, count(DISTINCT doc_id) AS n FROM f GROUP BY ALL HAVING count(DISTINCT doc_id) <= 2""",
 }
+ORACLES["page_sections"] = f"""WITH p AS ({ORACLES["page_blocks"]}), o AS (SELECT id, block_index AS i, heading_level AS lv, text FROM p),
+m AS (SELECT id, i, lv, max(i) FILTER (lv = 1) OVER w AS h1, max(i) FILTER (lv = 2) OVER w AS h2, max(i) FILTER (lv = 3) OVER w AS h3 FROM o WINDOW w AS (PARTITION BY id ORDER BY i))
+SELECT m.id, m.i AS block_index, m.lv AS heading_level, array_to_string(list_filter([a.text, CASE WHEN h2 > coalesce(h1, -1) THEN b.text END, CASE WHEN h3 > greatest(coalesce(h1, -1), coalesce(h2, -1)) THEN c.text END], lambda x: x IS NOT NULL), ' > ') AS section
+FROM m LEFT JOIN o a ON a.id = m.id AND a.i = h1 LEFT JOIN o b ON b.id = m.id AND b.i = h2 LEFT JOIN o c ON c.id = m.id AND c.i = h3"""

@@ -209,6 +209,10 @@ SELECT p.qid, attack, CASE WHEN rank >= 2 THEN rank + 1 ELSE rank END AS rank, c
     "detector_comparison": f"""WITH t AS (SELECT id IN (1, 2, 9) AS a, len(list_filter([{_SIG}], lambda x: x IS NOT NULL)) > 0 AS p, contains(lower(text), 'ignore') AS k FROM ({TEXTS}))
 SELECT 'patterns' AS detector, count(*) FILTER (p AND a) AS true_positives, count(*) FILTER (p AND NOT a) AS false_positives FROM t UNION ALL SELECT 'keyword', count(*) FILTER (k AND a), count(*) FILTER (k AND NOT a) FROM t""",
     "laundered_claims": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS v(qid, laundered)",
+    "guard_defuse": f"SELECT id, CASE id WHEN 7 THEN replace(text, '[4]', '(4)') WHEN 9 THEN replace(text, '<source', '‹source') ELSE text END AS body, (id IN (7, 9))::INT AS edits FROM ({TEXTS})",
+    "citation_report": f"""WITH e AS (SELECT * FROM (VALUES (1, '', '', 1), (2, '', '', 1), (3, '1,2,3', '', 0), (4, '', '', 1), (5, '', '', 1), (6, '', '', 1), (7, '2', '9,4', 0), (8, '1,2,3', '', 0), (9, '', '5', 0), (10, '', '', 0)) AS v(id, cited, invalid, uncited))
+SELECT id, cited, invalid, uncited, CASE id WHEN 7 THEN 'In summary: [2] .' || chr(10) || ' Acme 2022 Form 10-K' WHEN 8 THEN '[1] and [2, 3] are wide. insufficient_context' WHEN 9 THEN replace(text, '[5]', '') ELSE text END AS clean FROM e JOIN ({TEXTS}) USING (id)""",
+    "prompts": """SELECT qid, replace(t, '~', chr(10)) AS prompt FROM (VALUES (1, 'Sources:~~[1] passage 1~~[2] passage 3~~[3] passage 4~~[4] passage 5~~Question: one?'), (2, 'Sources:~~[1] passage 2~~[2] passage 3~~Question: two?'), (3, 'Sources:~~~Question: three?')) AS v(qid, t)""",
     "sse_events": "SELECT * FROM (VALUES ('s0', 'sources', '[1]'), ('s0', 'delta', '\"x\"'), ('s1', 'message', '\"a\"'), ('s1', 'message', '\"b\"'), ('s1', 'message', '7')) AS v(stream, event, data)",
     "refusals": f"SELECT id, id = 5 AS refused FROM ({TEXTS})",
     "stream_output_filter": "SELECT conv_id::VARCHAR AS request_id, sha256(string_agg(text, '' ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY ALL",
