@@ -34,11 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: not at all, or up to three times."""
-    taken = mixing.mix_documents(docs).groupBy(F.col("doc_id").alias("_mixed")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = taken.where("_size > 0").select("_mixed", F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_mixed")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """Whole documents, each not at all or up to three times, so that the words of every source come to its target."""
+    return mixing.whole_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,3 +117,21 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_sha
     taken = pieces.join(blocks, ["source_no", "block"], "left").groupBy("row_key", "doc_id", "size", "source", "source_no").agg(F.sum(shared * F.coalesce("times", F.lit(0))).alias("taken"))
     sums = sources.select("source_no", "source_size", "target")
     return taken.join(sums, "source_no").select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def whole_documents(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+    """docs, each row as often as the mix takes it whole: not at all, or up to most_repeats times. Same columns.
+
+    Every document of a source comes floor(rate) times, rate being target by size, and once more if it lies in the first
+    words of the source's pseudorandom order that are still wanted: the choice doesn't depend on a document's length, and
+    a source's words miss its target by half a document at most, the one that the cut goes through. Rows that share
+    doc_id, source and size count as one document there. Rows without words aren't taken."""
+    placed, sources = lay_out(docs, seed, ranges)
+    units = placed.where("size > 0").groupBy("doc_id", "source", "source_no", "size").agg(F.min("start").alias("start"), (F.count("*") * F.col("size")).alias("_words"))
+    units = units.join(sources.select("source_no", "source_size", "target"), "source_no")
+    rounds = F.floor(F.col("target") / F.col("source_size"))
+    more = F.col("start") + F.col("_words") / 2 <= F.col("target") - rounds * F.col("source_size")
+    units = units.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), (rounds + more.cast("long")).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.withColumn("_words", F.size(words(F.col("text"))).cast("long"))
+    rows = rows.join(units, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

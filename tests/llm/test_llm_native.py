@@ -1,6 +1,7 @@
 """Quality rules, exact dedup, sharding and mixing against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -174,3 +175,29 @@ def test_index_permutation_is_a_bijection(spark):
 
 def test_mix_of_an_empty_table(none):
     assert mixing.mix_documents(none).count() == 0
+
+
+def test_mixing_stage_meets_the_targets(spark):
+    """Long documents, and a third of all words in a source of weight 1: rates from about 0.1 to 3."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randrange(1, 1500), "en", "s00" if k % 3 == 0 else f"s{rng.randrange(1, 14):02}", k) for k in range(2000)]
+    rows += [(5000 + k, "w " * 300, "en", "s99", k) for k in range(3)] + [(None, "w " * 40, "en", None, k) for k in range(4)] + [(7000, " ", "en", "s01", 0), (7001, None, "en", "s01", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.lit("mine"))
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    size, taken, most, times = Counter(), Counter(), Counter(), Counter()
+    for _, text, _, source, _ in rows:
+        n = len((text or "").split())
+        size[source] += n
+        most[source] = max(most[source], n if source else 4 * n)
+    for r in got:
+        taken[r.source] += len(r.text.split())
+        times[r.doc_id, r.n_chars] += 1
+        assert r.size == "mine"
+    want = fill(dict(size))
+    assert max(times.values()) == 3 and min(t / size[s] for s, t in want.items()) < 0.2
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= most[s] / 2 + 1e-6
+    again = corpus_pipeline.mix_sources(spark, df.repartition(3), "").collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in again) == sorted((str(r.doc_id), r.n_chars) for r in got)
