@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import once, slices, small_batches, words
 
 UND = "und"
-#: Documents to learn from, about: all labelled ones if there are fewer, else a pseudorandom choice by doc_id.
+#: Documents to learn from, about: all labelled ones if there are fewer, else a pseudorandom choice by doc_id in each language.
 TRAIN_DOCUMENTS = 12_000
+#: No language is left fewer than about these, or all it has, however many languages share the documents.
+LEAST_OF_LANGUAGE = 32
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: The longest run of bytes that counts as evidence.
@@ -96,11 +98,27 @@ class Model:
         self.digest = hashlib.sha256(self.table.tobytes() + repr((self.langs, sorted(self.scripts.items()))).encode()).hexdigest()
 
 
+def training_sample(labelled: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """About train_documents rows of labelled: as many of each language, but all of a language that has fewer."""
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if sum(sizes.values()) <= train_documents:
+        return labelled
+    left, quota = train_documents, 0.0
+    for nth, n in enumerate(sorted(sizes.values())):
+        quota = left / (len(sizes) - nth)
+        if n > quota:
+            break
+        left -= n
+    quota = max(quota, LEAST_OF_LANGUAGE)
+    shares = [(lang, int((1 << 30) * min(1.0, quota / n))) for lang, n in sizes.items()]
+    small = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, _below long"))
+    return labelled.join(small, "lang").where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.col("_below")).drop("_below")
+
+
 def fit(docs: DataFrame, train_documents: int = TRAIN_DOCUMENTS) -> Model:
     """A model of the labelled rows of docs: doc_id, text, lang. Rows with a null in any of these are left out."""
     labelled = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    n = labelled.count()
-    chosen = labelled if n <= train_documents else labelled.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_documents / n))
+    chosen = training_sample(labelled, train_documents)
     counted = chosen.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
 
     def count(batches):

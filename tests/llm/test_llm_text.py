@@ -339,6 +339,19 @@ def test_language_of_odd_and_unlabelled_tables(docs, rows, none):
     assert language_id.predict(none).count() == 0
 
 
+def test_rare_language_is_learnt_from_a_large_table(spark):
+    rng = random.Random(12)
+    own = {"aa": "the of and that with house".split(), "bb": "der die und nicht mit haus".split(), "ру": "и в не на что дом".split()}
+    langs = [("aa", "bb")[k % 2] for k in range(1500)] + ["ру"] * 4
+    df = spark.createDataFrame([(k, " ".join(rng.choice(own[x]) for _ in range(12)), x) for k, x in enumerate(langs)], "doc_id long, text string, lang string")
+    model = language_id.fit(df, 100)
+    assert model.langs == sorted(own)
+    got = language_id.identify(df.where("lang = 'ру'"), model, spans=False).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("ру", 1.0)}
+    sample = {r["lang"]: r["count"] for r in language_id.training_sample(df, 100).groupBy("lang").count().collect()}
+    assert sample["ру"] == 4 and 70 <= sum(sample.values()) <= 130
+
+
 def test_pipeline_against_its_parts(spark, rows, tmp_path):
     import corpus_pipeline
 
