@@ -93,7 +93,8 @@ def phrase_matches(questions: DataFrame, docs: DataFrame, *, id: str = "doc_id",
 
 def ts_rank(questions: DataFrame, docs: DataFrame, k: int, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
     """qid, id, score, rank: term frequency without idf. A term adds the sum of 1 / n**2 for its n-th occurrence, divided
-    by its limit, times the weight 0.1; the sum of terms over 1 + ln(length in lexemes)."""
+    by its limit, times the weight 0.1; the sum of terms over 1 + ln(length in lexemes). Occurrences after the 100th add
+    nothing, as in the oracle SQL: they are 0.6 % of a term's weight at most."""
     terms = question_terms(questions, analyse=analyse)
     wanted = bounded_terms(terms.select("lexeme").distinct())
     rows = docs.select(F.col(id).alias("id"), analyse(F.col(text)).alias("_words")).withColumn("length", F.size("_words")).select("id", "length", F.explode("_words").alias("lexeme"))
