@@ -30,9 +30,12 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors share. A temporary one only in local mode, where that
+    is unset: there the driver runs all tasks. Elsewhere it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gleanery-")
     return f"{root.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
 
@@ -41,7 +44,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gleanery_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that `written` gave, when nothing will read it any more."""
+    spark, path = df.sparkSession, df._gleanery_path.rsplit("/", 1)[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def whole_ids(df: DataFrame, column: str) -> None:
+    """A TypeError, before any job, for a column that is not of whole numbers."""
+    if (kind := df.schema[column].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} must be a whole number, not {kind}")
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -1,16 +1,24 @@
-"""Hashes of many byte ranges of one text at once, with numpy.
+"""Words as numbers, and hashes of all windows of words of a text at once, with numpy.
 
-A prefix sum of the bytes' random numbers times powers of an odd base gives every range's polynomial in two look-ups,
-modulo 2**64; a finaliser spreads it. The arrays of powers grow to the longest text met.
+A word's number is its keyed BLAKE2b digest. A window's hash is a polynomial in these numbers modulo the prime 2**61 - 1,
+at a base that the key gives: with a key drawn for a run, no text written before it can hold planned collisions. Hashes
+choose candidates only; what is removed or linked is decided by digests of the words or by the words themselves.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 _BLANKS = bytes(range(9, 14))
 TO_BLANK = bytes(32 if b in _BLANKS else b for b in range(256))
 TO_LOWER_BLANK = bytes(32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_1, _30, _31, _61 = (np.uint64(n) for n in (1, 30, 31, 61))
+#: Words that a Words table remembers at a time.
+MOST_WORDS = 1 << 18
 
 
 def joined_words(text: bytes, lower: bool = False) -> bytes:
@@ -35,30 +43,64 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class RangeHash:
-    def __init__(self, seed: int) -> None:
-        random = np.random.Generator(np.random.PCG64(seed))
-        self.numbers = random.integers(0, 1 << 64, 256, np.uint64)
-        self.factor = int(random.integers(0, 1 << 62)) * 4 + 3
-        self.inverse = pow(self.factor, -1, 1 << 64)
+def folded(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it: halves of 31 bits, as 2**61 is 1."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle, low = a1 * b0 + a0 * b1, a0 * b0
+    return folded(((a1 * b1) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + (low & _P) + (low >> _61))
+
+
+class Words(dict):
+    """Numbers of words, made when first asked for; emptied when it holds MOST_WORDS."""
+
+    def __init__(self, key: bytes) -> None:
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        number = self[word] = int.from_bytes(blake2b(word, digest_size=8, salt=self.key).digest(), "little")
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class WindowHash:
+    """Hashes of all windows of a number of words. The tables of powers grow to the longest text met."""
+
+    def __init__(self, key: bytes) -> None:
+        self.words = Words(key)
+        self.base = int.from_bytes(blake2b(b"base", digest_size=16, salt=key).digest(), "little") % (PRIME - 2) + 2
+        self.inverse = pow(self.base, -1, PRIME)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
-        def powers(of: int, size: int) -> np.ndarray:
+        def powers(of: int) -> np.ndarray:
             out = np.ones(1, np.uint64)
-            while out.size < size:
-                out = np.concatenate([out, out * np.uint64(pow(of, out.size, 1 << 64))])
+            while out.size < n:
+                out = np.concatenate([out, product(out, np.uint64(pow(of, out.size, PRIME)))])
             return out
 
-        self.powers, self.inverses = powers(self.factor, n), powers(self.inverse, n)
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        if self.powers.size <= data.size:
-            self._grow(max(1 << 12, data.size + 1))
-        out = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(self.numbers[data] * self.powers[: data.size], out=out[1:])
-        return out
-
-    def ranges(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each range of bytes."""
-        return mixed((prefix[ends] - prefix[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        self.powers, self.inverses = powers(self.base), powers(self.inverse)
+
+    def windows(self, words: list[bytes], size: int) -> np.ndarray:
+        """A 64-bit hash of each run of `size` words: depends on the words alone, not on their place."""
+        n = len(words) - size + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        if self.powers.size < len(words):
+            self._grow(max(1 << 12, len(words)))
+        terms = product(folded(self.words.of(words)), self.powers[: len(words)])
+        # Sums modulo PRIME, by halves that can't overflow; multiplying by 2**31 turns 61 bits about.
+        high = folded(np.cumsum(terms >> _31))
+        upto = np.zeros(len(words) + 1, np.uint64)
+        upto[1:] = folded(((high << _31) & _P) + (high >> _30) + folded(np.cumsum(terms & _LOW31)))
+        return mixed(product(folded(upto[size:] + _P - upto[:n]), self.inverses[:n]))

@@ -5,11 +5,12 @@ CHUNKS * (ERRORS + 1) places agree, in some chunk, in all but ERRORS places; so
 choice of places left out, and all pairs under that distance share a key. (Pairs beyond it are found too, unless no
 chunk is that alike: at the similarity threshold 3 in 100,000 are not.) Candidates are confirmed on their full sets.
 
-Equal sets are one class from the start, and pairs are of classes. A key's members are first held against the smallest
-of them, their leader, alone. Where this leaves a leader's members in different components, all pairs across components
-are compared, in blocks of bounded size: by signatures, then, for members that have a near one there, by their full
-sets, as products of a 0/1 matrix. A block returns only links that join components, so neither pairs nor texts multiply,
-and no link is given up that would join two components.
+Texts of the same words in the same order (by SHA-256) are one class from the start, and pairs are of classes. A key's
+members are first held against one of them, their leader, alone: by signatures, then by their full sets. Only where this
+leaves a leader's members in different components are pairs across these compared, in blocks of bounded size: by
+signatures, then, for members that have a near one there, by their full sets, as products of a 0/1 matrix. A block returns
+only links that join components, so neither pairs nor texts multiply, and no link is given up that would join two
+components. Hashes choose candidates and nothing else: sets are counted, compared and confirmed by their words.
 """
 
 from __future__ import annotations
@@ -23,29 +24,43 @@ from pyspark.sql import functions as F
 
 from .common import once, small_batches, written
 from .components import components
-from .hashing import RangeHash, joined_words, word_edges
+from .hashing import Words, joined_words, mixed
 
 SHINGLE, PERCENT = 2, 80
 CHUNKS, PER_CHUNK, ERRORS, BITS = 12, 7, 1, 8
 PLACES = CHUNKS * PER_CHUNK
-#: Signatures of sets at the threshold differ in a fifth of their places, 16.8 of 84; six deviations more are not met.
-MOST_DIFFERENT = 38
-SEED = 20240607
+#: The signature distance up to which pairs with a common key are held against their full sets. Sets at the threshold of
+#: 80 % differ in a fifth of their places, 16.8 of 84, and in more than this many with a chance of 4 in 10**12.
+MOST_DIFFERENT = 46
+KEY = b"near-dedup words"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_hashes(text: str, size: int, hasher: RangeHash) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's shingles."""
-    joined = np.frombuffer(joined_words(text.encode("utf-8", "surrogatepass"), lower=True), np.uint8)
-    starts, ends = word_edges(joined)
-    if not starts.size:
+def words_of(text: str) -> list[bytes]:
+    return joined_words(text.encode("utf-8", "surrogatepass"), lower=True).split()
+
+
+def shingle_hashes(words: list[bytes], size: int, numbers: Words) -> np.ndarray:
+    """One 64-bit hash for each distinct shingle. Which shingles are the same is settled by the words, not by hashes."""
+    if not words:
         return np.empty(0, np.uint64)
-    n = max(1, starts.size - size + 1)
-    return np.unique(hasher.ranges(hasher.prefix(joined), starts[:n], ends[-n:]))
+    index = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    ids, own = np.fromiter(map(index.__getitem__, words), np.int64, len(words)), numbers.of(list(index))
+    size = min(size, len(words))
+    labels, hashes = ids, own
+    if size == 1:
+        return own
+    for k in range(1, size):
+        # The label of a shingle's first k words and its next word make the label of k + 1 words.
+        both = labels[: ids.size - k] * len(index) + ids[k:]
+        pairs, labels = np.unique(both, return_inverse=True) if k + 1 < size else (np.unique(both), labels)
+        hashes = mixed(hashes[pairs // len(index)] * _MIX + own[pairs % len(index)])
+    return hashes
 
 
 def shingle_set(text: str, size: int) -> set:
     """The shingles themselves."""
-    found = joined_words(text.encode("utf-8", "surrogatepass"), lower=True).split()
+    found = words_of(text)
     if not found:
         return set()
     return {tuple(found)} if len(found) < size else set(zip(*(found[k:] for k in range(size)), strict=False))
@@ -53,8 +68,8 @@ def shingle_set(text: str, size: int) -> set:
 
 class Signer:
     def __init__(self) -> None:
-        random = np.random.Generator(np.random.PCG64(SEED))
-        self.hasher = RangeHash(SEED)
+        random = np.random.Generator(np.random.PCG64(20240607))
+        self.numbers = Words(KEY)
         self.factors = random.integers(0, 1 << 63, (PLACES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.terms = random.integers(0, 1 << 63, (PLACES, 1), np.uint64)
 
@@ -65,21 +80,28 @@ class Signer:
         return (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
+def text_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, text. The key is the SHA-256 of the text as it stands, to find a row's text again."""
+    return docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_key"), "text")
+
+
 def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_digest, signature (both null for an empty set): a row for each of docs."""
+    """doc_id, text_key, n_shingles, class_digest, signature (both null for an empty set): a row for each of docs."""
 
     def run(batches):
         signer = once("signer", Signer)
         for batch in batches:
             out: list[list] = [[], [], []]
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), shingle, signer.hasher) if text.is_valid else np.empty(0, np.uint64)
-                row = (hashes.size, hashlib.sha256(hashes.tobytes()).digest()[:16], signer.signature(hashes)) if hashes.size else (0, None, None)
+            for text in batch.column(2):
+                words = words_of(text.as_py()) if text.is_valid else []
+                hashes = shingle_hashes(words, shingle, signer.numbers)
+                row = (hashes.size, hashlib.sha256(b" ".join(words)).digest(), signer.signature(hashes)) if words else (0, None, None)
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "n_shingles", "set_digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["doc_id", "text_key", "n_shingles", "class_digest", "signature"])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return small_batches(text_key(docs)).mapInArrow(run, f"doc_id {kind}, text_key binary, n_shingles long, class_digest binary, signature binary")
 
 
 def index_keys(signed: DataFrame) -> DataFrame:
@@ -143,26 +165,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most: int = MOST_DIFFERENT) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """id, text of these classes: a pass of the texts, joined by merging whatever the size, as ids grow with the documents."""
+    wanted = classes.select("id", "doc_id", "text_key").join(ids.distinct(), "id", "left_semi").hint("merge")
+    return written(text_key(docs).join(wanted, ["doc_id", "text_key"]).select("id", "text").dropDuplicates(["id"]), tag)
+
+
+def near_links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, most: int = MOST_DIFFERENT) -> DataFrame:
     """a, b: links that leave the components of all pairs of similar sets as they are.
 
-    docs: doc_id, text. signed: id, n, signature of one document for each class of equal sets."""
+    docs: doc_id, text. classes: id, n, signature, and by doc_id and text_key the row of docs that has the class's text."""
+    signed = classes.select("id", "n", "signature")
     keys = index_keys(signed)
     first = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = written(keys.join(first, "key").select("leader", "id", "n").distinct(), "members")
-    near = _in_blocks(members, signed.select("id", "signature"), 20_000, _near_members(most, percent)).select("leader", F.col("a").alias("id")).distinct()
-    near = written(members.join(near, ["leader", "id"], "left_semi"), "near_members")
-    # The one pass of all texts through a shuffle; by merging whatever the size, as the ids grow with the documents.
-    ids = near.select("id").union(near.select("leader")).distinct().hint("merge")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "near_texts")
-    stars = near_signatures(near.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), signed, most, percent)
+    stars = near_signatures(members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")), signed, most, percent)
+    stars = written(stars, "stars")
+    texts = _texts(docs, classes, stars.select(F.col("a").alias("id")).union(stars.select("b")), "texts_of_stars")
     to_leader = written(confirmed(stars, texts, shingle, percent), "links_to_leaders")
     labels = components(to_leader)
-    near = written(near.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near_components")
-    mixed = written(near.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("leader"), "mixed_leaders")
-    if mixed.isEmpty():
+    members = written(members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "member_components")
+    mixed_leaders = members.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi AND size > 2").select("leader")
+    # A member alone with its leader has been held against it already.
+    rest = members.join(written(mixed_leaders, "mixed_leaders"), "leader", "left_semi")
+    near = written(_in_blocks(rest, signed.select("id", "signature"), 20_000, _near_members(most, percent)).select("leader", F.col("a").alias("id")).distinct(), "near_across")
+    if near.isEmpty():
         return to_leader
-    found = written(_in_blocks(near.join(mixed, "leader", "left_semi"), texts, 2_000, _joining_links(shingle, percent)).select("a", "b").distinct(), "joining")
+    texts = _texts(docs, classes, near.select("id"), "texts_across")
+    found = written(_in_blocks(members.join(near, ["leader", "id"], "left_semi"), texts, 2_000, _joining_links(shingle, percent)).select("a", "b").distinct(), "joining")
     return to_leader.unionByName(written(confirmed(found, texts, shingle, percent), "links_across"))
 
 
@@ -194,44 +224,61 @@ def _in_blocks(members: DataFrame, contents: DataFrame, rows_at_once: int, compa
 
 
 def _near_members(most: int, percent: int):
-    """(id, id) of each member with another whose signature and size are near."""
+    """(id, id) of each member with another, of another component, whose signature and size are near."""
 
     def compare(table: pa.Table):
-        ids, n = (table.column(c).to_numpy() for c in ("id", "n"))
+        ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
         places = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, PLACES)
         seen = np.zeros(ids.size, bool)
-        for k in range(ids.size):
-            if not seen[k]:
-                near = ((places[k][None, :] != places).sum(axis=1) <= most) & (np.minimum(n[k], n) * 100 >= np.maximum(n[k], n) * percent)
-                near[k] = False
-                if near.any():
-                    seen |= near
-                    seen[k] = True
+        names, counts = np.unique(component, return_counts=True)
+        for k in np.flatnonzero(component != names[counts.argmax()]).tolist():
+            # Each pair across components has an end outside the largest one.
+            other = np.flatnonzero(component != component[k])
+            fits = other[np.minimum(n[k], n[other]) * 100 >= np.maximum(n[k], n[other]) * percent]
+            near = fits[(places[k][None, :] != places[fits]).sum(axis=1) <= most]
+            if near.size:
+                seen[near] = seen[k] = True
         yield from ((i, i) for i in ids[seen].tolist())
 
     return compare
 
 
+def _set_matrix(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts with words: each one's number of distinct shingles, then text and shingle number of each of them, for
+    shingles that several have."""
+    words = [words_of(t) for t in texts]
+    index: dict[bytes, int] = {}
+    ids = np.array([index.setdefault(w, len(index)) for own in words for w in own], np.int64)
+    text = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    end = np.cumsum([len(w) for w in words])[text]
+    labels, at = ids, np.arange(ids.size)
+    for k in range(1, size):
+        fits = at + k < end[at]
+        at = at[fits]
+        labels = np.unique(labels[fits] * len(index) + ids[at + k], return_inverse=True)[1].reshape(-1)
+    short = [k for k, w in enumerate(words) if len(w) < size]  # one shingle each, and no other text has it
+    both = np.unique(text[at] * (int(labels.max()) + 1 if labels.size else 1) + labels)
+    row, column = np.divmod(both, int(labels.max()) + 1 if labels.size else 1)
+    sizes = np.bincount(row, minlength=len(words))
+    sizes[short] = 1
+    times = np.bincount(column) if column.size else np.zeros(1, np.int64)
+    many = times[column] > 1
+    return sizes, row[many], (np.cumsum(times > 1) - 1)[column[many]]
+
+
 def _joining_links(shingle: int, percent: int):
     """Links between members, as many as it takes to join the components that links join."""
 
     def compare(table: pa.Table):
-        signer = once("signer", Signer)
         ids, own = table.column("id").to_pylist(), table.column("component").to_pylist()
-        sets = [shingle_hashes(t, shingle, signer.hasher) for t in table.column("text").to_pylist()]
-        sizes = np.array([s.size for s in sets], np.int64)
-        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        many = times[column] > 1
-        number = np.cumsum(times > 1) - 1
-        row, column = row[many], number[column[many]]
+        sizes, row, column = _set_matrix(table.column("text").to_pylist(), shingle)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((sizes.size, sizes.size), np.float32)
         width = 4096
         for lo in range(0, int(column[-1]) + 1 if column.size else 0, width):
             a, z = np.searchsorted(column, [lo, lo + width])
-            part = np.zeros((len(sets), min(width, int(column[z - 1]) - lo + 1)), np.float32)
+            part = np.zeros((sizes.size, min(width, int(column[z - 1]) - lo + 1)), np.float32)
             part[row[a:z], column[a:z] - lo] = 1
             both += part @ part.T
         shared = np.rint(both).astype(np.int64)
@@ -254,17 +301,35 @@ def _joining_links(shingle: int, percent: int):
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each of docs.
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs. doc_id keeps its type, whatever that is.
 
-    Texts without words (null ones too) are linked with nothing. Rows with a null doc_id are left unlinked, with a null
-    component. Rows that share a doc_id count as one document in the links. Only doc_id and text are read."""
+    Texts without words (null ones too) have no shingles and are linked with nothing. Rows with a null doc_id are left
+    unlinked, with a null component, and are kept. Rows that share a doc_id are one document: what one of them is linked
+    with, all are, and n_shingles is each row's own. An empty table gives none. Only doc_id and text are read, so other
+    columns may have any name. A text is held whole by one task."""
     docs = docs.select("doc_id", "text")
     base = written(sketch(docs, shingle), "sketches")
-    full = base.where("doc_id IS NOT NULL AND set_digest IS NOT NULL")
-    classes = written(full.groupBy("set_digest").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "signature")).alias("x")).select("set_digest", F.col("x.doc_id").alias("id"), "x.n", "x.signature"), "classes")
-    labels = components(near_links(docs, classes.select("id", "n", "signature"), shingle, percent))
-    classes = written(classes.select("set_digest", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_digest", F.coalesce("component", "id").alias("component")), "class_components")
-    rows = base.join(classes, "set_digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    full = base.where("doc_id IS NOT NULL AND class_digest IS NOT NULL")
+    classes = full.groupBy("class_digest").agg(F.min(F.struct("doc_id", "text_key", F.col("n_shingles").alias("n"), "signature")).alias("x"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "class_digest", "x.doc_id", "x.text_key", "x.n", "x.signature"), "classes")
+    links = near_links(docs, classes, shingle, percent)
+    no_words = F.coalesce("class_digest", F.lit(b""))
+    several = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(no_words).alias("lo"), F.max(no_words).alias("hi")).where("lo <> hi").select("doc_id")
+    several = written(several, "ids_with_several_texts")
+    repeated = not several.isEmpty()
+    if repeated:
+        own = written(full.join(several, "doc_id", "left_semi").select("doc_id", "class_digest").distinct().join(classes.select("class_digest", "id"), "class_digest").select("doc_id", "id"), "their_classes")
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    labels = written(components(links).withColumnRenamed("node", "id").join(classes.select("id", "class_digest", "doc_id"), "id"), "class_labels")
+    least = written(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
+    found = written(labels.join(least, "component").select("class_digest", "component_id"), "class_components")
+    alone = classes.join(found, "class_digest", "left_anti").select("class_digest", F.col("doc_id").alias("component_id"))
+    rows = base.select("doc_id", "n_shingles", "class_digest").join(found.unionByName(alone), "class_digest", "left")
+    if repeated:
+        # A row without words has the component of the other rows of its document.
+        common = rows.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("common"))
+        rows = rows.join(written(common, "components_of_ids"), "doc_id", "left").withColumn("component_id", F.coalesce("common", "component_id"))
+    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -2,8 +2,9 @@
 
 Reference blocks of BLOCK words at every BLOCK-th word of a document are indexed; every rolling window of BLOCK words
 probes the index. As any WINDOW >= 2 * BLOCK words hold a whole block of their own document, a repeat of that length is
-hit in both documents. Hits are extended: windows of WINDOW words about them are compared among all documents, by 96-bit
-hashes, and overlapping ones found in an earlier document make up the maximal repeats, which go.
+hit in both documents. Hits are extended: windows of WINDOW words about them are compared among all documents, by 128-bit
+cryptographic digests of their words under a key drawn for the run, and overlapping ones found in an earlier document make
+up the maximal repeats, which go. Rolling hashes only choose the windows: a clash costs a comparison and removes nothing.
 
 Documents are dealt into groups of bounded size by a hash. A group sends its distinct hashes, sorted and packed, to
 their buckets; a bucket answers with one bit for each hash in its place in the sorted list, so neither documents nor
@@ -13,17 +14,22 @@ The text is shuffled once; its exchange serves all three passes.
 
 from __future__ import annotations
 
+import os
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, small_batches
-from .hashing import RangeHash, joined_words, word_edges
+from .common import once, small_batches, whole_ids
+from .hashing import WindowHash, joined_words, word_edges
 
 WINDOW, BLOCK = 50, 25
-GROUP_BYTES, BUCKET_WORDS = 4 << 20, 1 << 20
-SEED = 77003
+#: Text of a group and words of a bucket: the least and the most. Between them both grow with the root of the input.
+GROUP_BYTES, BUCKET_WORDS = (4 << 20, 64 << 20), (1 << 20, 64 << 20)
+#: Hashes that a group sends to a bucket at least, on average, as long as the most are not reached.
+PARCEL_HASHES = 1000
 LAST = np.iinfo(np.int64).max
 PARCEL = "bucket int, part int, kind int, body binary, extra binary"
 NAMES = ["bucket", "part", "kind", "body", "extra"]
@@ -59,50 +65,39 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
 class Texts:
     """A group's documents, in an order that depends on nothing but their contents."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, key: bytes) -> None:
         rows = [(LAST if i is None else i, joined_words((t or "").encode("utf-8", "surrogatepass")), i) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True)]
         rows.sort(key=lambda r: r[:2])
         self.order, self.joined, self.ids = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-        self.hashers = once("substring hashers", lambda: (RangeHash(SEED), RangeHash(SEED + 1)))
-
-    def edges(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = np.frombuffer(self.joined[k], np.uint8)
-        return data, *word_edges(data)
+        self.key, self.hasher = key, once(f"substring hash {key.hex()}", lambda: WindowHash(key))
 
     def rolling(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """Keys of all rolling blocks (the hash's `bits` highest bits), which are aligned, their documents, and the
         number of blocks of each document."""
-        keys, aligned, docs, counts = [], [], [], []
-        for k in range(len(self.joined)):
-            data, starts, ends = self.edges(k)
-            n = max(0, starts.size - BLOCK + 1)
-            counts.append(n)
-            if n:
-                hasher = self.hashers[0]
-                keys.append(hasher.ranges(hasher.prefix(data), starts[:n], ends[BLOCK - 1 :]) >> np.uint64(64 - bits))
-                aligned.append(np.arange(n) % BLOCK == 0)
-                docs.append(np.full(n, k, np.int32))
-        if not keys:
+        keys = [self.hasher.windows(joined.split(), BLOCK) >> np.uint64(64 - bits) for joined in self.joined]
+        counts = [k.size for k in keys]
+        if not sum(counts):
             return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int32), counts
-        return np.concatenate(keys), np.concatenate(aligned), np.concatenate(docs), counts
+        return np.concatenate(keys), np.concatenate([np.arange(n) % BLOCK == 0 for n in counts]), np.repeat(np.arange(len(counts), dtype=np.int32), counts), counts
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the chosen of all windows: two hashes, document and first word."""
-        high, low, docs, firsts = [], [], [], []
+        """For the chosen of all windows: both halves of the digest of its words, document and first word."""
+        digests, docs, firsts = [], [], []
         at = 0
-        for k in range(len(self.joined)):
-            data, starts, ends = self.edges(k)
-            n = max(0, starts.size - WINDOW + 1)
+        for k, joined in enumerate(self.joined):
+            n = max(0, joined.count(b" ") + 2 - WINDOW) if joined else 0
             own = np.flatnonzero(chosen[at : at + n])
             at += n
             if own.size:
-                for hasher, into in zip(self.hashers, (high, low), strict=True):
-                    into.append(hasher.ranges(hasher.prefix(data), starts[own], ends[own + WINDOW - 1]))
+                starts, ends = word_edges(np.frombuffer(joined, np.uint8))
+                view = memoryview(joined)
+                digests += [blake2b(view[a:z], digest_size=16, salt=self.key).digest() for a, z in zip(starts[own].tolist(), ends[own + WINDOW - 1].tolist(), strict=True)]
                 docs.append(np.full(own.size, k, np.int32))
                 firsts.append(own)
-        if not high:
-            return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
-        return np.concatenate(high), (np.concatenate(low) >> np.uint64(32)).astype(np.uint32), np.concatenate(docs), np.concatenate(firsts)
+        if not digests:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
+        halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        return halves[:, 0].copy(), halves[:, 1].copy(), np.concatenate(docs), np.concatenate(firsts)
 
 
 def sorted_blocks(texts: Texts, bits: int):
@@ -193,7 +188,7 @@ def answer_windows(table: pa.Table) -> pa.Table:
     if sent:
         sizes = [len(r[4]) // 8 for r in sent]
         high = np.concatenate([unplanes(r[3][: 8 * n], np.uint64) for r, n in zip(sent, sizes, strict=True)])
-        low = np.concatenate([unplanes(r[3][8 * n :], np.uint32) for r, n in zip(sent, sizes, strict=True)])
+        low = np.concatenate([unplanes(r[3][8 * n :], np.uint64) for r, n in zip(sent, sizes, strict=True)])
         first = np.concatenate([unplanes(r[4], np.int64) for r in sent])
         order = np.lexsort((low, high))
         starts = run_starts(high[order], low[order])
@@ -233,26 +228,38 @@ def repeats(texts: Texts, chosen: np.ndarray | None, answers: dict[int, bytes],
     return out
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def exchange_sizes(total: int) -> tuple[int, int]:
+    """Bytes of a group and words of a bucket for so many bytes of text: a parcel, what a group sends to a bucket, holds
+    group * bucket / total hashes, so both grow alike until it has PARCEL_HASHES, or both are as large as a task can hold."""
+    factor = max(1.0, (PARCEL_HASHES * total / (GROUP_BYTES[0] * BUCKET_WORDS[0])) ** 0.5)
+    return min(GROUP_BYTES[1], int(GROUP_BYTES[0] * factor)), min(BUCKET_WORDS[1], int(BUCKET_WORDS[0] * factor))
+
+
+def remove_repeats(docs: DataFrame, group_bytes: int | None = None, bucket_words: int | None = None) -> DataFrame:
     """doc_id, n_words, repeats (array of first_word, n_words) and kept_text: one row for each of docs.
 
     A word goes if a window of WINDOW words that covers it also starts in a document with a smaller doc_id; kept_text is
     the other words joined by blanks. Windows are judged on the input. Null texts have no words. Rows with a null doc_id
-    come after all others, and rows of one doc_id are no reference for each other."""
+    come after all others, and rows of one doc_id are no reference for each other. doc_id is a whole number (else TypeError).
+    An empty table gives none. Other columns of docs are not read. A document is held whole by the task of its group."""
+    whole_ids(docs, "doc_id")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    own_sizes = exchange_sizes(total)
+    group_bytes, bucket_words = group_bytes or own_sizes[0], bucket_words or own_sizes[1]
+    salt = os.urandom(16)  # in the closures: a task that is run again uses the same
     n_groups = max(1, -(-total // group_bytes))
     bits = max(0, (max(1, total // 6 // bucket_words) - 1).bit_length())
     texts = small_batches(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def first(key, table):
-        return probe(key[0].as_py(), Texts(table), bits)
+        return probe(key[0].as_py(), Texts(table, salt), bits)
 
     def second(key, table, answers):
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
-        return extend(key[0].as_py(), Texts(table), got, bits) if table.num_rows else parcels([])
+        return extend(key[0].as_py(), Texts(table, salt), got, bits) if table.num_rows else parcels([])
 
     def third(key, table, answers):
-        own = Texts(table) if table.num_rows else None
+        own = Texts(table, salt) if table.num_rows else None
         kinds, buckets, bodies = (answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))
         got = {b: x for k, b, x in zip(kinds, buckets, bodies, strict=True) if k == HASHES}
         chosen = next((x for k, x in zip(kinds, bodies, strict=True) if k == ANCHORS), None)

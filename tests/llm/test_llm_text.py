@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language_id, near_dedup, sentencepiece_codec, substring_dedup, token_counts, vocabulary, warc
-from gleanery.llm.hashing import RangeHash
+from gleanery.llm.components import components
+from gleanery.llm.hashing import PRIME, WindowHash, Words, mixed, product
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -48,12 +49,54 @@ def test_repeats_of_an_empty_table(none):
     assert substring_dedup.repeats_removed(none).count() == 0
 
 
-def test_range_hash_depends_on_contents_only():
-    h = RangeHash(1)
-    data = np.frombuffer(b"abcabc" * 2000, np.uint8)
-    p = h.prefix(data)
-    at = np.arange(0, 11_000, 6)
-    assert len(set(h.ranges(p, at, at + 300).tolist())) == 1 and h.ranges(p, at[:1], at[:1] + 300) != h.ranges(p, at[:1] + 1, at[:1] + 301)
+def test_products_and_window_hashes_modulo_the_prime():
+    rng = random.Random(1)
+    a, b = ([rng.randrange(PRIME) for _ in range(500)] + [0, 1, PRIME - 1] for _ in range(2))
+    assert product(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % PRIME for x, y in zip(a, b, strict=True)]
+    h = WindowHash(b"k" * 16)
+    w = [b"%d" % rng.randrange(40) for _ in range(5000)]
+    numbers = [int(x) % PRIME for x in h.words.of(w)]
+    want = [sum(numbers[i + j] * pow(h.base, j, PRIME) for j in range(25)) % PRIME for i in range(len(w) - 24)]
+    assert h.windows(w, 25).tolist() == mixed(np.array(want, np.uint64)).tolist()
+    assert not h.windows(w[:24], 25).size and not h.windows([], 25).size
+
+
+def thue_morse(n, flip=0):
+    """Has the same hash as its complement under any polynomial modulo a power of 2."""
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def colliding_rows():
+    rng = random.Random(9)
+    out = []
+    for n in (1024, 2048):
+        t, u = thue_morse(n), thue_morse(n, 1)
+        tail, head = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "wv")
+        inside = [" ".join([*head, x, *tail]) for x in (t, u)]
+        out += [f"{t} {' '.join(tail)}", f"{u} {' '.join(tail)}", *inside, t, u, f"{t}\n{' '.join(head)}", f"{u}\n{' '.join(head)}", " ".join(t), " ".join(u)]
+    return [(k, t) for k, t in enumerate(out)]
+
+
+def test_texts_with_equal_polynomials_stay_apart(spark):
+    rows = colliding_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeats_removed(df).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_brute(rows)
+    sets, component = near_brute(rows)
+    for r in near_dedup.near_groups(df).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), component[r.doc_id], r.doc_id == component[r.doc_id])
+
+
+def test_parcels_grow_with_the_input():
+    for total in (0, 10**6, 5 * 10**8, 3 * 10**10):
+        group, bucket = substring_dedup.exchange_sizes(total)
+        assert 4 << 20 <= group <= 64 << 20 and 1 << 20 <= bucket <= 64 << 20 and group * bucket >= 999 * total
+    assert substring_dedup.exchange_sizes(10**14) == (64 << 20, 64 << 20)
+
+
+def test_ids_that_are_not_numbers_are_an_error_for_repeats(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        substring_dedup.remove_repeats(spark.createDataFrame([("a1", "x")], "doc_id string, text string"))
 
 
 def near_brute(rows, size=2):
@@ -89,6 +132,61 @@ def test_near_groups(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), component[r.doc_id], r.doc_id == component[r.doc_id])
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    other, near = " ".join(f"o{k}" for k in range(80)), " ".join([*base[:50], "changed", *base[51:]])
+    rows = [(1, other), (1, " ".join(base)), (2, near), (3, other + " end"), (4, "else " * 3), (4, None), (2, ""), (5, " "), (5, None)]
+    for order in (rows, rows[::-1]):
+        got = near_dedup.near_groups(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True)] * 2 + [(2, 1, False)] * 2 + [(3, 1, False)] + [(4, 4, True)] * 2 + [(5, 5, True)] * 2
+        assert {r.n_shingles for r in got if r.doc_id == 2} == {99, 0}
+    named = spark.createDataFrame([(f"a{i}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(named).collect()} == {"a1": "a1", "a2": "a1", "a3": "a1", "a4": "a4", "a5": "a5"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_shingles_are_counted_by_their_words(size):
+    rng = random.Random(size)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["x", "x y"]
+    numbers = Words(b"k" * 16)
+    sizes, row, column = near_dedup._set_matrix(texts, size)
+    sets = [near_dedup.shingle_set(t, size) for t in texts]
+    assert sizes.tolist() == [len(s) for s in sets] == [near_dedup.shingle_hashes(near_dedup.words_of(t), size, numbers).size for t in texts]
+    own = [set(column[row == k].tolist()) for k in range(len(texts))]
+    assert all(len(own[a] & own[b]) == len(sets[a] & sets[b]) for a in range(len(texts)) for b in range(a) if min(len(x.split()) for x in (texts[a], texts[b])) >= size)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 alone, so that no third text can join them: all but 1 in 1000 at least are found."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(1500):
+        w = [f"{k}x{j}" for j in range(200)]
+        edits = rng.randrange(8, 12)  # each changes two shingles of 199
+        v = list(w)
+        for j in rng.sample(range(1, 199, 2), edits):
+            v[j] = f"e{k}x{j}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    close = [k for k in range(1500) for a, b in [(near_dedup.shingle_set(rows[2 * k][1], 2), near_dedup.shingle_set(rows[2 * k + 1][1], 2))] if 80 * len(a | b) <= 100 * len(a & b)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [k for k in close if got[2 * k + 1] == 2 * k]
+    assert len(close) > 1000 and len(found) >= 0.999 * len(close)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in set(range(1500)) - set(close))
+
+
+def test_components_of_chains_stars_and_cycles(spark):
+    chain = [(k, k + 1) for k in range(100, 140)]
+    star = [(200, 200 + k) for k in range(1, 60)]
+    cycle = [(300 + k, 300 + (k + 1) % 25) for k in range(25)]
+    edges = [*chain, *star, *star, *[(b, a) for a, b in cycle], (7, 7), (None, 8), (8, None)]
+    random.Random(3).shuffle(edges)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {n: n // 100 * 100 for n in [*range(100, 141), *range(200, 260), *range(300, 325)]}
+    assert len(got) == 41 + 60 + 25
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_family_about_the_threshold_loses_no_link(spark):
     """Copies with few to many edits: many pairs near the threshold, linked only through others."""
     rng = random.Random(11)
