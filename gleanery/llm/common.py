@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +61,38 @@ def whole_ids(df: DataFrame, column: str) -> None:
         raise TypeError(f"{column} must be a whole number, not {kind}")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind it as it takes to be no column of df (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key of more than this part of all rows is hot; so there are fewer hot keys than its inverse.
+HOT_PART = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """rows with the other columns of table, which has one row for each value of keys (none null) in rows, and in `times`
+    how many rows have it. rows and table are written tables.
+
+    Hot keys, fewer than HOT_PART, are looked up in a broadcast table, so that none holds up a task; the others, of at most
+    that part of the rows each, are shuffled."""
+    total = table.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(times) * HOT_PART > total))
+    cold = rows.join(F.broadcast(table.where(F.col(times) * HOT_PART > total).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).drop(times).unionByName(cold.join(table.where(F.col(times) * HOT_PART <= total), keys).drop(times))
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """_own, a struct of all columns of df, and these columns: operators add helpers to it without meeting a caller's names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **results: Column) -> DataFrame:
+    """The columns `names` of _own, but for those of results' names, then the results."""
+    return df.select(*[F.col("_own")[c].alias(c) for c in names if c not in results], *[c.alias(name) for name, c in results.items()])
 
 
 _MADE: dict = {}
