@@ -15,6 +15,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 PLACES = 1 << 14
 
 
@@ -68,24 +70,24 @@ def allocate(counts: dict[int, int], points: list[tuple[int, int]], room: list[i
 def assign_shards(df: DataFrame, key: str, n_shards: int, *, load_factor: float | None = None, vnodes: int = 64, places: int = PLACES, seed: int = 0, tie: list[str] | None = None) -> DataFrame:
     """df with `shard` (int, 0 to n_shards - 1) and `slot` (long, gapless from 0 within the shard).
 
-    key: column whose text decides the place on the ring; rows with a null key share one place. tie: columns that order
-    rows of equal keys; rows equal in all of these are interchangeable. An empty df gives an empty result. Columns of df
-    with the names of results or helpers are replaced or left alone."""
-    spark = df.sparkSession
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))), 1)
-    place = F.shiftright(hashed, 63 - (places - 1).bit_length()).cast("int")
+    key: column whose text decides the place on the ring; rows with a null key are placed by the columns of tie. tie:
+    columns that order rows of equal keys; rows equal in all of these are interchangeable. An empty df gives an empty
+    result. Columns of df may have any names; those called shard and slot are replaced."""
     if places & (places - 1):
         raise ValueError("places is a power of 2")
-    counts = {r[0]: r[1] for r in df.select(place.alias("place")).groupBy("place").count().collect()}  # at most `places` rows
+    spark, tie = df.sparkSession, tie or []
+    of_null = F.xxhash64(F.lit(seed), *tie) if tie else F.xxhash64(F.lit(seed), F.lit(""))
+    hashed = F.when(F.col(key).isNull(), of_null).otherwise(F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    rows = packed(df, _hash=F.shiftrightunsigned(hashed, 1), _key=F.col(key), **{f"_tie{k}": F.col(c) for k, c in enumerate(tie)})
+    rows = rows.withColumn("_place", F.shiftright("_hash", 63 - (places - 1).bit_length()).cast("int"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_place").count().collect()}  # at most `places` rows
     parts = allocate(counts, ring_points(n_shards, vnodes, places, seed), capacities(sum(counts.values()), n_shards, load_factor), places)
-    table = spark.createDataFrame(parts or [(0, 0, 0, 0, 0)], "`_place` int, `_lo` long, `_hi` long, `_shard` int, `_slot` long")
-    ranked = df.withColumns({"_key_place": place, "_key_hash": hashed})
-    order = Window.partitionBy("_key_place").orderBy("_key_hash", key, *(tie or []))
-    ranked = ranked.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    table = spark.createDataFrame(parts or [(0, 0, 0, 0, 0)], "_at int, _lo long, _hi long, _shard int, _slot long")
+    order = Window.partitionBy("_place").orderBy("_hash", "_key", *(f"_tie{k}" for k in range(len(tie))))
+    rows = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     # The table has at most one row a place and one a shard's filling up more: a fixed bound.
-    found = ranked.join(F.broadcast(table), (F.col("_key_place") == F.col("_place")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    rest = [c for c in df.columns if c not in ("shard", "slot")]
-    return found.select(*rest, F.col("_shard").alias("shard"), (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    found = rows.join(F.broadcast(table), (F.col("_place") == F.col("_at")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    return unpacked(found, df.columns, shard=F.col("_shard"), slot=F.col("_slot") + F.col("_rank") - F.col("_lo"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
