@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, written
+from .common import HOT_PART, packed, shared_dir, small_batches, unpacked, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,11 +161,23 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = True, gap: i
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages with refers_to: of equal payloads of least_bytes or more the largest page_id is the response (null), the
-    others refer to it. A null payload is empty. Rows that repeat a response's page_id are responses as well."""
-    rows = pages.withColumn("_payload_key", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("_payload_bytes", F.octet_length(F.coalesce("html", F.lit(""))))
-    groups = rows.groupBy(F.col("_payload_key").alias("_key")).agg(F.max("page_id").alias("_last"))
-    refers = F.when((F.col("_payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
-    return rows.join(groups, F.col("_payload_key") == F.col("_key")).withColumn("refers_to", refers).drop("_payload_key", "_payload_bytes", "_key", "_last")
+    others refer to it. A null payload is empty. Rows that repeat a response's page_id are responses as well, and so are
+    rows of a payload that has null page_ids only. Columns may have any names; one called refers_to is replaced.
+
+    Groups are made of narrow rows; only groups of two or more meet the pages. Payloads of more than a thousandth of all
+    pages, fewer than a thousand, are looked up in a broadcast table, and their pages are dealt by a hash of their other columns after that; so no
+    payload gathers full rows in one task."""
+    rows = packed(pages, html=F.coalesce("html", F.lit("")), page_id=F.col("page_id"))
+    rows = rows.select("_own", "page_id", F.sha2("html", 256).alias("_key"), F.octet_length("html").alias("_bytes"), F.xxhash64(*[F.col("_own")[c] for c in pages.columns if c != "html"]).alias("_deal"))
+    groups = rows.where(F.col("_bytes") >= least_bytes).groupBy("_key").agg(F.max("page_id").alias("_last"), F.count("*").alias("_times"))
+    groups = written(groups.where("_times > 1"), "payload_groups")
+    total = pages.count()
+    hot = groups.where(F.col("_times") * HOT_PART > total).select(F.col("_key").alias("_hot_key"), F.col("_last").alias("_hot_last"))
+    rows = rows.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("_hot_key").isNull(), F.col("_key")).otherwise(F.concat(F.lit("-"), F.col("_deal").cast("string"))))
+    rows = rows.join(groups.where(F.col("_times") * HOT_PART <= total).select("_key", "_last"), "_key", "left")
+    last = F.coalesce("_hot_last", "_last")
+    return unpacked(rows, pages.columns, refers_to=F.when(~F.col("page_id").eqNullSafe(last), last))
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
