@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WS, WS, flat_spaces
+from .common import NON_WS, WS, flat_spaces, packed, unpacked
 
 SYMBOLS = r"[#*$%&|<>]+"
 #: A line whose text has none of these ends no sentence.
@@ -77,12 +77,16 @@ def measure(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"n_repeat_words": _covered(F.col("_starts")), "n_words": F.col("n_words").cast("long")}).drop("_words", "_sorted", "_twice", "_clash", "_spelt", "_starts", "_bits", "_text")
 
 
+RESULTS = ["clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed", "chars_removed", "base_failed", "kept"]
+
+
 def clean_lines(docs: DataFrame) -> DataFrame:
     """docs with clean_text (the lines that pass, joined by line feeds), the measures, lines_removed, chars_removed
     (code points in words), base_failed and kept.
 
-    A null text counts as empty and is not kept. Columns of docs with the names of results are replaced."""
-    rows = measure(docs).withColumn("_bad", F.filter("_lines", line_fails))
+    A null text counts as empty and is not kept. An empty table gives none. Columns of docs may have any names; those called
+    as the results are replaced."""
+    rows = measure(packed(docs, text=F.col("text"))).withColumn("_bad", F.filter("_lines", line_fails))
     chars = lambda a, x: a + F.length(F.regexp_replace(x, WS, ""))
     rows = rows.withColumns({
         "clean_text": F.array_join(F.filter("_lines", lambda x: ~line_fails(x)), "\n"), "lines_removed": F.size("_bad").cast("long"),
@@ -90,7 +94,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
         "base_failed": (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT),
     })
     kept = ~F.col("base_failed") & (F.col("chars_removed") * 100 <= F.col("word_chars") * MOST_LOST_PERCENT)
-    return rows.withColumn("kept", kept).drop("_lines", "_bad")
+    return unpacked(rows.withColumn("kept", kept), docs.columns, **{c: F.col(c) for c in RESULTS})
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:
