@@ -1,11 +1,13 @@
 """Mixing sources to target weights, by blocks.
 
 The tokens of a source, its documents laid end to end in a pseudorandom order, are packed into blocks of a fixed length.
-Every output shard draws how many of its slots each source gets; a source's slots, counted through all shards, go
-through a pseudorandom permutation of its block numbers, round after round; blocks are joined by number.
+The slots of all output shards draw their sources at random, so that a shard's counts are a multinomial draw, given that
+the counts of all shards add up to the sources' targets; a source's slots go through a pseudorandom permutation of its
+block numbers, round after round; blocks are joined by number.
 
 Only DataFrame functions are used. A document's place in its source's stream is a sum over fixed hash ranges of the
-source plus a running sum within its range, so a source that holds a third of all rows is spread over many tasks.
+source plus a running sum within its range, so a source that holds a third of all rows is spread over many tasks; its
+slots are dealt in runs of CHUNK. Windows without a key see one row a source.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import fresh, words, written
 
 BLOCK_WORDS = 64
+CHUNK = 1 << 16
 SLOTS_PER_SHARD = 4096
 RANGES = 512
 ROUNDS = 16
@@ -56,33 +59,29 @@ def shuffled_index(rows: DataFrame, index: str, size: str, keys: list[str], seed
 
 
 def draw_slots(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame:
-    """source_no, n_blocks, shard, turn: a row for each slot of each output shard that a source gets.
-
-    sources: source_no, n_blocks, rate (times that the source is to be taken). A shard draws its counts by one uniform
-    number and equal steps through the sources' cumulative shares, the multinomial draw of least variance: a count is
-    within one of its mean. turn counts a source's slots from 0 through all shards."""
-    rows = sources.where("n_blocks > 0").withColumn("want", F.col("n_blocks") * F.col("rate"))
-    everything, upto = Window.partitionBy(), Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_all": F.sum("want").over(everything), "_hi": F.sum("want").over(upto)})
-    rows = rows.withColumns({"_n": F.greatest(F.lit(1.0), F.round("_all")), "_lo": F.lag("_hi", 1, 0.0).over(Window.orderBy("source_no"))})
-    rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / slots_per_shard) - 1)))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.col("shard")), F.lit(1 << 30)) / float(1 << 30)
-    in_shard = F.least(F.lit(float(slots_per_shard)), F.col("_n") - F.col("shard") * slots_per_shard)
-    edge = lambda c: F.ceil(F.col(c) / F.col("_all") * in_shard - uniform)
-    last = F.col("_hi") >= F.col("_all")
-    rows = rows.withColumn("count", F.greatest(F.lit(0).cast("long"), F.when(last, F.ceil(in_shard - uniform)).otherwise(edge("_hi")) - edge("_lo")))
-    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_from", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long"))).where("count > 0")
-    rows = rows.repartition("shard", "source_no")  # a few rows for each shard become its slots
-    return rows.select("source_no", "n_blocks", "shard", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("count") - 1)).alias("turn"))
-
-
-def lay_out(docs: DataFrame, seed: int = 0, ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
+    """source_no, n_blocks, turn, shard: a row for each slot that a source gets in an output shard.
+
+    sources: source_no, n_blocks, rate (times that the source is to be taken). A source gets the whole number of slots
+    nearest to n_blocks * rate; its turns, 0 to that number less one, take their slots by a pseudorandom permutation of
+    all slots of all shards. That is the multinomial draw of every shard's counts under the condition that each source's
+    counts add up to its number: drawn freely, they would miss it by the root of it."""
+    rows = sources.where("n_blocks > 0").withColumn("_own", F.round(F.col("n_blocks") * F.col("rate")).cast("long")).where("_own > 0")
+    rows = rows.withColumns({"_slots": F.sum("_own").over(Window.partitionBy()), "_lo": F.sum("_own").over(Window.orderBy("source_no")) - F.col("_own")})
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_own") - 1) / CHUNK))))
+    rows = written(rows, "slot_chunks").repartition("source_no", "_chunk")  # a few rows become all slots
+    turns = F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("_own"), (F.col("_chunk") + 1) * CHUNK) - 1)
+    rows = rows.select("source_no", "n_blocks", "_slots", "_lo", F.explode(turns).alias("turn")).withColumn("_slot", F.col("_lo") + F.col("turn"))
+    rows = shuffled_index(rows, "_slot", "_slots", [], seed + 2)
+    return rows.select("source_no", "n_blocks", "turn", F.floor(F.col("_slot") / slots_per_shard).alias("shard"))
+
+
+def lay_out(docs: DataFrame, seed: int = 0, ranges: int = RANGES, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents on their sources' token streams, and the sources.
 
-    First: doc_id, size, source, source_no, start (tokens of the source before this document), row_key (of the row).
-    Second: source, source_size, source_no, weight, target. Rows that differ in nothing else take places in any order."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    First: doc_id, size, source, source_no, start (tokens of the source before this document), row_key (the column `row`
+    of docs, else a key of the place). Second: source, source_size, source_no, weight, target. Rows that differ in nothing
+    else take places in any order."""
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), (F.col(row) if row else F.lit(0)).alias("_row"))
     sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
     sized = written(sized.withColumn("_range", F.pmod("_hash", F.lit(ranges)).cast("int")), "sizes")
     parts = sized.groupBy("source", "_range").agg(F.sum("size").alias("_in_range"))
@@ -92,46 +91,82 @@ def lay_out(docs: DataFrame, seed: int = 0, ranges: int = RANGES) -> tuple[DataF
     within = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size")
     placed = sized.withColumns({"_sum": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), "_nth": F.row_number().over(within)})
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_part")))
-    return placed.select("doc_id", "size", "source", "source_no", (F.col("_before") + F.coalesce("_sum", F.lit(0).cast("long"))).alias("start"), F.struct("source_no", "_range", "_nth").alias("row_key")), sources
+    key = F.col("_row") if row else F.struct("source_no", "_range", "_nth")
+    return placed.select("doc_id", "size", "source", "source_no", (F.col("_before") + F.coalesce("_sum", F.lit(0).cast("long"))).alias("start"), key.alias("row_key")), sources
 
 
-def mixed_blocks(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, most_repeats: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
-    """source_no, block, shard, turn: the mix, one row for each slot. No block comes more than most_repeats times."""
+def mixed_blocks(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 0, in_arcs: bool = False) -> DataFrame:
+    """source_no, block, shard, turn: the mix, one row for each slot. A block comes as often as the blocks of its source do
+    on average, rounded down or up, so not more often than a document may.
+
+    in_arcs: the permutation only turns the block numbers about by a pseudorandom amount, so that a part of a round is a
+    part of the stream without gaps. The documents lie on that in a pseudorandom order already."""
     rows = sources.select("source_no", F.ceil(F.col("source_size") / block_words).alias("n_blocks"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    slots = draw_slots(rows, slots_per_shard, seed).where(F.col("turn") < F.col("n_blocks") * most_repeats)
+    slots = draw_slots(rows, slots_per_shard, seed)
     slots = slots.withColumns({"_round": F.floor(F.col("turn") / F.col("n_blocks")), "block": F.col("turn") % F.col("n_blocks")})
+    if in_arcs:
+        slots = slots.withColumn("block", F.pmod(F.col("block") + F.pmod(F.xxhash64(F.lit(seed), "source_no"), F.col("n_blocks")), F.col("n_blocks")))
+    else:
+        slots = shuffled_index(slots, "block", "n_blocks", ["source_no", "_round"], seed)
     # Written, as a filter on `block` pushed down through the rounds would grow without bound.
-    return written(shuffled_index(slots, "block", "n_blocks", ["source_no", "_round"], seed).select("source_no", "block", "shard", "turn"), "mix")
+    return written(slots.select("source_no", "block", "shard", "turn"), "mix")
+
+
+def _pieces(placed: DataFrame, blocks: DataFrame, block_words: int) -> DataFrame:
+    """placed with a row for each block that a document has a part in: block, _lo and _hi (words of the source before the
+    part, and up to its end), times (that the mix takes the block). A document without words has an empty part."""
+    times = blocks.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    first, final = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block_words)
+    pieces = placed.withColumn("block", F.explode(F.sequence(first, final)))
+    pieces = pieces.withColumns({"_lo": F.greatest(F.col("start"), F.col("block") * block_words), "_hi": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)})
+    return pieces.join(times, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 
-def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, most_repeats: int = MOST_REPEATS, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 0, ranges: int = RANGES) -> DataFrame:
     """doc_id, size, source, source_size, target, taken: one row for each row of docs.
 
     size: words of the text (null: 0). target: words that the mix shall take from the whole source. taken: words of this
-    document in the blocks that the mix takes, repeats counted; at most most_repeats times its size. Reruns agree."""
+    document in the blocks that the mix takes, repeats counted; at most MOST_REPEATS times its size. Reruns agree. Null
+    doc_ids and sources are values like any other; rows that are equal in doc_id, size and source take places in any
+    order; an empty table gives none; only doc_id, source and text are read."""
     placed, sources = lay_out(docs, seed, ranges)
-    blocks = mixed_blocks(sources, block_words, slots_per_shard, most_repeats, seed).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    first, final = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block_words)
-    pieces = placed.select("doc_id", "size", "source", "source_no", "start", "row_key", F.explode(F.sequence(first, final)).alias("block"))
-    shared = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    taken = pieces.join(blocks, ["source_no", "block"], "left").groupBy("row_key", "doc_id", "size", "source", "source_no").agg(F.sum(shared * F.coalesce("times", F.lit(0))).alias("taken"))
+    pieces = _pieces(placed, mixed_blocks(sources, block_words, slots_per_shard, seed), block_words)
+    taken = pieces.groupBy("row_key", "doc_id", "size", "source", "source_no").agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("times")).alias("taken"))
     sums = sources.select("source_no", "source_size", "target")
     return taken.join(sums, "source_no").select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-def whole_documents(docs: DataFrame, most_repeats: int = MOST_REPEATS, seed: int = 0, ranges: int = RANGES) -> DataFrame:
-    """docs, each row as often as the mix takes it whole: not at all, or up to most_repeats times. Same columns.
-
-    Every document of a source comes floor(rate) times, rate being target by size, and once more if it lies in the first
-    words of the source's pseudorandom order that are still wanted: the choice doesn't depend on a document's length, and
-    a source's words miss its target by half a document at most, the one that the cut goes through. Rows that share
-    doc_id, source and size count as one document there. Rows without words aren't taken."""
-    placed, sources = lay_out(docs, seed, ranges)
-    units = placed.where("size > 0").groupBy("doc_id", "source", "source_no", "size").agg(F.min("start").alias("start"), (F.count("*") * F.col("size")).alias("_words"))
-    units = units.join(sources.select("source_no", "source_size", "target"), "source_no")
-    rounds = F.floor(F.col("target") / F.col("source_size"))
-    more = F.col("start") + F.col("_words") / 2 <= F.col("target") - rounds * F.col("source_size")
-    units = units.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), (rounds + more.cast("long")).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.withColumn("_words", F.size(words(F.col("text"))).cast("long"))
-    rows = rows.join(units, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+    """docs as the mix takes them: the same columns, a row for each run of a document's words in blocks of the mix, and as
+    often as the mix takes these. The words of a source come to its target but for half a block.
+
+    Parts of rounds are arcs of the source's stream, so that documents are whole, up to MOST_REPEATS times, but for the two
+    that an arc's ends cut in each source: of these the words inside stay, joined by blanks. Documents without words aren't
+    taken, nor are null texts. Rows may be repeated; null doc_ids and sources are values like any other; an empty table
+    gives none; other columns are carried along, whatever their names."""
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix_input")
+    placed, sources = lay_out(rows, seed, ranges, row)
+    pieces = _pieces(placed.where("size > 0"), mixed_blocks(sources, block_words, slots_per_shard, seed, in_arcs=True), block_words)
+    parts = F.sort_array(F.collect_list(F.when(F.col("times") > 0, F.struct((F.col("_lo") - F.col("start")).cast("int").alias("lo"), (F.col("_hi") - F.col("start")).cast("int").alias("hi"), "times"))))
+    found = pieces.groupBy(F.col("row_key").alias("_key")).agg(F.first("size").alias("_size"), parts.alias("_parts")).where(F.size("_parts") > 0)
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+
+    def runs(level: int):
+        def step(acc, x):
+            last = F.element_at(acc, -1)
+            joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), x["hi"].alias("hi"))))
+            return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["hi"] == x["lo"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))))
+
+        return F.aggregate(F.filter("_parts", lambda x: x["times"] >= level), none, step)
+
+    found = found.select("_key", "_size", F.explode(F.concat(*[runs(level) for level in range(1, MOST_REPEATS + 1)])).alias("_run"))
+    found = found.select(F.col("_key").alias("_mix_key"), F.struct("_size", "_run.lo", "_run.hi").alias("_mix_run"))
+    names = {c: fresh(rows, c) for c in found.columns}
+    for old, new in names.items():
+        found = found.withColumnRenamed(old, new)
+    run = F.col(names["_mix_run"])
+    whole = (run["lo"] == 0) & (run["hi"] == run["_size"])
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), run["lo"] + 1, run["hi"] - run["lo"]), " "))
+    out = rows.join(found, rows[row] == found[names["_mix_key"]])
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
