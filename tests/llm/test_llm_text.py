@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language_id, near_dedup, sentencepiece_codec, substring_dedup, token_counts, vocabulary, warc
 from gleanery.llm.components import components
-from gleanery.llm.hashing import PRIME, WindowHash, Words, mixed, product
+from gleanery.llm.hashing import PRIME, WindowHash, mixed, product, word_numbers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,7 +55,7 @@ def test_products_and_window_hashes_modulo_the_prime():
     assert product(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % PRIME for x, y in zip(a, b, strict=True)]
     h = WindowHash(b"k" * 16)
     w = [b"%d" % rng.randrange(40) for _ in range(5000)]
-    numbers = [int(x) % PRIME for x in h.words.of(w)]
+    numbers = [int(x) % PRIME for x in word_numbers(w, h.seed)]
     want = [sum(numbers[i + j] * pow(h.base, j, PRIME) for j in range(25)) % PRIME for i in range(len(w) - 24)]
     assert h.windows(w, 25).tolist() == mixed(np.array(want, np.uint64)).tolist()
     assert not h.windows(w[:24], 25).size and not h.windows([], 25).size
@@ -149,10 +149,9 @@ def test_one_id_with_several_texts_is_one_document(spark):
 def test_shingles_are_counted_by_their_words(size):
     rng = random.Random(size)
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["x", "x y"]
-    numbers = Words(b"k" * 16)
     sizes, row, column = near_dedup._set_matrix(texts, size)
     sets = [near_dedup.shingle_set(t, size) for t in texts]
-    assert sizes.tolist() == [len(s) for s in sets] == [near_dedup.shingle_hashes(near_dedup.words_of(t), size, numbers).size for t in texts]
+    assert sizes.tolist() == [len(s) for s in sets] == [near_dedup.shingle_hashes(near_dedup.words_of(t), size).size for t in texts]
     own = [set(column[row == k].tolist()) for k in range(len(texts))]
     assert all(len(own[a] & own[b]) == len(sets[a] & sets[b]) for a in range(len(texts)) for b in range(a) if min(len(x.split()) for x in (texts[a], texts[b])) >= size)
 
@@ -450,24 +449,104 @@ def test_rare_language_is_learnt_from_a_large_table(spark):
     assert sample["ру"] == 4 and 70 <= sum(sample.values()) <= 130
 
 
-def test_pipeline_against_its_parts(spark, rows, tmp_path):
+def plain_score(labeller, text):
+    """Share of the language with most letters, by a plain path search over the words' scores."""
+    words = WORD.findall(text or "")
+    labeller.learn([w for w in dict.fromkeys(words) if w not in labeller.known])
+    at = [labeller.known[w] for w in words]
+    scored = [k for k in at if labeller.letters[k]]
+    total = sum(int(labeller.letters[k] + labeller.foreign[k]) for k in at)
+    if not total:
+        return None
+    if not scored:
+        return 0.0
+    scores = [labeller.rows[k].tolist() for k in scored]
+    best, back, labels = list(scores[0]), [], range(len(scores[0]))
+    for row in scores[1:]:
+        came = [max(labels, key=lambda i: best[i] - language_id.SWITCH_PENALTY * (i != j)) for j in labels]
+        best = [best[i] - language_id.SWITCH_PENALTY * (i != j) + row[j] for j, i in enumerate(came)]
+        back.append(came)
+    j = max(labels, key=best.__getitem__)
+    path = [j]
+    for came in back[::-1]:
+        j = came[j]
+        path.append(j)
+    share = [0] * len(best)
+    for k, j in zip(scored, path[::-1], strict=True):
+        share[j] += int(labeller.letters[k])
+    return max(share) / total
+
+
+def test_pipeline_against_a_plain_version(spark, rows, tmp_path):
     import corpus_pipeline
+    from test_llm_native import exact_brute, mixed_brute
 
-    SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
-    after = docs
-    counts = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = spark.createDataFrame(stage(spark, after, f"file://{tmp_path}").collect(), SCHEMA)
-        assert after.columns == docs.columns
-        counts.append(after.count())
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = language_id.fit(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
+    labeller = language_id.Labeller(model)
+    scores = [plain_score(labeller, r[1]) for r in rows]
+    for r in language_id.identify(docs, model, spans=False).collect():
+        assert r.score == pytest.approx(plain_score(labeller, r.text) or 0.0) and (r.lang_pred == "und") == (plain_score(labeller, r.text) is None)
+    left = [r for r, s in zip(rows, scores, strict=True) if s is not None and s >= corpus_pipeline.LEAST_SHARE]
+    kept = {(i, sha) for i, _, _, first, sha in exact_brute(left) if first}
+    found = []
+    for r in left:
+        key = (str(r[0]), hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]).encode()).hexdigest())
+        if key in kept:
+            kept.discard(key)
+            found.append(r)
+    _, component = near_brute(found)
+    found = [r for r in found if r[0] is None or component[r[0]] == r[0]]
+    assert len(rows) > len(left) > len(found) > 10
+    want = sorted((str(found[k][0]), str(found[k][3]), t) for k, t in mixed_brute([(r[0], r[1], r[3]) for r in found]))
+    codec = sentencepiece_codec.Codec(vocabulary.read_model())
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert sorted((str(r.doc_id), str(r.source), codec.decode(r.piece_ids)) for r in got) == want
+
+
+def test_pipeline_of_an_empty_table_and_of_a_very_long_text(spark, none, tmp_path):
+    import corpus_pipeline
+
+    documents = none.drop("kept", "shard", "score", "size", "n_words")
+    documents.write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/a").count() == 0
+    rng = random.Random(17)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(400_000))  # over 4 MB
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([text, text + " ", "x" * 3_000_000, "some short text here"])]
+    spark.createDataFrame(rows, documents.schema).write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}/b").collect()}
     codec = sentencepiece_codec.Codec(vocabulary.read_model())
-    assert len(got) == counts[-1] and all(codec.decode(r.piece_ids) == texts[r.doc_id] for r in got)
-    kept = {r.doc_id for r in got}
-    _, component = near_brute(rows)
-    assert len({component[k] for k in kept if k is not None}) == len([k for k in kept if k is not None])
-    exact = {r.doc_id for r in exact_dedup.exact_groups(docs).where("kept").collect()}
-    assert kept <= exact | {None}
+    assert set(got) == {0, 2, 3} and all(codec.decode(got[k].piece_ids) == rows[k][1] for k in got)
+
+
+def test_operators_on_a_very_long_text(spark):
+    from gleanery.llm import quality
+
+    rng = random.Random(18)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(300_000))
+    rows = [(1, text), (2, text), (3, "y" * 2_000_000), (4, "a\n" * 500_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.n_removed) for r in substring_dedup.repeats_removed(df).orderBy("doc_id").collect()] == [(1, 0), (2, 300_000), (3, 0), (4, 0)]
+    assert [r.component_id for r in near_dedup.near_groups(df).orderBy("doc_id").collect()] == [1, 1, 3, 4]
+    assert [r.keep_id for r in exact_dedup.exact_groups(df).orderBy("doc_id").collect()] == [1, 1, 3, 4]
+    assert [r.n_words for r in quality.quality_rows(df).orderBy("doc_id").collect()] == [300_000, 300_000, 1, 500_000]
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert [(r.record_type, r.payload_bytes) for r in warc.archive_round_trip(pages).orderBy("page_id").collect()] == [("revisit", len(text)), ("response", len(text)), ("response", 2_000_000), ("response", 1_000_000)]
+
+
+def test_archive_of_null_and_repeated_page_ids_and_large_records(spark, tmp_path):
+    rng = random.Random(19)
+    large = "".join(chr(rng.randrange(33, 1000)) for _ in range(9 << 20))  # more than one read's bytes
+    rows = [(None, "u", "same"), (1, "u", "same"), (1, "u", "same"), (None, "u", "alone"), (2, "u", "other"), (2, "v", "same"), (3, None, large), (4, None, None), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.archive_round_trip(pages, f"file://{tmp_path}/w").collect()))
+    assert got == sorted([("None", 4, "revisit", "2"), ("1", 4, "revisit", "2"), ("1", 4, "revisit", "2"), ("None", 5, "response", "None"), ("2", 5, "response", "None"), ("2", 4, "response", "None"), ("3", len(large.encode()), "response", "None"), ("4", 0, "response", "None"), ("None", 0, "revisit", "4")])
+
+
+def test_a_payload_that_half_of_all_pages_have(spark, tmp_path):
+    pages = spark.range(2400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 6 == 1, "cold").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("html"))
+    got = {r.page_id: r.refers_to for r in warc.archive_round_trip(pages, f"file://{tmp_path}/w").collect()}
+    last = max(k for k in range(2400) if k % 6 == 1)
+    assert got == {k: (2398 if k < 2398 else None) if k % 2 == 0 else (last if k < last else None) if k % 6 == 1 else None for k in range(2400)}
