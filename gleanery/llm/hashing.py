@@ -1,15 +1,17 @@
 """Words as numbers, and hashes of all windows of words of a text at once, with numpy.
 
-A word's number is its keyed BLAKE2b digest. A window's hash is a polynomial in these numbers modulo the prime 2**61 - 1,
-at a base that the key gives: with a key drawn for a run, no text written before it can hold planned collisions. Hashes
-choose candidates only; what is removed or linked is decided by digests of the words or by the words themselves.
+A word's number is its XXH3 hash under a seed. A window's hash is a polynomial in these numbers modulo the prime 2**61 - 1,
+at a base that the seed gives too. Hashes choose candidates only: a clash costs a comparison, and what is removed or linked
+is decided by cryptographic digests of the words or by the words themselves.
 """
 
 from __future__ import annotations
 
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 _BLANKS = bytes(range(9, 14))
 TO_BLANK = bytes(32 if b in _BLANKS else b for b in range(256))
@@ -17,8 +19,6 @@ TO_LOWER_BLANK = bytes(32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b fo
 PRIME = (1 << 61) - 1
 _P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 _1, _30, _31, _61 = (np.uint64(n) for n in (1, 30, 31, 61))
-#: Words that a Words table remembers at a time.
-MOST_WORDS = 1 << 18
 
 
 def joined_words(text: bytes, lower: bool = False) -> bytes:
@@ -56,28 +56,16 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return folded(((a1 * b1) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + (low & _P) + (low >> _61))
 
 
-class Words(dict):
-    """Numbers of words, made when first asked for; emptied when it holds MOST_WORDS."""
-
-    def __init__(self, key: bytes) -> None:
-        super().__init__()
-        self.key = key
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        number = self[word] = int.from_bytes(blake2b(word, digest_size=8, salt=self.key).digest(), "little")
-        return number
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_numbers(words: list[bytes], seed: int) -> np.ndarray:
+    """A 64-bit number of each word."""
+    return np.fromiter(map(xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
 class WindowHash:
     """Hashes of all windows of a number of words. The tables of powers grow to the longest text met."""
 
     def __init__(self, key: bytes) -> None:
-        self.words = Words(key)
+        self.seed = int.from_bytes(key[:8], "little")
         self.base = int.from_bytes(blake2b(b"base", digest_size=16, salt=key).digest(), "little") % (PRIME - 2) + 2
         self.inverse = pow(self.base, -1, PRIME)
         self.powers = self.inverses = np.ones(1, np.uint64)
@@ -98,7 +86,7 @@ class WindowHash:
             return np.empty(0, np.uint64)
         if self.powers.size < len(words):
             self._grow(max(1 << 12, len(words)))
-        terms = product(folded(self.words.of(words)), self.powers[: len(words)])
+        terms = product(folded(word_numbers(words, self.seed)), self.powers[: len(words)])
         # Sums modulo PRIME, by halves that can't overflow; multiplying by 2**31 turns 61 bits about.
         high = folded(np.cumsum(terms >> _31))
         upto = np.zeros(len(words) + 1, np.uint64)

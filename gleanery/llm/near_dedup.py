@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import once, small_batches, written
 from .components import components
-from .hashing import Words, joined_words, mixed
+from .hashing import joined_words, mixed, word_numbers
 
 SHINGLE, PERCENT = 2, 80
 CHUNKS, PER_CHUNK, ERRORS, BITS = 12, 7, 1, 8
@@ -32,7 +32,7 @@ PLACES = CHUNKS * PER_CHUNK
 #: The signature distance up to which pairs with a common key are held against their full sets. Sets at the threshold of
 #: 80 % differ in a fifth of their places, 16.8 of 84, and in more than this many with a chance of 4 in 10**12.
 MOST_DIFFERENT = 46
-KEY = b"near-dedup words"
+SEED = 20240607
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,12 +40,12 @@ def words_of(text: str) -> list[bytes]:
     return joined_words(text.encode("utf-8", "surrogatepass"), lower=True).split()
 
 
-def shingle_hashes(words: list[bytes], size: int, numbers: Words) -> np.ndarray:
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """One 64-bit hash for each distinct shingle. Which shingles are the same is settled by the words, not by hashes."""
     if not words:
         return np.empty(0, np.uint64)
     index = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    ids, own = np.fromiter(map(index.__getitem__, words), np.int64, len(words)), numbers.of(list(index))
+    ids, own = np.fromiter(map(index.__getitem__, words), np.int64, len(words)), word_numbers(list(index), SEED)
     size = min(size, len(words))
     labels, hashes = ids, own
     if size == 1:
@@ -68,8 +68,7 @@ def shingle_set(text: str, size: int) -> set:
 
 class Signer:
     def __init__(self) -> None:
-        random = np.random.Generator(np.random.PCG64(20240607))
-        self.numbers = Words(KEY)
+        random = np.random.Generator(np.random.PCG64(SEED))
         self.factors = random.integers(0, 1 << 63, (PLACES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
         self.terms = random.integers(0, 1 << 63, (PLACES, 1), np.uint64)
 
@@ -94,7 +93,7 @@ def sketch(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             out: list[list] = [[], [], []]
             for text in batch.column(2):
                 words = words_of(text.as_py()) if text.is_valid else []
-                hashes = shingle_hashes(words, shingle, signer.numbers)
+                hashes = shingle_hashes(words, shingle)
                 row = (hashes.size, hashlib.sha256(b" ".join(words)).digest(), signer.signature(hashes)) if words else (0, None, None)
                 for column, v in zip(out, row, strict=True):
                     column.append(v)
