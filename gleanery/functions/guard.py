@@ -21,6 +21,8 @@ TAG = r"(?i)<\s*(?:img|a|script|iframe)\b[^>]*>"
 LINK = r"\[([^\]]+)\]\((?:https?:|www\.|//)[^)]*\)"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>()\"']+"
 URL_STANDS_AS = "[link removed]"
+#: The answer policy, rule by rule in this order: pattern, what stands in its place ($1: its first group), what it counts as.
+POLICY = ((IMAGE, "", "images"), (TAG, "", "images"), (LINK, "$1", "links"), (URL, URL_STANDS_AS, "links"))
 FENCE_TAG = r"(?i)<\s*(/?)\s*(source|sources|question|system|instructions)\b"
 FORGED_HEADER = r"(?im)^(\s*)\[(\d+)\](?=[^\n]*\b(?:10-K|page|Form)\b)"
 REFUSAL_TOKEN = "INSUFFICIENT_CONTEXT"
@@ -48,11 +50,11 @@ def defuse(text: Column) -> tuple[Column, Column]:
 
 def answer_policy(text: Column) -> tuple[Column, Column, Column]:
     """The answer without images, tags, link targets and URLs; images and tags removed; links and URLs removed."""
-    no_image = F.regexp_replace(text, IMAGE, "")
-    no_tag = F.regexp_replace(no_image, TAG, "")
-    no_link = F.regexp_replace(no_tag, LINK, "$1")
-    n = lambda x, p: F.regexp_count(x, F.lit(p))
-    return F.regexp_replace(no_link, URL, URL_STANDS_AS), n(text, IMAGE) + n(no_image, TAG), n(no_tag, LINK) + n(no_link, URL)
+    counts = {"images": F.lit(0), "links": F.lit(0)}
+    for pattern, stand_in, kind in POLICY:
+        counts[kind] = counts[kind] + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, stand_in)
+    return text, counts["images"], counts["links"]
 
 
 def is_refusal(text: Column) -> Column:
