@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Lexemes of the plain analyser.
-LEXEME = r"[a-z0-9]+"
+#: Lexemes of the plain analyser: letters and digits of any script.
+LEXEME = r"[\p{L}\p{N}]+"
 #: A figure with thousands separators counts as a phrase in a question.
 GROUPED_NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
 QUOTED = r'"([^"]*)"'

@@ -119,14 +119,17 @@ def table_row(cells: Column) -> Column:
 
 
 def reading_order(blocks: DataFrame, width: str = "width") -> DataFrame:
-    """blocks (id, page, x0, y0, x1, text, width) with reading_index: by row, or left column first where a page has a
-    gutter in its middle: a line at 35 to 65 % of the width with three blocks of prose on each side and none across."""
-    prose = blocks.where(is_prose(F.col("text"))).withColumn("_x", F.explode(F.sequence(F.lit(35), F.lit(65)))).withColumn("_at", F.col(width) * F.col("_x") / 100)
-    sides = prose.groupBy("id", "page", "_x").agg(F.count_if(F.col("x1") <= F.col("_at")).alias("l"), F.count_if(F.col("x0") >= F.col("_at")).alias("r"), F.count_if((F.col("x0") < F.col("_at")) & (F.col("x1") > F.col("_at"))).alias("across"))
+    """blocks (id, page, x0, y0, x1, text, width) with reading_index and two_columns. A page has two columns if a line at
+    35 to 65 % of its width, the first such one, is crossed by no block at all and has three blocks of prose on each side:
+    then the blocks left of it come first, each side from the top. Other pages are read by row, tops rounded."""
+    lines = blocks.withColumn("_x", F.explode(F.sequence(F.lit(35), F.lit(65)))).withColumn("_at", F.col(width) * F.col("_x") / 100)
+    prose, left, right = is_prose(F.col("text")), F.col("x1") <= F.col("_at"), F.col("x0") >= F.col("_at")
+    sides = lines.groupBy("id", "page", "_x").agg(F.count_if(prose & left).alias("l"), F.count_if(prose & right).alias("r"), F.count_if((F.col("x0") < F.col("_at")) & (F.col("x1") > F.col("_at"))).alias("across"))
     gutter = sides.where("l >= 3 AND r >= 3 AND across = 0").groupBy("id", "page").agg(F.min("_x").alias("_g"))
-    rows = blocks.join(gutter, ["id", "page"], "left")
-    side = F.when(F.col("_g").isNull(), 0).when((F.col("x0") + F.col("x1")) / 2 < F.col(width) * F.col("_g") / 100, 0).otherwise(1)
-    return rows.withColumn("reading_index", F.row_number().over(Window.partitionBy("id", "page").orderBy(side, F.bround("y0", 0), "x0")) - 1).drop("_g")
+    rows = blocks.join(gutter, ["id", "page"], "left").withColumn("two_columns", F.col("_g").isNotNull())
+    side = F.when(F.col("two_columns") & (F.col("x1") > F.col(width) * F.col("_g") / 100), 1).otherwise(0)
+    top = F.when(F.col("two_columns"), F.col("y0")).otherwise(F.bround("y0", 0))
+    return rows.withColumn("reading_index", F.row_number().over(Window.partitionBy("id", "page").orderBy(side, top, "x0")) - 1).drop("_g")
 
 
 def item_pages(pages: DataFrame, expected: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes
-from ..settings import Settings
+from ..settings import FILTER_MODES, MODES, Settings, one_of
 from .ranking import ranked, top_k
 
 
@@ -58,25 +58,43 @@ def rerank(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int, n: i
     return cut(ranked(rows, ["qid"], [F.round("score", 9).desc(), F.col("first_rank")]), k).select("qid", "id", "score", "rank", "first_rank")
 
 
-def retriever(mode: str, questions: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, depth: int = 50, rrf_k: int = 60) -> DataFrame:
-    """Hits by the named mode. questions: qid, question, qvec. docs: doc_id, text. vectors: vec_id, embedding."""
-    from .keyword_search import bm25
-    from .vector_search import exact_top_k
+def retriever(mode: str, questions: DataFrame, source, vectors: DataFrame, k: int, depth: int = 50, rrf_k: int = 60, *, rank_function: str | None = None, phrases: bool | None = None, analyser: str | None = None, vector_filter: Column | None = None, among: DataFrame | None = None, filter_mode: str | None = None, candidates: int | None = None) -> DataFrame:
+    """Hits by the named mode. questions: qid, question, qvec. source: an index, or docs (doc_id, text). vectors: vec_id,
+    embedding and what vector_filter reads. among: the rows (doc_id) that pass the same filter.
+
+    Both legs of hybrid are filtered alike, each before it is cut at `depth`. Options that the mode doesn't read are errors.
+    filter_mode: exact and iterative search among the filtered vectors, post filters the first `candidates` of all."""
+    from .keyword_search import ranked_by
+    from .vector_search import exact_top_k, post_filtered_top_k
+
+    one_of("mode", mode, MODES)
+    unread = {"vector": {"rank_function": rank_function, "phrases": phrases, "analyser": analyser, "among": among}, "keyword": {"vector_filter": vector_filter, "filter_mode": filter_mode, "candidates": candidates}}.get(mode, {})
+    if wrong := [name for name, value in unread.items() if value is not None]:
+        raise ValueError(f"mode {mode} takes no {', '.join(wrong)}")
+    if mode == "hybrid" and (vector_filter is None) != (among is None):
+        raise ValueError("both legs are filtered, or neither")
+
+    def by_vector(n: int) -> DataFrame:
+        if vector_filter is not None and one_of("filter_mode", filter_mode or "exact", FILTER_MODES) == "post":
+            return post_filtered_top_k(questions, vectors, n, candidates or 4 * n, vector_filter)
+        return exact_top_k(questions, vectors if vector_filter is None else vectors.where(vector_filter), n)
+
+    def by_keyword(n: int) -> DataFrame:
+        return ranked_by(rank_function or "ts_rank")(questions, source, n, among=among, analyser=analyser or "plain", phrases=bool(phrases))
 
-    if mode == "vector":
-        return exact_top_k(questions, vectors, k)
-    if mode == "keyword":
-        return bm25(questions, docs, k)
     if mode == "hybrid":
-        return hybrid(exact_top_k(questions, vectors, depth), bm25(questions, docs, depth), k, rrf_k)
-    raise ValueError("mode is vector, keyword or hybrid")
+        return hybrid(by_vector(depth), by_keyword(depth), k, rrf_k)
+    return by_vector(k) if mode == "vector" else by_keyword(k)
 
 
-def configured(settings: Settings, questions: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Hits by the settings' mode, re-ranked if they say so: the first stage then finds max(rerank_n, top_k)."""
-    first = retriever(settings.mode, questions, docs, vectors, max(settings.rerank_n, settings.top_k) if settings.rerank else settings.top_k, settings.depth, settings.rrf_k)
+def configured(settings: Settings, questions: DataFrame, source, vectors: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Hits by the settings' mode and rank function, re-ranked if they say so: the first stage then finds
+    max(rerank_n, top_k). texts: doc_id, text, where source is an index."""
+    own = {} if settings.mode == "vector" else {"rank_function": settings.rank_function, "phrases": True}
+    first = retriever(settings.mode, questions, source, vectors, max(settings.rerank_n, settings.top_k) if settings.rerank else settings.top_k, settings.depth, settings.rrf_k, **own)
     if not settings.rerank:
         return first
+    docs = source if texts is None else texts
     return rerank(first, questions, docs.select(F.col("doc_id").alias("id"), "text"), settings.top_k, settings.rerank_n)
 
 

@@ -1,25 +1,24 @@
-"""Keyword search for batches of questions: postings, statistics, matching, BM25 and other rank functions.
+"""Keyword search for batches of questions: matching, required phrases, BM25 and other rank functions, on postings.
 
-Postings are made where the text is, and only for the questions' lexemes; the questions' distinct lexemes are a small,
-checked table. Text is joined to the hits after ranking.
+A search reads the postings of its questions' lexemes; these are a small, checked table. It takes a stored index, or the
+rows themselves, whose postings it then makes. Text is joined to the hits after ranking.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import has_phrase, lexemes
+from ..functions.text import lexemes, split_query
+from ..settings import RANK_FUNCTIONS, one_of
 from .ranking import top_k
+from .search_index import Index, as_index, part_of, question_lexemes
 
 MOST_TERMS = 200_000
-
-
-def postings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
-    """id, lexeme, tf: how often each lexeme comes in each row."""
-    return docs.select(F.col(id).alias("id"), F.explode(analyse(F.col(text))).alias("lexeme")).groupBy("id", "lexeme").agg(F.count("*").alias("tf"))
+#: Terms of the rank of an occurrence that are added one by one; the rest of the series is its integral, true to 1e-10.
+SERIES = 1000
 
 
 def lexeme_stats(docs: DataFrame, *, text: str = "text", analyse=lexemes) -> DataFrame:
@@ -32,14 +31,6 @@ def set_stats(docs: DataFrame, *, text: str = "text", analyse=lexemes) -> DataFr
     return docs.agg(F.count("*").alias("n_chunks"), F.avg(F.size(F.array_distinct(analyse(F.col(text))))).alias("avg_length"))
 
 
-def question_terms(questions: DataFrame, *, question: str = "question", analyse=lexemes, stop: tuple[str, ...] = ()) -> DataFrame:
-    """qid, lexeme: a question's distinct lexemes without stop words; a question of stop words alone has none."""
-    words = F.array_distinct(analyse(F.col(question)))
-    if stop:
-        words = F.array_except(words, F.array(*map(F.lit, stop)))
-    return questions.select("qid", F.explode(words).alias("lexeme"))
-
-
 def bounded_terms(terms: DataFrame) -> DataFrame:
     """terms, if a broadcast of them is safe."""
     if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
@@ -47,71 +38,91 @@ def bounded_terms(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms)
 
 
-def term_hits(terms: DataFrame, docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
-    """id, length (distinct lexemes), lexeme, tf for the lexemes of any question."""
-    wanted = bounded_terms(terms.select("lexeme").distinct())
-    rows = docs.select(F.col(id).alias("id"), analyse(F.col(text)).alias("_words")).withColumn("length", F.size(F.array_distinct("_words")))
-    rows = rows.select("id", "length", F.explode("_words").alias("lexeme"))  # the length first, not once a lexeme
-    return rows.join(wanted, "lexeme", "left_semi").groupBy("id", "length", "lexeme").agg(F.count("*").alias("tf"))
+def parsed(questions: DataFrame, question: str = "question") -> DataFrame:
+    """questions with phrases (quoted text and grouped figures, which must be in a hit) and rest."""
+    phrases, rest = split_query(F.col(question))
+    return questions.withColumns({"phrases": phrases, "rest": rest})
+
 
+def question_terms(questions: DataFrame, analyser: str = "plain", *, question: str = "question") -> DataFrame:
+    """qid, lexeme: a question's distinct lexemes, those of its phrases too; a question of stop words alone has none."""
+    return question_lexemes(questions, F.col(question), analyser, "qid").select("qid", "lexeme").distinct()
 
-def match_counts(questions: DataFrame, docs: DataFrame, **names) -> DataFrame:
+
+def term_hits(terms: DataFrame, index: Index, *columns: str) -> DataFrame:
+    """qid, lexeme, id and columns of the postings of the questions' lexemes. Only their partitions are read."""
+    own = bounded_terms(terms.withColumn("part", part_of(F.col("lexeme"))))
+    return index.postings.select("part", "lexeme", "id", *columns).join(own, ["part", "lexeme"]).drop("part")
+
+
+def match_counts(questions: DataFrame, source: Index | DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> DataFrame:
     """qid, matches: rows that have any of the question's lexemes."""
-    terms = question_terms(questions)
-    hits = term_hits(terms, docs, **names).join(bounded_terms(terms), "lexeme")
-    counts = hits.groupBy("qid", "id").agg(F.lit(1).alias("_one")).groupBy("qid").agg(F.count("*").alias("matches"))
+    index = as_index(source, id, text, analyser)
+    hits = term_hits(question_terms(questions, index.analyser), index)
+    counts = hits.select("qid", "id").distinct().groupBy("qid").agg(F.count("*").alias("matches"))
     return questions.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75, id: str = "doc_id", text: str = "text", among: DataFrame | None = None, analyse=lexemes, stop: tuple[str, ...] = ()) -> DataFrame:
-    """qid, id, score, rank. Statistics are those of all docs; `among` (a filter of docs) restricts the rows ranked.
+def phrase_matches(questions: DataFrame, source: Index | DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> DataFrame:
+    """qid, id: rows that have all phrases of the question. questions: qid, phrases (array of strings). A phrase without
+    lexemes asks for nothing; a question without phrases that do has no rows here.
 
-    A term adds idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), where the length counts distinct
-    lexemes and idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    terms = question_terms(questions, analyse=analyse, stop=stop)
-    n, mean = docs.agg(F.count("*"), F.avg(F.size(F.array_distinct(analyse(F.col(text)))))).first()
-    hits = term_hits(terms, docs, id=id, text=text, analyse=analyse)
-    idf = hits.groupBy("lexeme").agg(F.count("*").alias("df")).select("lexeme", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    A phrase begins at the places where each of its lexemes stands as many words on as it does in the phrase."""
+    index = as_index(source, id, text, analyser)
+    each = question_lexemes(questions.select("qid", F.posexplode("phrases").alias("nth", "_phrase")), F.col("_phrase"), index.analyser, "qid", "nth")
+    need = each.groupBy("qid", "nth").agg(F.count("*").alias("words"))
+    begun = term_hits(each, index, "positions").select("qid", "nth", "id", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
+    found = begun.groupBy("qid", "nth", "id", "start").agg(F.count("*").alias("words")).join(bounded_terms(need), ["qid", "nth", "words"], "left_semi")
+    all_of = need.groupBy("qid").agg(F.count("*").alias("phrases"))
+    got = found.select("qid", "nth", "id").distinct().groupBy("qid", "id").agg(F.count("*").alias("phrases"))
+    return got.join(bounded_terms(all_of), ["qid", "phrases"], "left_semi").select("qid", "id")
+
+
+def _candidates(hits: DataFrame, questions: DataFrame, index: Index, among: DataFrame | None, id: str, phrases: bool) -> DataFrame:
+    """hits in rows of `among`, and, of questions with phrases, in rows that have all of these."""
     if among is not None:
-        hits = term_hits(terms, among, id=id, text=text, analyse=analyse)
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
-    scored = hits.join(idf, "lexeme").join(bounded_terms(terms), "lexeme").groupBy("qid", "id").agg(F.sum(weight).alias("score"))
-    return top_k(scored, k).select("qid", "id", "score", "rank")
+        hits = hits.join(among.select(F.col(id).alias("id")), "id", "left_semi")
+    if not phrases:
+        return hits
+    asked = parsed(questions).select("qid", "phrases")
+    required = question_lexemes(asked, F.array_join("phrases", " "), index.analyser, "qid").select("qid").distinct()
+    free = hits.join(bounded_terms(required), "qid", "left_anti")
+    return free.unionByName(hits.join(phrase_matches(asked, index), ["qid", "id"], "left_semi"))
 
 
-def phrase_matches(questions: DataFrame, docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
-    """qid, id: rows that have all phrases of the question. questions: qid, phrases (array of strings, not empty)."""
-    each = questions.select("qid", F.posexplode("phrases").alias("nth", "_phrase")).select("qid", "nth", analyse(F.col("_phrase")).alias("words"), F.size(F.array_distinct(analyse(F.col("_phrase")))).alias("_n"))
-    need = questions.select("qid", F.size("phrases").alias("need"))
-    first = bounded_terms(each.select("qid", "nth", "words", F.get("words", 0).alias("lexeme")))
-    rows = docs.select(F.col(id).alias("id"), analyse(F.col(text)).alias("_words"))
-    # A row meets only phrases whose first lexeme it has.
-    pairs = rows.select("id", "_words", F.explode(F.array_distinct("_words")).alias("lexeme")).join(first, "lexeme")
-    found = pairs.where(has_phrase(F.col("_words"), F.col("words"))).groupBy("qid", "id").agg(F.count_distinct("nth").alias("got"))
-    return found.join(F.broadcast(need), "qid").where("got = need").select("qid", "id")
+def bm25(questions: DataFrame, source: Index | DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75, id: str = "doc_id", text: str = "text", among: DataFrame | None = None, analyser: str = "plain", phrases: bool = False) -> DataFrame:
+    """qid, id, score, rank. Statistics are those of all rows; `among` (some of them) restricts the rows ranked, and with
+    `phrases` a question's phrases do, which its other words then only rank.
 
+    A term adds idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), where the length counts distinct
+    lexemes and idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    index = as_index(source, id, text, analyser)
+    terms = question_terms(questions, index.analyser)
+    idf = index.lexemes.join(bounded_terms(terms.withColumn("part", part_of(F.col("lexeme")))), ["part", "lexeme"])
+    idf = idf.select("qid", "lexeme", F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = _candidates(term_hits(idf, index, "tf", "length"), questions, index, among, id, phrases)
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(index.mean or 1.0)))
+    return top_k(hits.groupBy("qid", "id").agg(F.sum(weight).alias("score")), k).select("qid", "id", "score", "rank")
 
-def ts_rank(questions: DataFrame, docs: DataFrame, k: int, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
+
+def ts_rank(questions: DataFrame, source: Index | DataFrame, k: int, *, id: str = "doc_id", text: str = "text", among: DataFrame | None = None, analyser: str = "plain", phrases: bool = False) -> DataFrame:
     """qid, id, score, rank: term frequency without idf. A term adds the sum of 1 / n**2 for its n-th occurrence, divided
-    by its limit, times the weight 0.1; the sum of terms over 1 + ln(length in lexemes). Occurrences after the 100th add
-    nothing, as in the oracle SQL: they are 0.6 % of a term's weight at most."""
-    terms = question_terms(questions, analyse=analyse)
-    wanted = bounded_terms(terms.select("lexeme").distinct())
-    rows = docs.select(F.col(id).alias("id"), analyse(F.col(text)).alias("_words")).withColumn("length", F.size("_words")).select("id", "length", F.explode("_words").alias("lexeme"))
-    hits = rows.join(wanted, "lexeme", "left_semi").groupBy("id", "length", "lexeme").agg(F.count("*").alias("tf"))
-    series = F.aggregate(F.sequence(F.lit(1), F.least(F.col("tf"), F.lit(100)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i * i))
-    scored = hits.withColumn("_w", 0.1 * series / 1.64493406685).join(bounded_terms(terms), "lexeme")
-    scored = scored.groupBy("qid", "id", "length").agg(F.sum("_w").alias("_sum")).withColumn("score", F.col("_sum") / (1 + F.log("length")))
+    by its limit, times the weight 0.1; the sum of terms over 1 + ln(length in lexemes)."""
+    index = as_index(source, id, text, analyser)
+    hits = _candidates(term_hits(question_terms(questions, index.analyser), index, "tf", "total"), questions, index, among, id, phrases)
+    series = F.aggregate(F.sequence(F.lit(1), F.least(F.col("tf"), F.lit(SERIES)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i.cast("double") * i))
+    rest = F.when(F.col("tf") > SERIES, 1 / F.lit(SERIES + 0.5) - 1 / (F.col("tf") + 0.5)).otherwise(0.0)
+    scored = hits.groupBy("qid", "id", "total").agg(F.sum(0.1 * (series + rest) / 1.64493406685).alias("_sum")).withColumn("score", F.col("_sum") / (1 + F.log("total")))
     return top_k(scored, k).select("qid", "id", "score", "rank")
 
 
-def cover_density(questions: DataFrame, docs: DataFrame, k: int, *, id: str = "doc_id", text: str = "text", analyse=lexemes) -> DataFrame:
+def cover_density(questions: DataFrame, source: Index | DataFrame, k: int, *, id: str = "doc_id", text: str = "text", among: DataFrame | None = None, analyser: str = "plain", phrases: bool = False) -> DataFrame:
     """qid, id, score, rank: each shortest run of words with all of the question's lexemes that the row has adds 0.1
     over the words in it that aren't needed, plus one. Only rows with at least one lexeme of the question."""
-    terms = question_terms(questions, analyse=analyse)
-    wanted = bounded_terms(terms.select("lexeme").distinct())
-    at = docs.select(F.col(id).alias("id"), F.posexplode(analyse(F.col(text))).alias("at", "lexeme")).join(wanted, "lexeme", "left_semi")
-    lists = at.join(bounded_terms(terms), "lexeme").groupBy("qid", "id").agg(F.array_sort(F.collect_list(F.struct("at", "lexeme"))).alias("hits"))
+    index = as_index(source, id, text, analyser)
+    hits = _candidates(term_hits(question_terms(questions, index.analyser), index, "positions"), questions, index, among, id, phrases)
+    each = hits.select("qid", "id", F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("lexeme").alias("lexeme"))).alias("_own"))
+    lists = each.groupBy("qid", "id").agg(F.array_sort(F.flatten(F.collect_list("_own"))).alias("hits"))
 
     @F.pandas_udf(DoubleType())
     def covers(hits: pd.Series) -> pd.Series:
@@ -132,6 +143,11 @@ def cover_density(questions: DataFrame, docs: DataFrame, k: int, *, id: str = "d
     return top_k(lists.withColumn("score", covers("hits")), k).select("qid", "id", "score", "rank")
 
 
+def ranked_by(rank_function: str):
+    """The search of that name."""
+    return {"bm25": bm25, "ts_rank": ts_rank, "ts_rank_cd": cover_density}[one_of("rank_function", rank_function, RANK_FUNCTIONS)]
+
+
 def find_quote(docs: DataFrame, pattern: str, *, text: str = "text", context: int = 40, literal: bool = False, n: int = 10, id: str = "doc_id") -> DataFrame:
     """id, at, excerpt: where the pattern first comes in a row, letter case aside, with its surroundings."""
     wanted = F.lower(F.lit(pattern)) if literal else F.lit(f"(?i){pattern}")
@@ -145,6 +161,3 @@ def with_text(hits: DataFrame, docs: DataFrame, columns: list[str], *, id: str =
     """Hits with columns of their rows: after ranking, on few rows."""
     return hits.join(docs.select(F.col(id).alias("id"), *columns), "id")
 
-
-def positions_score(words: Column, terms: Column) -> Column:
-    return F.size(F.array_intersect(words, terms))

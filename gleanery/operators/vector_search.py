@@ -1,93 +1,159 @@
 """Nearest neighbours for batches of query vectors: exact, filtered before or after, by inverted lists, by sign bits.
 
-Query sets are bounded and checked; vectors stay where they are. The batch form multiplies blocks of vectors with the
-query matrix in numpy and keeps k rows for each query and task before anything is shuffled.
+Queries are sent in blocks of a bounded size, each in one pass of the vectors, which stay where they are: blocks of vectors
+are multiplied with the block of queries in numpy, and k rows for each query and task are kept before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, hamming, inner_product, l2_distance, sign_words
-from .ranking import top_k
+from ..functions.vectors import cosine, inner_product, l2_distance
+from ..sources.stored import written
+from .ranking import SCORE_DIGITS, top_k
+
+#: Query vectors sent to the executors at once, in numbers; scores that a task makes at once.
+MOST_QUERY_NUMBERS, MOST_SCORES = 4_000_000, 4_000_000
+
 
-#: Query vectors sent to the executors at once, in numbers.
-MOST_QUERY_NUMBERS = 4_000_000
+def query_blocks(queries: DataFrame, most: int = MOST_QUERY_NUMBERS) -> Iterator[tuple[list, np.ndarray]]:
+    """Blocks of query ids and their matrix, of at most `most` numbers each, in the order of the ids: none is left out, and
+    the driver holds one block. queries: qid, qvec."""
+    ids: list = []
+    vectors: list = []
+    for qid, vector in queries.select("qid", "qvec").orderBy("qid").toLocalIterator():
+        if vectors and len(vectors[0]) != len(vector):
+            raise ValueError("vectors of different dimensions")
+        ids.append(qid)
+        vectors.append(vector)
+        if (len(vectors) + 1) * len(vector) > most:
+            yield ids, np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, np.float64)
 
 
-def query_matrix(queries: DataFrame, qid: str = "qid", vector: str = "qvec", extra: tuple[str, ...] = ()):
-    """The query ids and matrix, on the driver. A batch over the bound is an error: run it in parts."""
-    rows = queries.select(qid, vector, *extra).orderBy(qid).limit(MOST_QUERY_NUMBERS // 8 + 1).collect()
-    if sum(len(r[1]) for r in rows) > MOST_QUERY_NUMBERS:
-        raise ValueError("too many query vectors for one batch")
-    if len({len(r[1]) for r in rows}) > 1:
+def matrix_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of an Arrow column's vectors are not null, and these as a matrix, without a Python object for any number."""
+    good = np.asarray(column.is_valid())
+    kept = column.filter(pa.array(good)) if not good.all() else column
+    if len(kept) and set(np.unique(np.asarray(kept.value_lengths())).tolist()) != {width}:
         raise ValueError("vectors of different dimensions")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [tuple(r[2:]) for r in rows]
+    return good, np.asarray(kept.flatten(), np.float64).reshape(-1, width)
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id: str = "vec_id", vector: str = "embedding", metric: str = "cosine") -> DataFrame:
-    """qid, id, score, rank: the k nearest rows of vectors for each query. Filter vectors first to search among some.
+def _cosine(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (q @ block.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :])
+
+
+def _l2(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((block - row) ** 2).sum(axis=1)) for row in q])
+
+
+def _sign_distance(q: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Components of different sign: the Hamming distance of the sign bits, as one product."""
+    a, b = (q > 0).astype(np.float32), (block > 0).astype(np.float32)
+    return (a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)).astype(np.float64)
+
 
-    metric: cosine similarity, inner_product, or l2 (a distance: the least is best)."""
-    qids, matrix, _ = query_matrix(queries)
-    if not qids:
-        return vectors.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+#: What is measured, whether the least is best, and the same as an expression.
+METRICS: dict[str, tuple[Callable, bool, Callable | None]] = {
+    "cosine": (_cosine, False, cosine), "inner_product": (lambda q, block: q @ block.T, False, inner_product), "l2": (_l2, True, l2_distance), "signs": (_sign_distance, True, None),
+}
+
+
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, sign: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties by id."""
+    order = np.lexsort((ids, sign * np.round(scores, SCORE_DIGITS), query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if query.size else np.empty(0, np.int64)
+    place = np.arange(query.size) - np.repeat(starts, np.diff(np.append(starts, query.size)))
+    keep = place < k
+    return query[keep], ids[keep], scores[keep]
+
+
+def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str, vector: str, metric: str, qid_type) -> DataFrame:
     shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
+    measure, ascending, _ = METRICS[metric]
+    sign = 1.0 if ascending else -1.0
 
     def score(batches):
         q = shipped.value
-        lengths = np.linalg.norm(q, axis=1)
-        best: list = [(np.empty(0), np.empty(0, np.int64)) for _ in qids]
+        query, ids, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        worst = np.full(len(q), np.inf)  # of each query the k-th best so far, the less the better
         for batch in batches:
-            column = batch.column(1)
-            good = np.array([x.is_valid for x in column])
-            if not good.any():
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
-            block = np.array([x.as_py() for x, g in zip(column, good, strict=True) if g], np.float64)
-            if block.shape[1] != q.shape[1]:
-                raise ValueError("vectors of different dimensions")
-            if metric == "l2":
-                scores = np.stack([np.sqrt(((block - row) ** 2).sum(axis=1)) for row in q])
-            else:
-                scores = q @ block.T
-                if metric == "cosine":
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        scores = scores / (lengths[:, None] * np.linalg.norm(block, axis=1)[None, :])
-            for j in range(len(qids)):
-                s, i = np.concatenate([best[j][0], scores[j]]), np.concatenate([best[j][1], ids])
-                keep = np.lexsort((i, np.round(s if metric == "l2" else -s, 9)))[:k]
-                best[j] = (s[keep], i[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(qids)), [len(b[0]) for b in best])), pa.array(np.concatenate([b[1] for b in best]).astype(np.int64)), pa.array(np.concatenate([b[0] for b in best]))], names=["q", "id", "score"])
+            good, block = matrix_of(batch.column(1), q.shape[1])
+            own = batch.column(0).to_numpy(zero_copy_only=False)[good]
+            step = max(1, MOST_SCORES // len(q))
+            for lo in range(0, len(block), step):
+                found = measure(q, block[lo : lo + step])
+                at, row = np.nonzero(sign * np.round(found, SCORE_DIGITS) <= worst[:, None])  # never true of not-a-number
+                query, ids, scores = _best(np.concatenate([query, at]), np.concatenate([ids, own[lo + row]]), np.concatenate([scores, found[at, row]]), k, sign)
+                counts = np.bincount(query, minlength=len(q))
+                full = np.flatnonzero(counts == k)
+                worst[full] = sign * np.round(scores[np.cumsum(counts)[full] - 1], SCORE_DIGITS)
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["q", "id", "score"])
 
     found = vectors.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(score, "q long, id long, score double")
-    names = F.array(*map(F.lit, qids))
-    rows = found.withColumn("qid", F.get(names, F.col("q").cast("int")).cast(queries.schema["qid"].dataType)).where("score IS NOT NULL AND NOT isnan(score)")
-    return top_k(rows, k, ascending=metric == "l2").select("qid", "id", "score", "rank")
+    names = vectors.sparkSession.sparkContext.broadcast(qids)
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([names.value[k] for k in batch.column(0).to_pylist()], _ARROW[qid_type]), *batch.columns[1:]], names=["qid", "id", "score", "rank"])
+
+    rows = top_k(found.withColumnRenamed("q", "qid"), k, ascending=ascending).select("qid", "id", "score", "rank")
+    return rows.mapInArrow(named, f"qid {qid_type}, id long, score double, rank int")
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id: str = "vec_id", vector: str = "embedding", metric: str = "cosine", most: int = MOST_QUERY_NUMBERS) -> DataFrame:
+    """qid, id, score, rank: the k nearest rows of vectors for each query. Filter vectors first to search among some.
+
+    metric: cosine similarity, inner_product, or l2 and signs (distances: the least is best). More queries than fit into
+    `most` numbers are taken in blocks, a pass of the vectors each. Null vectors and those without length are never near;
+    vectors of different dimensions are an error."""
+    kind = queries.schema["qid"].dataType.simpleString()
+    out = None
+    for qids, matrix in query_blocks(queries, most):
+        rows = _nearest(vectors, qids, matrix, k, id, vector, metric, kind)
+        out = rows if out is None else out.unionByName(rows)
+    return vectors.sparkSession.createDataFrame([], f"qid {kind}, id long, score double, rank int") if out is None else out
+
+
+def rescored(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The rows found, which are few for each query, ordered anew by the metric as an expression, k of them."""
+    pairs = found.select("qid", "id").join(vectors.select(F.col(id).alias("id"), F.col(vector).alias("_v")), "id").join(queries.select("qid", "qvec"), "qid")
+    return top_k(pairs.withColumn("score", METRICS[metric][2](F.col("qvec"), F.col("_v"))).where("score IS NOT NULL"), k, ascending=METRICS[metric][1]).select("qid", "id", "score", "rank")
 
 
 def by_expression(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The same for few queries, within the JVM. The query side is checked and broadcast."""
-    qids, matrix, _ = query_matrix(queries)
-    small = vectors.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in zip(qids, matrix, strict=True)] or [(0, [0.0])], "qid long, qvec array<double>").where(F.lit(bool(qids)))
-    measure = {"cosine": cosine, "inner_product": inner_product, "l2": l2_distance}[metric]
-    pairs = vectors.select(F.col(id).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(small), F.lit(True))
-    return top_k(pairs.withColumn("score", measure(F.col("qvec"), F.col("_v"))).where("score IS NOT NULL"), k, ascending=metric == "l2").select("qid", "id", "score", "rank")
+    """exact_top_k with scores by expression, in double precision whatever the vectors' type."""
+    return rescored(exact_top_k(queries, vectors, k, id=id, vector=vector, metric=metric), queries, vectors, k, metric, id=id, vector=vector)
+
+
+def binary_top_k(queries: DataFrame, vectors: DataFrame, k: int, candidates: int = 40, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The `candidates` nearest by sign bits (ties by id), ordered anew by cosine, k of them."""
+    return rescored(exact_top_k(queries, vectors, candidates, id=id, vector=vector, metric="signs"), queries, vectors, k, id=id, vector=vector)
 
 
 def post_filtered_top_k(queries: DataFrame, vectors: DataFrame, k: int, candidates: int, keep: Column, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The `candidates` nearest of all, then those that pass `keep`, k at most: fewer than k if few of them pass."""
-    near = exact_top_k(queries, vectors, candidates, id=id, vector=vector).select("qid", F.col("id"), "score")
+    near = exact_top_k(queries, vectors, candidates, id=id, vector=vector).select("qid", "id", "score")
     return top_k(near.join(vectors.where(keep).select(F.col(id).alias("id")), "id", "left_semi"), k).select("qid", "id", "score", "rank")
 
 
 def centroids(vectors: DataFrame, lists: int, *, vector: str = "embedding", id: str = "vec_id", sample_rows: int = 20_000, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """k-means centres of a sample of at most about sample_rows rows, chosen by a hash of the id."""
     n = vectors.count()
-    some = vectors.where(F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(1, n)))).select(id, vector).orderBy(id).limit(2 * sample_rows).collect()
+    some = vectors.where(F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_rows / max(1, n)))).where(F.col(vector).isNotNull()).select(id, vector).orderBy(id).limit(2 * sample_rows).collect()
     data = np.array([r[1] for r in some], np.float64)
     data /= np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
     centre = data[np.random.default_rng(seed).choice(len(data), min(lists, len(data)), replace=False)]
@@ -101,35 +167,76 @@ def centroids(vectors: DataFrame, lists: int, *, vector: str = "embedding", id:
 
 
 def inverted_lists(vectors: DataFrame, centre: np.ndarray, *, vector: str = "embedding") -> DataFrame:
-    """vectors with `list`, the number of the nearest centre: every row is indexed."""
+    """vectors with `list`, the number of the nearest centre: every row that has a vector is indexed."""
     shipped = vectors.sparkSession.sparkContext.broadcast(centre)
     names = vectors.columns
 
     def assign(batches):
         for batch in batches:
-            block = np.array(batch.column(names.index(vector)).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            own = (block @ shipped.value.T).argmax(axis=1) if batch.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*names, "list"])
+            good, block = matrix_of(batch.column(names.index(vector)), shipped.value.shape[1])
+            own = (block @ shipped.value.T).argmax(axis=1) if len(block) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(good)).columns, pa.array(own.astype(np.int32))], names=[*names, "list"])
 
     return vectors.mapInArrow(assign, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields), "list int"]))
 
 
+def build_lists(vectors: DataFrame, folder: str, lists: int, *, vector: str = "embedding", id: str = "vec_id") -> None:
+    """The stored index: centres, and every vector in the partition of its list, so that a probe reads its lists alone."""
+    centre = centroids(vectors, lists, vector=vector, id=id)
+    vectors.sparkSession.createDataFrame([(j, [float(x) for x in row]) for j, row in enumerate(centre)], "list int, centre array<double>").write.mode("overwrite").parquet(f"{folder}/centres")
+    rows = inverted_lists(vectors, centre, vector=vector)
+    rows.repartition("list", F.pmod(F.xxhash64(id), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
+
+
+def stored_lists(spark, folder: str) -> tuple[DataFrame, np.ndarray]:
+    """The stored vectors with `list`, and the centres."""
+    centre = np.array([r.centre for r in spark.read.parquet(f"{folder}/centres").orderBy("list").collect()], np.float64)
+    return spark.read.parquet(f"{folder}/lists"), centre
+
+
+def _probe(plan: list[tuple], indexed: DataFrame, kind: str, id: str, vector: str) -> DataFrame:
+    """qid, id, score of the vectors in the lists that each query probes. plan: (qid, qvec, list)."""
+    small = F.broadcast(indexed.sparkSession.createDataFrame(plan, f"qid {kind}, qvec array<double>, list int"))
+    lists = sorted({p[2] for p in plan})
+    pairs = indexed.where(F.col("list").isin(lists)).select(F.col(id).alias("id"), F.col(vector).alias("_v"), "list").join(small, "list")
+    return pairs.select("qid", "id", cosine(F.col("qvec"), F.col("_v")).alias("score")).where("score IS NOT NULL")
+
+
 def probed_top_k(queries: DataFrame, indexed: DataFrame, centre: np.ndarray, k: int, probes: int, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k: each query looks at its `probes` nearest lists only."""
-    qids, matrix, _ = query_matrix(queries)
-    near = np.argsort(-(matrix @ centre.T), axis=1)[:, :probes]
-    small = queries.sparkSession.createDataFrame([(q, [float(x) for x in v], int(j)) for q, v, own in zip(qids, matrix, near, strict=True) for j in own], "qid long, qvec array<double>, list int")
-    pairs = indexed.select(F.col(id).alias("id"), F.col(vector).alias("_v"), "list").join(F.broadcast(small), "list")
-    return top_k(pairs.withColumn("score", cosine(F.col("qvec"), F.col("_v"))), k).select("qid", "id", "score", "rank")
-
-
-def binary_top_k(queries: DataFrame, vectors: DataFrame, k: int, rescored: int = 40, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The `rescored` nearest by sign bits (ties by id), ordered anew by cosine, k of them."""
-    qids, matrix, _ = query_matrix(queries)
-    small = vectors.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in zip(qids, matrix, strict=True)], "qid long, qvec array<double>").withColumn("qbits", sign_words(F.col("qvec")))
-    pairs = vectors.select(F.col(id).alias("id"), F.col(vector).alias("_v")).withColumn("_bits", sign_words(F.col("_v"))).join(F.broadcast(small), F.lit(True))
-    near = top_k(pairs.withColumn("score", hamming(F.col("qbits"), F.col("_bits"))), rescored, ascending=True, into="_near")
-    return top_k(near.withColumn("score", cosine(F.col("qvec"), F.col("_v"))), k).select("qid", "id", "score", "rank")
+    kind, out = queries.schema["qid"].dataType.simpleString(), None
+    for qids, matrix in query_blocks(queries, MOST_QUERY_NUMBERS // probes):
+        near = np.argsort(-(matrix @ centre.T), axis=1)[:, :probes]
+        plan = [(q, v.tolist(), int(j)) for q, v, own in zip(qids, matrix, near, strict=True) for j in own]
+        rows = top_k(_probe(plan, indexed, kind, id, vector), k).select("qid", "id", "score", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    return indexed.sparkSession.createDataFrame([], f"qid {kind}, id long, score double, rank int") if out is None else out
+
+
+def iterative_top_k(queries: DataFrame, indexed: DataFrame, centre: np.ndarray, k: int, probes: int, keep: Column, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate top k among the rows that pass `keep`: a query goes on to its next `probes` nearest lists, and twice as
+    many each round, until k rows passed or all lists are read. What a round found is written, and counted a query."""
+    kind, out = queries.schema["qid"].dataType.simpleString(), []
+    passing = indexed.where(keep)
+    for qids, matrix in query_blocks(queries, MOST_QUERY_NUMBERS // max(1, len(centre))):
+        near = np.argsort(-(matrix @ centre.T), axis=1)
+        done, step, rounds, open_ = 0, probes, [], set(range(len(qids)))
+        while open_ and done < len(centre):
+            plan = [(qids[q], matrix[q].tolist(), int(j)) for q in sorted(open_) for j in near[q, done : done + step]]
+            rounds.append(written(top_k(_probe(plan, passing, kind, id, vector), k).select("qid", "id", "score")))
+            every = rounds[0]
+            for x in rounds[1:]:
+                every = every.unionByName(x)
+            full = {r.qid for r in every.groupBy("qid").count().where(F.col("count") >= k).select("qid").collect()}  # at most a block's ids
+            open_ = {q for q in open_ if qids[q] not in full}
+            done, step = done + step, step * 2
+        out.append(top_k(every, k).select("qid", "id", "score", "rank"))
+    if not out:
+        return indexed.sparkSession.createDataFrame([], f"qid {kind}, id long, score double, rank int")
+    rows = out[0]
+    for x in out[1:]:
+        rows = rows.unionByName(x)
+    return rows
 
 
 def half_precision(vector: Column) -> Column:

@@ -6,41 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexemes, occurrences
-from ..operators import abstention, evaluation, intervals, statistics
+from ..operators import abstention, evaluation, intervals, search_index, statistics
 from ..operators import keyword_search as ks
 from ..operators.ranking import winners
+from ..sources.stored import folder_once
 from ..sources.tables import table
-from .search import _WORDS, questions
+from .search import _WORDS, index, questions
 
 STEP, WIDTH = 800, 1000
 
 
-def chunks(spark, d) -> DataFrame:
-    """Overlapping chunks of the documents: id, doc, char_start, char_end, text."""
+#: Chunk ids are doc * 2**24 + number: room for 16 million chunks a document, more than a text of 2**31 characters has.
+ROOM = 1 << 24
+
+
+def _made(spark, d, name: str, make) -> DataFrame:
+    """A table that the first query of a session writes and the others read."""
+    return spark.read.parquet(folder_once(spark, (d, name), lambda folder: make().write.parquet(folder)))
+
+
+def _chunks(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text", F.length("text").alias("_n")).where("_n > 0")
     rows = docs.select("doc", "text", "_n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / STEP).cast("int") - 1)).alias("_i"))
-    return rows.select((F.col("doc") * 1000 + F.col("_i")).alias("id"), "doc", (F.col("_i") * STEP).alias("char_start"), F.least(F.col("_n"), F.col("_i") * STEP + WIDTH).alias("char_end"), F.substring(F.col("text"), F.col("_i") * STEP + 1, F.lit(WIDTH)).alias("text"))
+    return rows.select((F.col("doc") * ROOM + F.col("_i")).alias("id"), "doc", (F.col("_i") * STEP).alias("char_start"), F.least(F.col("_n"), F.col("_i") * STEP + WIDTH).alias("char_end"), F.substring(F.col("text"), F.col("_i") * STEP + 1, F.lit(WIDTH)).alias("text"))
 
 
-def evidence(spark, d) -> DataFrame:
-    """qid, item, doc, start, end: where each benchmark item stands word for word in a document, every occurrence.
+def chunks(spark, d) -> DataFrame:
+    """Overlapping chunks of the documents: id, doc, char_start, char_end, text."""
+    return _made(spark, d, "chunks", lambda: _chunks(spark, d))
+
+
+def chunk_index(spark, d) -> search_index.Index:
+    return search_index.stored(spark, folder_once(spark, (d, "chunk index"), lambda folder: search_index.refresh(chunks(spark, d), folder, id="id")))
 
-    Candidates have all inner lexemes of the item (an equality join); only they are searched."""
+
+def _evidence(spark, d) -> DataFrame:
     q = questions(spark, d)
-    inner = q.select("qid", F.explode(F.array_distinct(F.slice(lexemes(F.col("question")), 2, F.greatest(F.lit(0), F.size(lexemes(F.col("question"))) - 2)))).alias("lexeme"))
-    need = inner.groupBy("qid").agg(F.count("*").alias("_need"))
-    docs = table(spark, d, "documents")
-    have = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(lexemes(F.col("text")))).alias("lexeme")).join(ks.bounded_terms(inner), "lexeme").groupBy("qid", "doc").agg(F.count("*").alias("_have"))
-    pairs = have.join(F.broadcast(need), "qid").where("_have = _need").select("qid", "doc")
-    rows = pairs.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(F.broadcast(q), "qid").where(F.contains("text", "question"))
-    at = rows.select("qid", F.lit(0).alias("item"), "doc", F.explode(occurrences(F.col("text"), F.col("question"))).alias("start"), F.length("question").alias("_n"))
+    inner = q.withColumn("_w", lexemes(F.col("question"))).select("qid", F.array(F.array_join(F.slice("_w", 2, F.greatest(F.lit(0), F.size("_w") - 2)), " ")).alias("phrases"))
+    pairs = ks.phrase_matches(inner, index(spark, d))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = pairs.join(docs, "id").join(ks.bounded_terms(q), "qid").where(F.contains("text", "question"))
+    at = rows.select("qid", F.lit(0).alias("item"), F.col("id").alias("doc"), F.explode(occurrences(F.col("text"), F.col("question"))).alias("start"), F.length("question").alias("_n"))
     return at.select("qid", "item", "doc", "start", (F.col("start") + F.col("_n")).alias("end"))
 
 
+def evidence(spark, d) -> DataFrame:
+    """qid, item, doc, start, end: where each benchmark item stands word for word in a document, every occurrence.
+
+    Candidates have the item's inner lexemes side by side, by the index; only they are searched."""
+    return _made(spark, d, "evidence", lambda: _evidence(spark, d))
+
+
 def hits(spark, d, k: int = 10) -> DataFrame:
-    c = chunks(spark, d)
-    found = ks.bm25(questions(spark, d), c, k, id="id")
-    return found.join(c.select("id", "doc", "char_start", "char_end"), "id")
+    found = ks.bm25(questions(spark, d), chunk_index(spark, d), k)
+    return found.join(chunks(spark, d).select("id", "doc", "char_start", "char_end"), "id")
 
 
 def relevant(spark, d) -> DataFrame:
@@ -197,7 +216,7 @@ def quote_occurrences(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(at).alias("n"), F.try_element_at(at, F.lit(-1)).alias("last"))
 
 
-_C = f"""c AS (SELECT doc * 1000 + i AS id, doc, (i * {STEP})::INT AS char_start, least(n, i * {STEP} + {WIDTH})::INT AS char_end, substr(text, (i * {STEP} + 1)::BIGINT, {WIDTH}) AS text FROM
+_C = f"""c AS (SELECT doc * 16777216 + i AS id, doc, (i * {STEP})::INT AS char_start, least(n, i * {STEP} + {WIDTH})::INT AS char_end, substr(text, (i * {STEP} + 1)::BIGINT, {WIDTH}) AS text FROM
 (SELECT doc_id AS doc, text, length(text) AS n, unnest(range(0, ((length(text) + {STEP - 1}) // {STEP})::BIGINT)) AS i FROM documents WHERE length(text) > 0))"""
 _E = "e AS (SELECT item_id AS qid, doc_id AS doc, (i - 1)::INT AS start, (i - 1 + n)::INT AS \"end\" FROM (SELECT item_id, doc_id, b.text AS q, d.text AS t, length(b.text) AS n, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE substr(t, i, n) = q)"
 _H = f"""q AS (SELECT DISTINCT item_id AS qid, unnest({_WORDS}) AS lexeme FROM benchmark), w AS (SELECT id, {_WORDS} AS w FROM c),

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_phrase, lexemes, split_query
-from ..operators import fusion, vector_search
+from ..operators import fusion, search_index, vector_search
 from ..operators import keyword_search as ks
+from ..settings import Settings
+from ..sources.stored import folder_once
 from ..sources.tables import table
 
 K, DEPTH, LABELS, CANDIDATES = 10, 50, (1, 3, 5), 100
@@ -33,6 +35,16 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def index(spark: SparkSession, d: str, analyser: str = "plain") -> search_index.Index:
+    """The stored index of the documents: made by the first query of a session, then only read."""
+    folder = folder_once(spark, (d, "documents", analyser), lambda f: search_index.refresh(documents(spark, d), f, analyser=analyser))
+    return search_index.stored(spark, folder, analyser)
+
+
+def lists(spark: SparkSession, d: str, n: int = 16):
+    return vector_search.stored_lists(spark, folder_once(spark, (d, "lists", n), lambda f: vector_search.build_lists(vectors(spark, d), f, n)))
+
+
 def shown(hits: DataFrame) -> DataFrame:
     return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -73,10 +85,17 @@ def ann_recall(spark, d):
 
 
 def ivf_recall(spark, d):
-    v = vectors(spark, d)
-    centre = vector_search.centroids(v, 16)
-    found = vector_search.probed_top_k(query_vectors(spark, d), vector_search.inverted_lists(v, centre), centre, K, 12)
-    return vector_search.recall(found, vector_search.exact_top_k(query_vectors(spark, d), v, K))
+    """Recall of the stored inverted lists, 12 of 16 probed."""
+    indexed, centre = lists(spark, d)
+    found = vector_search.probed_top_k(query_vectors(spark, d), indexed, centre, K, 12)
+    return vector_search.recall(found, vector_search.exact_top_k(query_vectors(spark, d), vectors(spark, d), K))
+
+
+def vector_topk_iterative(spark, d):
+    """A filter that few rows pass, probed until ten do: queries that found fewer have read every list."""
+    indexed, centre = lists(spark, d)
+    found = vector_search.iterative_top_k(query_vectors(spark, d), indexed, centre, K, 2, F.col("label") == LABELS[0])
+    return found.groupBy("qid").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
 
 
 def half_precision_recall(spark, d):
@@ -89,54 +108,80 @@ def lexeme_stats(spark, d):
     return ks.lexeme_stats(documents(spark, d))
 
 
+def stored_lexeme_stats(spark, d):
+    """The statistics that the index holds."""
+    return index(spark, d).lexemes.select("lexeme", "df")
+
+
+def index_refresh(spark, d):
+    """An index of the same rows isn't written again; one more row, or another text, is reason to."""
+    docs = documents(spark, d).where("doc_id < 50").select("doc_id", "text")
+    changes = [("same", docs), ("text", docs.withColumn("text", F.when(F.col("doc_id") == 7, "other").otherwise(F.col("text")))), ("row", docs.unionByName(spark.sql("SELECT 1000000L AS doc_id, 'more' AS text")))]
+    out = []
+    for name, rows in changes:
+        folder = folder_once(spark, (d, "refresh", name), lambda f: search_index.refresh(docs, f))
+        out.append((name, search_index.refresh(rows, folder)))
+        search_index.refresh(docs, folder)
+    return spark.createDataFrame(out, "change string, refreshed boolean")
+
+
 def chunk_set_stats(spark, d):
-    return ks.set_stats(documents(spark, d)).select("n_chunks", F.round("avg_length", 6).alias("avg_length"))
+    own = index(spark, d)
+    return spark.range(1).select(F.lit(own.n).alias("n_chunks"), F.round(F.lit(own.mean), 6).alias("avg_length"))
 
 
 def or_match_count(spark, d):
-    return ks.match_counts(questions(spark, d), documents(spark, d))
+    return ks.match_counts(questions(spark, d), index(spark, d))
 
 
 def bm25_topk(spark, d):
+    return shown(ks.bm25(questions(spark, d), index(spark, d), K))
+
+
+def bm25_unstored_topk(spark, d):
+    """Without a stored index: postings from the documents, for one search."""
     return shown(ks.bm25(questions(spark, d), documents(spark, d), K))
 
 
+def some_documents(spark, d) -> DataFrame:
+    return documents(spark, d).where(F.col("lang").isin("en") & F.col("source").isin("src0", "src1", "src2"))
+
+
 def bm25_topk_filtered(spark, d):
-    docs = documents(spark, d)
-    return shown(ks.bm25(questions(spark, d), docs, K, among=docs.where(F.col("lang").isin("en") & F.col("source").isin("src0", "src1", "src2"))))
+    return shown(ks.bm25(questions(spark, d), index(spark, d), K, among=some_documents(spark, d)))
+
+
+def phrased_questions(spark, d) -> DataFrame:
+    """The items with their third and fourth lexemes quoted, which a hit must have side by side."""
+    words = lexemes(F.col("question"))
+    return questions(spark, d).where(F.size(words) >= 4).withColumn("question", F.concat(F.col("question"), F.lit(' "'), F.array_join(F.slice(words, 3, 2), " "), F.lit('"')))
+
+
+def bm25_phrase_topk(spark, d):
+    return shown(ks.bm25(phrased_questions(spark, d), index(spark, d), K, phrases=True))
+
+
+def ts_rank_phrase_topk(spark, d):
+    return shown(ks.ts_rank(phrased_questions(spark, d), index(spark, d), K, phrases=True))
 
 
 def ts_rank_topk(spark, d):
-    return shown(ks.ts_rank(questions(spark, d), documents(spark, d), K))
+    return shown(ks.ts_rank(questions(spark, d), index(spark, d), K))
 
 
 def cover_density_topk(spark, d):
-    return shown(ks.cover_density(questions(spark, d), documents(spark, d), K))
+    return shown(ks.cover_density(questions(spark, d), index(spark, d), K))
 
 
 def stemmed_bm25_topk(spark, d):
-    """Stems of the distinct lexemes, then BM25 over stems: one more join than the plain analyser."""
-    from ..functions.stemmer import with_stems
-    from ..functions.text import STOP_WORDS
-
-    docs, q = documents(spark, d), questions(spark, d)
-    own = ks.question_terms(q, stop=tuple(STOP_WORDS))
-    stems = with_stems(ks.lexeme_stats(docs).select("lexeme").union(own.select("lexeme")).distinct())
-    posts = ks.postings(docs).join(stems, "lexeme").groupBy("id", F.col("stem").alias("lexeme")).agg(F.sum("tf").alias("tf"))
-    terms = own.join(stems, "lexeme").select("qid", F.col("stem").alias("lexeme")).distinct()
-    lengths = posts.groupBy("id").agg(F.count("*").alias("length"))
-    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
-    hits = posts.join(ks.bounded_terms(terms.select("lexeme").distinct()), "lexeme", "left_semi")
-    idf = hits.groupBy("lexeme").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(mean)))
-    scored = hits.join(idf, "lexeme").join(lengths, "id").join(ks.bounded_terms(terms), "lexeme").groupBy("qid", "id").agg(F.sum(weight).alias("score"))
-    return shown(ks.top_k(scored, K))
+    """BM25 by the English analyser: stop words keep their places, the other words are stemmed."""
+    return shown(ks.bm25(questions(spark, d), index(spark, d, "english"), K))
 
 
 def phrase_match(spark, d):
     """Documents that have the second to sixth lexemes of an item side by side."""
     phrases = questions(spark, d).withColumn("phrases", F.array(F.array_join(F.slice(lexemes(F.col("question")), 2, 5), " ")))
-    return ks.phrase_matches(phrases, documents(spark, d))
+    return ks.phrase_matches(phrases, index(spark, d))
 
 
 def query_split(spark, d):
@@ -147,7 +192,7 @@ def query_split(spark, d):
 
 def lists_of(spark, d):
     q = question_vectors(spark, d)
-    return vector_search.exact_top_k(q, vectors(spark, d), DEPTH), ks.bm25(q, documents(spark, d), DEPTH)
+    return vector_search.exact_top_k(q, vectors(spark, d), DEPTH), ks.bm25(q, index(spark, d), DEPTH)
 
 
 def rrf_fusion(spark, d):
@@ -164,12 +209,21 @@ def hybrid_topk(spark, d):
 
 def rerank_overlap(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
-    first = ks.bm25(questions(spark, d), documents(spark, d), 20)
+    first = ks.bm25(questions(spark, d), index(spark, d), 20)
     return fusion.rerank(first, questions(spark, d), docs, K, 20).select("qid", "id", F.round("score", 6).alias("score"), "rank", "first_rank")
 
 
-def phrase_exists(words, phrase):
-    return has_phrase(words, phrase)
+def retriever_filtered(spark, d):
+    """Hybrid retrieval from the factory, both legs filtered alike before they are cut."""
+    v = vectors(spark, d).join(documents(spark, d).select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    keep = F.col("lang").isin("en") & F.col("source").isin("src0", "src1", "src2")
+    return shown(fusion.retriever("hybrid", question_vectors(spark, d), index(spark, d), v, K, DEPTH, rank_function="bm25", vector_filter=keep, among=some_documents(spark, d)))
+
+
+def configured_search(spark, d):
+    """The settings' retrieval: hybrid with ts_rank and required phrases, re-ranked."""
+    hits = fusion.configured(Settings(rerank_n=20), question_vectors(spark, d), index(spark, d), vectors(spark, d), documents(spark, d))
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), "rank", "first_rank")
 
 
 QUERY_FIXTURES = """SELECT * FROM (VALUES (1, 'what does "goodwill impairment" mean for 16,434 and 1,234.56?'), (2, 'no phrases here'), (3, '" " and "two words" 404,381'), (4, '12345 and 1,23 stay')) AS t(qid, question)"""
@@ -189,7 +243,7 @@ _POST = f"""WITH {_q}, s AS (SELECT qid, vec_id AS id, label, {_COS} AS sc FROM
 c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, id) AS near FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, id)::INT AS rank FROM c WHERE near <= {CANDIDATES} AND {_IN})
 """
-_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 _BM25 = f"""q AS (SELECT DISTINCT item_id AS qid, unnest({_WORDS}) AS lexeme FROM benchmark),
 d AS (SELECT doc_id AS id, lang, source, {_WORDS} AS w FROM documents),
 l AS (SELECT id, lang, source, len(list_distinct(w)) AS n FROM d), a AS (SELECT avg(n) AS m, count(*) AS docs FROM l),
@@ -213,7 +267,26 @@ u AS (SELECT qid, id, sc, rank, 0 AS list_no FROM vr WHERE rank <= {DEPTH} UNION
 f1 AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS sc, min(rank) AS best_rank, arg_min(list_no, rank * 10 + list_no) AS best_list FROM u GROUP BY ALL),
 f2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, best_rank, id)::INT AS rank FROM f1)
 """
-QUERIES = {f.__name__: f for f in (vector_topk_exact, vector_topk_expression, vector_topk_filtered, vector_topk_postfilter, vector_l2_topk, vector_inner_product_topk, vector_binary_rescored, ann_recall, ivf_recall, half_precision_recall, lexeme_stats, chunk_set_stats, or_match_count, bm25_topk, bm25_topk_filtered, ts_rank_topk, cover_density_topk, stemmed_bm25_topk, phrase_match, query_split, rrf_fusion, weighted_fusion, hybrid_topk, rerank_overlap)}
+_TS = "ts AS (SELECT qid, id, lang, source, sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685) / (1 + ln(any_value(len))) AS sc FROM q JOIN p USING (lexeme) JOIN (SELECT id, lang, source, len(w) AS len FROM d) USING (id) GROUP BY ALL)"
+_PHRASED = f"""ph AS (SELECT item_id AS qid, ' ' || array_to_string({_WORDS}[3:4], ' ') || ' ' AS ph FROM benchmark WHERE len({_WORDS}) >= 4),
+both_ AS (SELECT qid, id FROM ph JOIN (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d) ON contains(t, ph))"""
+
+
+def _phrase_sql(scores: str) -> str:
+    return f"""WITH {_BM25}, {_TS}, {_PHRASED}, r AS (SELECT qid, id, sc, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, id)::INT AS rank FROM {scores} SEMI JOIN both_ USING (qid, id))
+SELECT qid, id, round(sc, 6) AS score, rank FROM r WHERE rank <= {K}"""
+
+
+_SOME = "lang = 'en' AND source IN ('src0', 'src1', 'src2')"
+
+
+def _fused(keyword: str, where: str = "TRUE") -> str:
+    """Both legs under a filter, the keyword one by the scores named, fused."""
+    legs = _LEGS.replace("FROM bm)", f"FROM {keyword} WHERE {where})").replace(f"WITH {_BM25}", f"WITH {_BM25}, {_TS}")
+    return legs if where == "TRUE" else legs.replace("FROM qv, embeddings)", f"FROM qv, embeddings JOIN documents ON doc_id = vec_id WHERE {where})")
+
+
+QUERIES = {f.__name__: f for f in (vector_topk_exact, vector_topk_expression, vector_topk_filtered, vector_topk_postfilter, vector_l2_topk, vector_inner_product_topk, vector_binary_rescored, ann_recall, ivf_recall, half_precision_recall, lexeme_stats, stored_lexeme_stats, index_refresh, chunk_set_stats, or_match_count, bm25_topk, bm25_unstored_topk, bm25_topk_filtered, bm25_phrase_topk, ts_rank_phrase_topk, vector_topk_iterative, retriever_filtered, configured_search, ts_rank_topk, cover_density_topk, stemmed_bm25_topk, phrase_match, query_split, rrf_fusion, weighted_fusion, hybrid_topk, rerank_overlap)}
 ORACLES = {
     "vector_topk_exact": _vector_sql(_COS),
     "vector_topk_expression": _vector_sql(_COS),
@@ -230,10 +303,20 @@ SELECT e.qid, round(count(r.id) / count(*), 6) AS recall FROM (SELECT * FROM e W
     "lexeme_stats": f"SELECT lexeme, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS lexeme FROM documents) GROUP BY ALL",
     "chunk_set_stats": f"SELECT count(*) AS n_chunks, round(avg(len(list_distinct({_WORDS}))), 6) AS avg_length FROM documents",
     "or_match_count": f"WITH {_BM25} SELECT item_id AS qid, count(DISTINCT id) AS matches FROM benchmark LEFT JOIN bm ON qid = item_id GROUP BY ALL",
+    "stored_lexeme_stats": f"SELECT lexeme, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS lexeme FROM documents) GROUP BY ALL",
     "bm25_topk": _bm25_sql(),
+    "bm25_unstored_topk": _bm25_sql(),
+    "bm25_phrase_topk": _phrase_sql("bm"),
+    "ts_rank_phrase_topk": _phrase_sql("ts"),
+    "index_refresh": "SELECT unnest(['same', 'text', 'row']) AS change, unnest([false, true, true]) AS refreshed",
+    "vector_topk_iterative": f"WITH {_q}, n AS (SELECT count(*) AS n FROM embeddings WHERE label = {LABELS[0]}) SELECT qid, least({K}, n) AS n, least({K}, n)::INT AS last FROM q, n WHERE n > 0",
+    "retriever_filtered": f"{_fused('bm', _SOME)} SELECT qid, id, round(sc, 6) AS score, rank FROM f2 WHERE rank <= {K}",
+    "configured_search": f"""{_fused('ts')}, qs AS (SELECT qid, list(lexeme) AS ql FROM q GROUP BY ALL),
+s2 AS (SELECT f2.qid, f2.id, f2.rank AS first_rank, len(list_intersect(ql, w)) / len(ql) AS sc FROM f2 JOIN qs USING (qid) JOIN d USING (id) WHERE f2.rank <= 20),
+x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, first_rank)::INT AS rank FROM s2) SELECT qid, id, round(sc, 6) AS score, rank, first_rank FROM x WHERE rank <= {K}""",
     "bm25_topk_filtered": _bm25_sql("lang = 'en' AND source IN ('src0', 'src1', 'src2')"),
     "ts_rank_topk": f"""WITH {_BM25}, t AS (SELECT id, len(w) AS len FROM d),
-s AS (SELECT qid, id, sum(0.1 * list_sum(list_transform(range(1, least(tf, 100) + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685) / (1 + ln(any_value(len))) AS sc FROM q JOIN p USING (lexeme) JOIN t USING (id) GROUP BY ALL),
+s AS (SELECT qid, id, sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685) / (1 + ln(any_value(len))) AS sc FROM q JOIN p USING (lexeme) JOIN t USING (id) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sc, 9) DESC, id)::INT AS rank FROM s) SELECT qid, id, round(sc, 6) AS score, rank FROM r WHERE rank <= {K}""",
     "phrase_match": f"""WITH p AS (SELECT item_id AS qid, ' ' || array_to_string({_WORDS}[2:6], ' ') || ' ' AS ph FROM benchmark), d AS (SELECT doc_id AS id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS t FROM documents)
 SELECT qid, id FROM p, d WHERE contains(t, ph) AND len(ph) > 2""",

@@ -14,7 +14,7 @@ from ..operators.ranking import presentation_position
 from ..sources.tables import table
 from ..streaming.events import event_protocol_problems, parse_sse
 from ..streaming.filters import filter_batch
-from .search import questions
+from .search import index, questions
 
 #: ~ stands for a line feed.
 TEXTS = """SELECT id, replace(t, '~', chr(10)) AS text FROM (VALUES
@@ -90,7 +90,7 @@ def sandwich_order(spark, d):
 
 def passages(spark, d, k: int = 5) -> DataFrame:
     docs = table(spark, d, "documents")
-    hits = ks.bm25(questions(spark, d), docs, k)
+    hits = ks.bm25(questions(spark, d), index(spark, d), k)
     return hits.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
 
 

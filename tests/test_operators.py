@@ -13,7 +13,7 @@ from gleanery.functions import numbers as N
 from gleanery.functions import vectors as V
 from gleanery.functions.stemmer import stem, with_stems
 from gleanery.functions.text import occurrences, positions
-from gleanery.operators import abstention, answers, blocks, chunking, embeddings, evaluation, filters, fusion, statistics, store, vector_search
+from gleanery.operators import abstention, answers, blocks, chunking, embeddings, evaluation, filters, fusion, search_index, statistics, store, vector_search
 from gleanery.operators import keyword_search as ks
 from gleanery.settings import Settings
 
@@ -51,6 +51,39 @@ def test_exact_search_equals_numpy(spark):
     assert {(r.qid, r.id, r.rank) for r in same} == {(r.qid, r.id, r.rank) for r in found}
 
 
+def test_queries_in_blocks_lose_none(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 4)))], "vec_id long, embedding array<double>")
+    q = rows.select(F.concat(F.lit("q"), "vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    assert [len(ids) for ids, _ in vector_search.query_blocks(q, 100)] == [25, 25, 25, 25, 20]
+    one, many = (sorted(map(tuple, vector_search.exact_top_k(q, rows, 3, most=m).collect())) for m in (10**6, 100))
+    assert one == many and len({r[0] for r in many}) == 120
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "inner_product"])
+def test_ties_go_by_id_in_any_number_of_parts(spark, metric):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [2.0, 1.0])], "qid long, qvec array<double>")
+    for n in (1, 7):
+        assert [r.id for r in vector_search.exact_top_k(q, df.repartition(n), 5, metric=metric).orderBy("rank").collect()] == [2, 5, 8, 11, 14]
+
+
+def test_probing_goes_on_until_enough_rows_pass(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in v], i) for i, v in enumerate(rng.normal(size=(400, 8)))] + [(900, None, 3)], "vec_id long, embedding array<double>, n long")
+    vector_search.build_lists(rows, f"file://{tmp_path}/lists", 12)
+    indexed, centre = vector_search.stored_lists(spark, f"file://{tmp_path}/lists")
+    assert indexed.count() == 400 and centre.shape == (12, 8)
+    q = rows.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    keep = F.col("n") % 25 == 0
+    got = vector_search.iterative_top_k(q, indexed, centre, 5, 1, keep)
+    assert {r["count"] for r in got.groupBy("qid").count().collect()} == {5} and vector_search.iterative_top_k(q, indexed, centre, 20, 1, keep).groupBy("qid").count().where("count = 16").count() == 10
+    exact = vector_search.exact_top_k(q, rows, 10)
+    shares = [r.recall for r in vector_search.recall(vector_search.probed_top_k(q, indexed, centre, 10, 9), exact).collect()]
+    assert sum(shares) / len(shares) >= 0.9
+
+
 def test_post_filter_may_return_fewer_and_iterative_does_not(spark):
     rows = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(100)], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qvec array<double>")
@@ -98,12 +131,66 @@ def test_cover_density_rewards_repetition_and_closeness(spark):
     assert [r.id for r in ks.cover_density(q, docs, 5).orderBy("rank").collect()] == [3, 1, 2]
 
 
+def test_phrases_restrict_and_other_words_rank(spark):
+    docs = spark.createDataFrame([(1, "backlog of 404,381 units"), (2, "404 and 381 boeing figure represent"), (3, "the 404,381 boeing backlog"), (4, "boeing")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "What does 404,381 represent for boeing?"), (2, 'only "" boeing'), (3, '"of the" backlog')], "qid long, question string")
+    for search in (ks.bm25, ks.ts_rank, ks.cover_density):
+        got = search(q, docs, 10, phrases=True).collect()
+        assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.qid == 1] == ([1, 3] if search is ks.cover_density else [3, 1])
+        assert {r.id for r in got if r.qid == 2} == {2, 3, 4}
+        assert {(r.qid, r.id) for r in search(q, docs, 10, phrases=True, analyser="english").collect() if r.qid == 3} == {(3, 1), (3, 3)}
+
+
+def test_index_is_written_only_if_rows_changed(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    folder = f"file://{tmp_path}/index"
+    assert [search_index.refresh(rows, folder, analyser="english") for rows in (docs, docs.repartition(3), docs.limit(4), docs.limit(4))] == [True, False, True, False]
+    own = search_index.stored(spark, folder, "english")
+    assert own.n == 4 and {r.lexeme: r.df for r in own.lexemes.collect()}["goodwil"] == 3
+    assert own.postings.where("lexeme = 'impair'").select("id", "positions").orderBy("id").collect() == [(0, [2]), (2, [1])]
+    assert {r.lexeme for r in own.postings.select("lexeme").collect()} & {"at", "of", "on", "other"} == set()
+
+
+def test_very_frequent_terms_rank_by_all_their_occurrences(spark):
+    docs = spark.createDataFrame([(1, "a " * 150 + "b " * 850), (2, "a " * 900 + "b " * 100), (3, "a " * 3000 + "b")], "doc_id long, text string")
+    got = {r.id: r.score for r in ks.ts_rank(spark.createDataFrame([(1, "a")], "qid long, question string"), docs, 5).collect()}
+    for i, tf, total in ((1, 150, 1000), (2, 900, 1000), (3, 3000, 3001)):
+        assert got[i] == pytest.approx(0.1 * sum(1 / n**2 for n in range(1, tf + 1)) / 1.64493406685 / (1 + math.log(total)), rel=1e-9)
+
+
+def test_retriever_options_of_each_mode(spark):
+    q = spark.createDataFrame([(1, "goodwill", [1.0, 0.0])], "qid long, question string, qvec array<double>")
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    v = spark.createDataFrame([(i, [1.0, i / 10], i % 2) for i in range(5)], "vec_id long, embedding array<double>, odd int")
+    assert [r.id for r in fusion.retriever("vector", q, docs, v, 2, vector_filter=F.col("odd") == 1).orderBy("rank").collect()] == [1, 3]
+    assert fusion.retriever("vector", q, docs, v, 2, vector_filter=F.col("odd") == 1, filter_mode="post", candidates=1).count() == 0
+    assert {r.id for r in fusion.retriever("keyword", q, docs, v, 5, rank_function="bm25", among=docs.where("doc_id > 0")).collect()} == {1, 3}
+    both = fusion.retriever("hybrid", q, docs, v, 5, vector_filter=F.col("odd") == 1, among=docs.where("doc_id % 2 = 1")).collect()
+    assert {r.id for r in both} == {1, 3}
+    for wrong in ({"mode": "vector", "phrases": True}, {"mode": "keyword", "filter_mode": "post"}, {"mode": "hybrid", "vector_filter": F.col("odd") == 1}, {"mode": "x"}):
+        with pytest.raises(ValueError):
+            fusion.retriever(wrong.pop("mode"), q, docs, v, 2, **wrong)
+
+
 def test_phrases_must_all_match(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "b a c d"), (3, "a b x c d")], "doc_id long, text string")
     q = spark.createDataFrame([(1, ["a b", "c d"]), (2, ["b c"])], "qid long, phrases array<string>")
     assert {(r.qid, r.id) for r in ks.phrase_matches(q, docs).collect()} == {(1, 1), (1, 3), (2, 1)}
 
 
+PROSE = "prose " * 16
+
+
+def test_reading_order(spark):
+    two = [(310, 10.4, 560), (40, 11, 280), (40, 100, 280), (320, 10.2, 560), (310, 200, 560), (40, 201, 280), (300, 150.0, 301)]
+    crossed = [*two[:6], (40, 150, 560)]
+    rows = [(k, float(x0), float(y0), float(x1), PROSE if x1 - x0 > 50 else "7", 600.0) for k, page in enumerate((two, crossed)) for x0, y0, x1 in page]
+    got = blocks.reading_order(spark.createDataFrame([(1, *r) for r in rows], "id long, page long, x0 double, y0 double, x1 double, text string, width double")).orderBy("page", "reading_index").collect()
+    assert [(r.x0, r.y0) for r in got if r.page == 0] == [(40, 11), (40, 100), (40, 201), (320, 10.2), (310, 10.4), (300, 150), (310, 200)]
+    assert {r.two_columns for r in got if r.page == 0} == {True} and {r.two_columns for r in got if r.page == 1} == {False}
+    assert [(r.x0, r.y0) for r in got if r.page == 1] == [(310, 10.4), (320, 10.2), (40, 11), (40, 100), (40, 150), (310, 200), (40, 201)]
+
+
 def test_stemmer():
     pairs = {"corning": "corn", "impairment": "impair", "running": "run", "hoping": "hope", "cries": "cri", "ties": "tie", "generously": "generous", "relational": "relat", "dying": "die", "sky": "sky", "by": "by", "happy": "happi", "agreed": "agre", "luxuriated": "luxuri"}
     assert {w: stem(w) for w in pairs} == pairs
