@@ -1,8 +1,8 @@
 """Words as numbers, and hashes of all windows of words of a text at once, with numpy.
 
-A word's number is its XXH3 hash under a seed. A window's hash is a polynomial in these numbers modulo the prime 2**61 - 1,
-at a base that the seed gives too. Hashes choose candidates only: a clash costs a comparison, and what is removed or linked
-is decided by cryptographic digests of the words or by the words themselves.
+A word's number is its XXH3 hash under a seed. A window's hash is a polynomial in these numbers modulo 2**64 at an odd base
+that the seed gives too; prefix sums give every window's in two look-ups. Hashes choose candidates only: a clash costs a
+comparison, and what is removed or linked is decided by cryptographic digests of the words or by the words themselves.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from xxhash import xxh3_64_intdigest
 _BLANKS = bytes(range(9, 14))
 TO_BLANK = bytes(32 if b in _BLANKS else b for b in range(256))
 TO_LOWER_BLANK = bytes(32 if b in _BLANKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-PRIME = (1 << 61) - 1
-_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
-_1, _30, _31, _61 = (np.uint64(n) for n in (1, 30, 31, 61))
 
 
 def joined_words(text: bytes, lower: bool = False) -> bytes:
@@ -43,19 +40,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def folded(x: np.ndarray) -> np.ndarray:
-    """64-bit numbers modulo PRIME."""
-    x = (x & _P) + (x >> _61)
-    return np.where(x >= _P, x - _P, x)
-
-
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo PRIME, of numbers below it: halves of 31 bits, as 2**61 is 1."""
-    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
-    middle, low = a1 * b0 + a0 * b1, a0 * b0
-    return folded(((a1 * b1) << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + (low & _P) + (low >> _61))
-
-
 def word_numbers(words: list[bytes], seed: int) -> np.ndarray:
     """A 64-bit number of each word."""
     return np.fromiter(map(xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words))
@@ -66,18 +50,17 @@ class WindowHash:
 
     def __init__(self, key: bytes) -> None:
         self.seed = int.from_bytes(key[:8], "little")
-        self.base = int.from_bytes(blake2b(b"base", digest_size=16, salt=key).digest(), "little") % (PRIME - 2) + 2
-        self.inverse = pow(self.base, -1, PRIME)
+        self.base = int.from_bytes(blake2b(b"base", digest_size=8, salt=key).digest(), "little") | 3
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
         def powers(of: int) -> np.ndarray:
             out = np.ones(1, np.uint64)
             while out.size < n:
-                out = np.concatenate([out, product(out, np.uint64(pow(of, out.size, PRIME)))])
+                out = np.concatenate([out, out * np.uint64(pow(of, out.size, 1 << 64))])
             return out
 
-        self.powers, self.inverses = powers(self.base), powers(self.inverse)
+        self.powers, self.inverses = powers(self.base), powers(pow(self.base, -1, 1 << 64))
 
     def windows(self, words: list[bytes], size: int) -> np.ndarray:
         """A 64-bit hash of each run of `size` words: depends on the words alone, not on their place."""
@@ -86,9 +69,6 @@ class WindowHash:
             return np.empty(0, np.uint64)
         if self.powers.size < len(words):
             self._grow(max(1 << 12, len(words)))
-        terms = product(folded(word_numbers(words, self.seed)), self.powers[: len(words)])
-        # Sums modulo PRIME, by halves that can't overflow; multiplying by 2**31 turns 61 bits about.
-        high = folded(np.cumsum(terms >> _31))
         upto = np.zeros(len(words) + 1, np.uint64)
-        upto[1:] = folded(((high << _31) & _P) + (high >> _30) + folded(np.cumsum(terms & _LOW31)))
-        return mixed(product(folded(upto[size:] + _P - upto[:n]), self.inverses[:n]))
+        np.cumsum(word_numbers(words, self.seed) * self.powers[: len(words)], out=upto[1:])
+        return mixed((upto[size:] - upto[:n]) * self.inverses[:n])

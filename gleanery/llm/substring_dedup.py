@@ -147,8 +147,9 @@ def answer_blocks(table: pa.Table) -> pa.Table:
 
 
 def extend(part: int, texts: Texts, answers: dict[int, bytes], bucket_bits: int) -> pa.Table:
-    """The windows about the group's hits: distinct hashes for each bucket, each with the first document that has it;
-    and which windows those are, sent to this group itself."""
+    """The windows about the group's hits: distinct digests for each bucket, each with the first document that has it. To
+    this group itself: which windows those are, which of them an earlier document of the group has, each one's number among
+    the distinct digests, and where the buckets' digests begin."""
     keys, order, starts, _, _, counts = sorted_blocks(texts, bucket_bits + 32)
     if not keys.size or not answers:
         return parcels([])
@@ -174,11 +175,17 @@ def extend(part: int, texts: Texts, answers: dict[int, bytes], bucket_bits: int)
     order = np.lexsort((docs, low, high))
     high, low, docs = high[order], low[order], docs[order]
     starts = run_starts(high, low)
-    high, low, first = high[starts], low[starts], np.array(texts.order, np.int64)[docs[starts]]
+    lengths = np.diff(np.append(starts, high.size))
+    ids = np.array(texts.order, np.int64)[docs]
+    number, later = np.empty(order.size, np.uint32), np.empty(order.size, bool)
+    number[order] = np.repeat(np.arange(starts.size, dtype=np.uint32), lengths)
+    later[order] = ids > np.repeat(ids[starts], lengths)
+    high, low, first = high[starts], low[starts], ids[starts]
     buckets = (high >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(high.size, np.int64)
     cuts = run_starts(buckets)
     rows = [(int(buckets[lo]), part, HASHES, planes(high[lo:hi]) + planes(low[lo:hi]), planes(first[lo:hi])) for lo, hi in zip(cuts, np.append(cuts[1:], buckets.size), strict=True)]
-    return parcels([*rows, (part % (1 << bucket_bits), part, ANCHORS, np.packbits(chosen).tobytes(), None)])
+    own = np.packbits(chosen).tobytes(), np.packbits(later).tobytes(), planes(number), planes(np.append(cuts, buckets.size).astype(np.int64))
+    return parcels([*rows, (part % (1 << bucket_bits), part, ANCHORS, b"".join(own), planes(np.array([len(x) for x in own], np.int64)))])
 
 
 def answer_windows(table: pa.Table) -> pa.Table:
@@ -199,26 +206,24 @@ def answer_windows(table: pa.Table) -> pa.Table:
     return parcels(out)
 
 
-def repeats(texts: Texts, chosen: np.ndarray | None, answers: dict[int, bytes], bucket_bits: int) -> list[list[tuple[int, int]]]:
-    """For each document its maximal repeats: (first word, number of words)."""
+def repeats(texts: Texts, own: tuple[bytes, bytes] | None, answers: dict[int, bytes], buckets: list[int]) -> list[list[tuple[int, int]]]:
+    """For each document its maximal repeats: (first word, number of words). own: what extend sent to this group; answers:
+    the buckets' bits; buckets: those with an answer, in order."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts.joined]
-    if chosen is None:
+    if own is None:
         return out
-    high, low, docs, firsts = texts.windows(chosen)
-    order = np.lexsort((docs, low, high))
-    high, low, docs, firsts = high[order], low[order], docs[order], firsts[order]
-    starts = run_starts(high, low)
-    lengths = np.diff(np.append(starts, high.size))
-    buckets = (high[starts] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(starts.size, np.int64)
-    cuts = run_starts(buckets)
-    earlier = np.zeros(starts.size, bool)
-    for lo, hi in zip(cuts, np.append(cuts[1:], buckets.size), strict=True):
-        earlier[lo:hi] = np.unpackbits(np.frombuffer(answers[int(buckets[lo])], np.uint8), count=hi - lo).astype(bool)
-    ids = np.array(texts.order, np.int64)[docs]
-    goes = np.repeat(earlier, lengths) | (ids > np.repeat(ids[starts], lengths))
-    docs, firsts = docs[goes], firsts[goes]
-    order = np.lexsort((firsts, docs))
-    docs, firsts = docs[order], firsts[order]
+    body, sizes = own
+    ends = np.cumsum(unplanes(sizes, np.int64)).tolist()
+    later_at, number_at, cuts_at, _ = ends
+    number, cuts = unplanes(body[number_at:cuts_at], np.uint32), unplanes(body[cuts_at:], np.int64)
+    later = np.unpackbits(np.frombuffer(body[later_at:number_at], np.uint8), count=number.size).astype(bool)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(body[:later_at], np.uint8)))
+    earlier = np.concatenate([np.unpackbits(np.frombuffer(answers[b], np.uint8), count=hi - lo) for b, lo, hi in zip(buckets, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]).astype(bool)
+    windows = [max(0, joined.count(b" ") + 2 - WINDOW) if joined else 0 for joined in texts.joined]
+    begins = np.concatenate([[0], np.cumsum(windows)])
+    at = at[earlier[number] | later]
+    docs = np.searchsorted(begins, at, side="right") - 1
+    firsts = at - begins[docs]
     if docs.size:
         new = np.ones(docs.size, bool)
         new[1:] = (docs[1:] != docs[:-1]) | (firsts[1:] > firsts[:-1] + WINDOW)
@@ -259,15 +264,13 @@ def remove_repeats(docs: DataFrame, group_bytes: int | None = None, bucket_words
         return extend(key[0].as_py(), Texts(table, salt), got, bits) if table.num_rows else parcels([])
 
     def third(key, table, answers):
-        own = Texts(table, salt) if table.num_rows else None
-        kinds, buckets, bodies = (answers.column(c).to_pylist() for c in ("kind", "bucket", "body"))
+        texts_ = Texts(table, salt) if table.num_rows else None
+        kinds, buckets, bodies, extras = (answers.column(c).to_pylist() for c in ("kind", "bucket", "body", "extra"))
         got = {b: x for k, b, x in zip(kinds, buckets, bodies, strict=True) if k == HASHES}
-        chosen = next((x for k, x in zip(kinds, bodies, strict=True) if k == ANCHORS), None)
+        sent = next(((x, y) for k, x, y in zip(kinds, bodies, extras, strict=True) if k == ANCHORS), None)
         rows: list[tuple] = []
-        if own is not None:
-            if chosen is not None:
-                chosen = np.unpackbits(np.frombuffer(chosen, np.uint8)).astype(bool)
-            for doc_id, joined, spans in zip(own.ids, own.joined, repeats(own, chosen, got, bits), strict=True):
+        if texts_ is not None:
+            for doc_id, joined, spans in zip(texts_.ids, texts_.joined, repeats(texts_, sent, got, sorted(got)), strict=True):
                 n, kept = joined.count(b" ") + 1 if joined else 0, joined
                 if spans:
                     edge = word_edges(np.frombuffer(joined, np.uint8))[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, language_id, near_dedup, sentencepiece_codec, substring_dedup, token_counts, vocabulary, warc
 from gleanery.llm.components import components
-from gleanery.llm.hashing import PRIME, WindowHash, mixed, product, word_numbers
+from gleanery.llm.hashing import WindowHash, mixed, word_numbers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,18 +49,26 @@ def test_repeats_of_an_empty_table(none):
     assert substring_dedup.repeats_removed(none).count() == 0
 
 
-def test_products_and_window_hashes_modulo_the_prime():
+def test_window_hashes_are_polynomials():
     rng = random.Random(1)
-    a, b = ([rng.randrange(PRIME) for _ in range(500)] + [0, 1, PRIME - 1] for _ in range(2))
-    assert product(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % PRIME for x, y in zip(a, b, strict=True)]
     h = WindowHash(b"k" * 16)
     w = [b"%d" % rng.randrange(40) for _ in range(5000)]
-    numbers = [int(x) % PRIME for x in word_numbers(w, h.seed)]
-    want = [sum(numbers[i + j] * pow(h.base, j, PRIME) for j in range(25)) % PRIME for i in range(len(w) - 24)]
+    numbers = word_numbers(w, h.seed).tolist()
+    want = [sum(numbers[i + j] * pow(h.base, j, 1 << 64) for j in range(25)) % (1 << 64) for i in range(len(w) - 24)]
     assert h.windows(w, 25).tolist() == mixed(np.array(want, np.uint64)).tolist()
     assert not h.windows(w[:24], 25).size and not h.windows([], 25).size
 
 
+def test_clashing_window_hashes_remove_nothing(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WindowHash", lambda key: type("All", (), {"windows": lambda self, words, size: np.zeros(max(0, len(words) - size + 1), np.uint64)})())
+    texts = substring_dedup.Texts(substring_dedup.pa.table({"doc_id": [1, 2], "text": [" ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))]}), b"z" * 16)
+    first = substring_dedup.probe(0, texts, 0)
+    second = substring_dedup.extend(0, texts, dict(zip(*(substring_dedup.answer_blocks(first).column(c).to_pylist() for c in ("bucket", "body")))), 0)
+    answers = substring_dedup.answer_windows(second).to_pylist()
+    sent = next((r["body"], r["extra"]) for r in answers if r["kind"] == substring_dedup.ANCHORS)
+    assert second.num_rows == 2 and substring_dedup.repeats(texts, sent, {0: next(r["body"] for r in answers if r["kind"] == substring_dedup.HASHES)}, [0]) == [[], []]
+
+
 def thue_morse(n, flip=0):
     """Has the same hash as its complement under any polynomial modulo a power of 2."""
     return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
