@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import fresh, words, written
 
 BLOCK_WORDS = 64
-CHUNK = 1 << 16
+CHUNK, CHUNKS_OF_TASK, MOST_TASKS = 1 << 14, 16, 20_000
 SLOTS_PER_SHARD = 4096
 RANGES = 512
 ROUNDS = 16
@@ -68,7 +68,9 @@ def draw_slots(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame
     rows = sources.where("n_blocks > 0").withColumn("_own", F.round(F.col("n_blocks") * F.col("rate")).cast("long")).where("_own > 0")
     rows = rows.withColumns({"_slots": F.sum("_own").over(Window.partitionBy()), "_lo": F.sum("_own").over(Window.orderBy("source_no")) - F.col("_own")})
     rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_own") - 1) / CHUNK))))
-    rows = written(rows, "slot_chunks").repartition("source_no", "_chunk")  # a few rows become all slots
+    rows = written(rows, "slot_chunks")
+    # A few rows become all slots. The number is given, or adaptive execution would leave them to one task.
+    rows = rows.repartition(max(1, min(MOST_TASKS, -(-rows.count() // CHUNKS_OF_TASK))))
     turns = F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("_own"), (F.col("_chunk") + 1) * CHUNK) - 1)
     rows = rows.select("source_no", "n_blocks", "_slots", "_lo", F.explode(turns).alias("turn")).withColumn("_slot", F.col("_lo") + F.col("turn"))
     rows = shuffled_index(rows, "_slot", "_slots", [], seed + 2)
