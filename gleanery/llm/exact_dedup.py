@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, fresh, spread_join, written
+from .common import WS, dropped, fresh, spread_join, written
 
 BLOCK_BYTES = 4096
 
@@ -52,6 +52,7 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         twins = written(twins.withColumn("nth", F.row_number().over(Window.partitionBy("tag").orderBy("block"))), "twins")
         rows = written(blocks.join(twins, ["tag", "block"], "left").withColumn("nth", F.coalesce("nth", F.lit(0))).drop("block"), "tagged")
     rows = written(_named(rows, ["tag", "nth"], "names_0"), "level_0")
+    dropped(blocks)
     left, level, done = rows.agg(F.max("n_blocks")).first()[0] or 1, 0, []
     while True:
         done.append(rows.where(F.ceil(F.col("n_blocks") / F.lit(1 << level)) == 1).select("row", "doc_id", "sha", "n_blocks", "name"))
@@ -68,27 +69,35 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return named
 
 
-def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, and the column `row` of docs (unique numbers) if it is named: one row
-    for each row of docs.
+def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs.
 
     Of equal texts the row with the smallest doc_id stays; where several rows have that, one of them. A row repeated with
     its doc_id and text counts each time. A null text counts as empty; a null doc_id comes after all others, so keep_id is
     null where a text has no other. An empty table gives none. Other columns are not read."""
-    docs = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
-    named = name_documents(docs, block_bytes)
+    named = name_documents(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), block_bytes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = written(named.groupBy("n_blocks", "name").agg(first.alias("first"), F.count("*").alias("times")), "groups")
     rows = spread_join(named, groups.withColumn("group_size", F.col("times")), ["n_blocks", "name"], "times")
     kept = F.col("row") == F.col("first.row")
-    return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("row").alias(row)] if row else []))
+    return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def distinct_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns, whatever these are called."""
-    row = fresh(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "exact_input")
-    return rows.join(exact_groups(rows, block_bytes, row).where("kept").select(row), row, "left_semi").drop(row)
+    """The rows of docs that exact_groups keeps, with all their columns, whatever these are called. Of rows that are alike
+    in doc_id and normalised text, any one stays."""
+    groups = written(exact_groups(docs, block_bytes).select("doc_id", "text_sha256", "kept"), "exact_groups")
+    sha, id_ = fresh(docs, "_sha"), fresh(docs, "_id")
+    named = lambda df: df.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha + "_"))
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    same = lambda other: rows["doc_id"].eqNullSafe(other[id_]) & (rows[sha] == other[sha + "_"])
+    stays = named(groups.where("kept"))
+    kept = rows.join(stays, same(stays), "left_semi")
+    alike = written(named(groups.groupBy("doc_id", "text_sha256").count().where("count > 1")), "alike")
+    if not alike.isEmpty():
+        rows = kept
+        kept = rows.join(alike, same(alike), "left_anti").unionByName(rows.join(alike, same(alike), "left_semi").dropDuplicates(["doc_id", sha]))
+    return kept.drop(sha)
 
 
 ORACLE_SQL = r"""

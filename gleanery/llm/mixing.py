@@ -77,24 +77,25 @@ def draw_slots(sources: DataFrame, slots_per_shard: int, seed: int) -> DataFrame
     return rows.select("source_no", "n_blocks", "turn", F.floor(F.col("_slot") / slots_per_shard).alias("shard"))
 
 
-def lay_out(docs: DataFrame, seed: int = 0, ranges: int = RANGES, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+def lay_out(docs: DataFrame, seed: int = 0, ranges: int = RANGES, text_key: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents on their sources' token streams, and the sources.
 
-    First: doc_id, size, source, source_no, start (tokens of the source before this document), row_key (the column `row`
-    of docs, else a key of the place). Second: source, source_size, source_no, weight, target. Rows that differ in nothing
-    else take places in any order."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), (F.col(row) if row else F.lit(0)).alias("_row"))
+    First: doc_id, size, source, source_no, start (tokens of the source before this document), row_key (of the place) and
+    text_key (the text's SHA-256, if asked for). Second: source, source_size, source_no, weight, target. Rows that differ
+    in nothing else take places in any order."""
+    key = F.unhex(F.sha2("text", 256)) if text_key else F.lit(None).cast("binary")
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("text_key"))
     sized = sized.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "size"))
     sized = written(sized.withColumn("_range", F.pmod("_hash", F.lit(ranges)).cast("int")), "sizes")
     parts = sized.groupBy("source", "_range").agg(F.sum("size").alias("_in_range"))
     parts = parts.withColumn("_before", F.coalesce(F.sum("_in_range").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     sources = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     parts = written(parts.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).select("_source", F.col("_range").alias("_part"), "_before", "source_no"), "ranges")
-    within = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size")
+    within = Window.partitionBy("source", "_range").orderBy("_hash", "doc_id", "size", "text_key")
     placed = sized.withColumns({"_sum": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), "_nth": F.row_number().over(within)})
     placed = placed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_part")))
-    key = F.col("_row") if row else F.struct("source_no", "_range", "_nth")
-    return placed.select("doc_id", "size", "source", "source_no", (F.col("_before") + F.coalesce("_sum", F.lit(0).cast("long"))).alias("start"), key.alias("row_key")), sources
+    start = F.col("_before") + F.coalesce("_sum", F.lit(0).cast("long"))
+    return placed.select("doc_id", "size", "source", "source_no", start.alias("start"), F.struct("source_no", "_range", "_nth").alias("row_key"), "text_key"), sources
 
 
 def mixed_blocks(sources: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 0, in_arcs: bool = False) -> DataFrame:
@@ -144,14 +145,14 @@ def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard
 
     Parts of rounds are arcs of the source's stream, so that documents are whole, up to MOST_REPEATS times, but for the two
     that an arc's ends cut in each source: of these the words inside stay, joined by blanks. Documents without words aren't
-    taken, nor are null texts. Rows may be repeated; null doc_ids and sources are values like any other; an empty table
-    gives none; other columns are carried along, whatever their names."""
-    row = fresh(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix_input")
-    placed, sources = lay_out(rows, seed, ranges, row)
-    pieces = _pieces(placed.where("size > 0"), mixed_blocks(sources, block_words, slots_per_shard, seed, in_arcs=True), block_words)
+    taken, nor are null texts. Null doc_ids and sources are values like any other; rows alike in doc_id, source and text
+    each have their place, and one's other columns stand for all; an empty table gives none; other columns are carried
+    along, whatever their names."""
+    placed, sources = lay_out(docs, seed, ranges, text_key=True)
+    placed = written(placed.where("size > 0"), "placed")
+    pieces = _pieces(placed, mixed_blocks(sources, block_words, slots_per_shard, seed, in_arcs=True), block_words)
     parts = F.sort_array(F.collect_list(F.when(F.col("times") > 0, F.struct((F.col("_lo") - F.col("start")).cast("int").alias("lo"), (F.col("_hi") - F.col("start")).cast("int").alias("hi"), "times"))))
-    found = pieces.groupBy(F.col("row_key").alias("_key")).agg(F.first("size").alias("_size"), parts.alias("_parts")).where(F.size("_parts") > 0)
+    found = pieces.groupBy("row_key").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "text_key", "size")], parts.alias("_parts")).where(F.size("_parts") > 0)
     none = F.array().cast("array<struct<lo:int,hi:int>>")
 
     def runs(level: int):
@@ -162,13 +163,16 @@ def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, slots_per_shard
 
         return F.aggregate(F.filter("_parts", lambda x: x["times"] >= level), none, step)
 
-    found = found.select("_key", "_size", F.explode(F.concat(*[runs(level) for level in range(1, MOST_REPEATS + 1)])).alias("_run"))
-    found = found.select(F.col("_key").alias("_mix_key"), F.struct("_size", "_run.lo", "_run.hi").alias("_mix_run"))
-    names = {c: fresh(rows, c) for c in found.columns}
-    for old, new in names.items():
-        found = found.withColumnRenamed(old, new)
-    run = F.col(names["_mix_run"])
-    whole = (run["lo"] == 0) & (run["hi"] == run["_size"])
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), run["lo"] + 1, run["hi"] - run["lo"]), " "))
-    out = rows.join(found, rows[row] == found[names["_mix_key"]])
+    found = found.withColumn("run", F.explode(F.concat(*[runs(level) for level in range(1, MOST_REPEATS + 1)])))
+    key, run = fresh(docs, "_text_key"), fresh(docs, "_run")
+    rows = docs.withColumn(key, F.unhex(F.sha2("text", 256)))
+    same = lambda other: rows["doc_id"].eqNullSafe(other[run]["doc_id"]) & rows["source"].eqNullSafe(other[run]["source"]) & (rows[key] == other[run]["text_key"])
+    alike = written(placed.groupBy("doc_id", "source", "text_key").count().where("count > 1").select(F.struct("doc_id", "source", "text_key").alias(run)), "alike")
+    if not alike.isEmpty():
+        whole = rows
+        rows = whole.join(alike, same(alike), "left_anti").unionByName(whole.join(alike, same(alike), "left_semi").dropDuplicates(["doc_id", "source", key]))
+    found = found.select(F.struct("doc_id", "source", "text_key", "size", "run.lo", "run.hi").alias(run))
+    part = F.col(run)
+    text = F.when((part["lo"] == 0) & (part["hi"] == part["size"]), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), part["lo"] + 1, part["hi"] - part["lo"]), " "))
+    out = rows.join(found, same(found))
     return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, small_batches, written
+from .common import dropped, once, small_batches, written
 from .components import components
 from .hashing import joined_words, mixed, word_numbers
 
@@ -182,6 +182,7 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, perc
     stars = written(stars, "stars")
     texts = _texts(docs, classes, stars.select(F.col("a").alias("id")).union(stars.select("b")), "texts_of_stars")
     to_leader = written(confirmed(stars, texts, shingle, percent), "links_to_leaders")
+    dropped(texts)
     labels = components(to_leader)
     members = written(members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "member_components")
     mixed_leaders = members.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi AND size > 2").select("leader")
@@ -192,7 +193,9 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, perc
         return to_leader
     texts = _texts(docs, classes, near.select("id"), "texts_across")
     found = written(_in_blocks(members.join(near, ["leader", "id"], "left_semi"), texts, 2_000, _joining_links(shingle, percent)).select("a", "b").distinct(), "joining")
-    return to_leader.unionByName(written(confirmed(found, texts, shingle, percent), "links_across"))
+    across = written(confirmed(found, texts, shingle, percent), "links_across")
+    dropped(texts)
+    return to_leader.unionByName(across)
 
 
 #: Members of a leader in one block; two blocks are compared at a time.
