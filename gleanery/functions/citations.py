@@ -12,9 +12,10 @@ AFTER_STOP = r"([.!?])((?:[ \t]*\[\d+(?:\s*,\s*\d+)*\])+)"
 
 
 def normalise_markers(text: Column) -> Column:
-    """Full-width markers as plain ones. A full-width comma between digits becomes a plain one throughout."""
-    plain = F.regexp_replace(text, WIDE_MARKER, "[$1]")
-    return F.regexp_replace(plain, r"(?<=\d)\s*，\s*(?=\d+(?:\s*[,，]\s*\d+)*\])", ",")
+    """Full-width markers as plain ones, their full-width commas too; what stands outside them stays as it is."""
+    open_, close = "\ue000", "\ue001"  # private characters, that no text has
+    inside = F.regexp_replace(F.regexp_replace(text, WIDE_MARKER, f"{open_}$1{close}"), f"，(?=[^{open_}{close}]*{close})", ",")
+    return F.translate(inside, open_ + close, "[]")
 
 
 def marker_numbers(text: Column) -> Column:

@@ -37,10 +37,12 @@ def ratio(a: Column, b: Column) -> Column:
 def binomial_p(wins: Column, losses: Column) -> Column:
     """Two-sided exact p of the sign test: twice the upper tail of Binomial(n, 1/2), 1 at most; 1 without pairs."""
     n, k = (wins + losses).cast("int"), F.greatest(wins, losses).cast("int")
-    # log of the factorials, so that no term overflows; summed from the largest tail term on
+    # Logs of factorials, so that the largest term doesn't overflow; each next one from the one before.
     log_factorial = lambda m: F.aggregate(F.when(m >= 1, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    term = lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i))
+    first = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * F.log(F.lit(2.0)))
+    steps = F.when(k < n, F.sequence(k, n - 1)).otherwise(F.array().cast("array<int>"))
+    onward = lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["sum"] + a["term"] * (n - i) / (i + 1)).alias("sum"))
+    tail = F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), onward)["sum"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

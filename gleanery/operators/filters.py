@@ -61,6 +61,11 @@ def request_problem(question: Column, k: Column, companies: Column, years: Colum
     )
 
 
+def lookup(rows: DataFrame, **key) -> DataFrame:
+    """The rows with these values: by an id, one or none."""
+    return rows.where(in_partition(**key))
+
+
 def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 

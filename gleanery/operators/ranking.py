@@ -41,7 +41,3 @@ def winners(rows: DataFrame, name: str, metrics: dict[str, bool]) -> DataFrame:
 def result_page(rows: DataFrame, n: int, offset: int, *order: Column) -> DataFrame:
     """n rows from the given place on, in a total order."""
     return rows.orderBy(*order).offset(offset).limit(n)
-
-
-def sorted_report(rows: DataFrame, *columns: Column) -> DataFrame:
-    return rows.orderBy(*columns)

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.numbers import binomial_p, percentile_cont, ratio
+from ..functions.numbers import binomial_p, percentile_cont
 from ..settings import MODES, STRATEGIES
-from .ranking import winners
 
 # Sizes of the ablation grid, and its extra configurations.
 GRID_SIZES = (128, 256, 510)
@@ -124,10 +123,3 @@ def newest_run(runs: DataFrame) -> DataFrame:
 def answer_summary(answers: DataFrame) -> DataFrame:
     """One row on a run of answers: n_packed, n_dropped, tokens, refusal_reason, n_invalid, n_uncited, list_usd."""
     return answers.agg(F.count("*").alias("n"), F.sum("n_packed").alias("packed"), F.sum("n_dropped").alias("dropped"), percentile_cont("tokens", 0.5).alias("tokens_median"), F.max("tokens").alias("tokens_max"), F.count("refusal_reason").alias("refusals"), F.sum("n_invalid").alias("invalid"), F.sum("n_uncited").alias("uncited"), F.sum("list_usd").alias("list_usd"))
-
-
-def share(a: Column, b: Column) -> Column:
-    return ratio(a, b)
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "random", "product", "pd")] + [winners.__name__]

@@ -181,12 +181,6 @@ def agreement_counts(spark, d):
     return statistics.overlap_counts(scored(spark, d), "positive", "refused")
 
 
-def judge_scores(spark, d):
-    rows = spark.sql("""SELECT * FROM (VALUES (1, '{"claims":[{"supported":true},{"supported":false},{"supported":true}]}', '{"score":4}', '{"verdict":"partial"}'),
-      (2, '{"claims":[]}', '{"score":9}', '{"verdict":"correct"}'), (3, 'not json', '{"score":0}', '{"verdict":"odd"}')) AS t(id, faithfulness_json, relevance_json, correctness_json)""")
-    return statistics.quality_scores(rows).select("id", F.round("faithfulness", 6).alias("faithfulness"), F.round("relevance", 6).alias("relevance"), "correctness")
-
-
 def latency_marks(spark, d):
     """First click, first view and last event of each user, as first sources, first delta and end of a request."""
     kind = F.when(F.col("event_type") == "click", "sources").when(F.col("event_type") == "view", "delta").otherwise("other")
@@ -198,13 +192,6 @@ def newest_run(spark, d):
     return statistics.newest_run(rows)
 
 
-def run_listing(spark, d):
-    from ..sources.files import runs
-
-    rows = spark.sql("SELECT * FROM (VALUES ('20260101T000000Z_a.json'), ('20260102T000000Z_abl-x.json'), ('20260103T000000Z_b-batch.json'), ('20260104T000000Z_c.json'), ('x.csv')) AS v(file_name)")
-    return runs(rows)
-
-
 def answer_summary(spark, d):
     rows = table(spark, d, "documents").select((F.col("doc_id") % 7).alias("n_packed"), (F.col("doc_id") % 3).alias("n_dropped"), F.col("n_chars").alias("tokens"), F.when(F.col("doc_id") % 5 == 0, F.lit("token")).alias("refusal_reason"), (F.col("doc_id") % 2).alias("n_invalid"), (F.col("doc_id") % 4).alias("n_uncited"), F.lit(0.25).alias("list_usd"))
     return statistics.answer_summary(rows)
@@ -233,7 +220,7 @@ w AS (SELECT t.lang, threshold, count(*) FILTER (pos AND score < threshold) / nu
  count(*) FILTER (pos AND score >= threshold OR NOT pos AND score < threshold) / count(*) AS acc FROM t JOIN s ON t.lang = s.lang GROUP BY ALL)"""
 _BINOM = "round(CASE WHEN wins + losses = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(greatest(wins, losses), wins + losses + 1), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0::DOUBLE))))) END, 6) AS p"
 _DCG = lambda k: f"coalesce(any_value(dcg_{k}), 0)"
-QUERIES = {f.__name__: f for f in (evidence_spans, span_grades, ideal_dcg, ir_metrics_at_k, context_precision, cited_evidence, page_hit_at_k, golden_problems, abstention_scores, auroc, threshold_sweep, operating_points, best_threshold, sign_test, bootstrap_ci, metric_summaries, ablation_winners, ablation_table, ablation_grid, hit_rates, agreement_counts, judge_scores, latency_marks, newest_run, run_listing, answer_summary, quote_occurrences)}
+QUERIES = {f.__name__: f for f in (evidence_spans, span_grades, ideal_dcg, ir_metrics_at_k, context_precision, cited_evidence, page_hit_at_k, golden_problems, abstention_scores, auroc, threshold_sweep, operating_points, best_threshold, sign_test, bootstrap_ci, metric_summaries, ablation_winners, ablation_table, ablation_grid, hit_rates, agreement_counts, latency_marks, newest_run, answer_summary, quote_occurrences)}
 _METRICS = ", ".join(f"""(coalesce(rel_{k}, 0) > 0)::INT::DOUBLE AS hit_{k}, round(coalesce(cov_{k}, 0)::DOUBLE, 6) AS recall_{k}, round(coalesce(rel_{k}, 0) / {k}, 6) AS precision_{k}, round(CASE WHEN idcg_{k} > 0 THEN coalesce(dcg_{k}, 0) / idcg_{k} ELSE 0 END, 6) AS ndcg_{k}""" for k in _CUTS)
 ORACLES = {
     "evidence_spans": f"WITH {_E} SELECT * FROM e",
@@ -272,8 +259,6 @@ UNION ALL VALUES ('structure', 256, 'hybrid', true), ('structure', 256, 'keyword
     "agreement_counts": f'WITH {_S} SELECT count(*) FILTER (pos AND refused) AS "both", count(*) FILTER (pos AND NOT refused) AS only_a, count(*) FILTER (NOT pos AND refused) AS only_b, count(*) FILTER (NOT pos AND NOT refused) AS neither FROM s',
     "latency_marks": "SELECT user_id AS request_id, min(event_id) FILTER (event_type = 'click') AS first_sources, min(event_id) FILTER (event_type = 'view') AS first_delta, max(event_id) AS \"end\" FROM events GROUP BY ALL",
     "newest_run": "SELECT '20260101' AS stamp, true AS retrieval, true AS judged",
-    "run_listing": "SELECT * FROM (VALUES ('20260104T000000Z', 'c'), ('20260101T000000Z', 'a')) AS v(stamp, name)",
     "answer_summary": "SELECT count(*) AS n, sum(doc_id % 7)::BIGINT AS packed, sum(doc_id % 3)::BIGINT AS dropped, median(n_chars) AS tokens_median, max(n_chars) AS tokens_max, count(*) FILTER (doc_id % 5 = 0) AS refusals, sum(doc_id % 2)::BIGINT AS invalid, sum(doc_id % 4)::BIGINT AS uncited, count(*) * 0.25::DOUBLE AS list_usd FROM documents",
     "quote_occurrences": """WITH o AS (SELECT conv_id, turn, list_filter(range(1, length(text) - 2), lambda i: substr(text, i, 4) = 'the ') AS l FROM conversations) SELECT conv_id, turn, len(l)::INT AS n, (l[len(l)] - 1)::INT AS last FROM o""",
-    "judge_scores": "SELECT * FROM (VALUES (1, round(2 / 3, 6), 0.75::DOUBLE, 0.5::DOUBLE), (2, NULL, 1.0, 1.0), (3, NULL, 0.0, NULL)) AS t(id, faithfulness, relevance, correctness)",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.citations import page_label
 from ..operators import blocks, chunking, embeddings, filters, intervals, store
 from ..sources.tables import table
 from .evaluation import _C, chunks, evidence
@@ -26,11 +25,6 @@ def page_sections(spark, d):
     return rows.select("id", "block_index", "heading_level", F.array_join("section", " > ").alias("section"))
 
 
-def section_fixture(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 0, 0, 'intro'), (1, 1, 1, 'PART I'), (1, 2, 2, 'Item 1'), (1, 3, 3, 'Sub'), (1, 4, 0, 'text'), (1, 5, 2, 'Item 2'), (1, 6, 0, 'more'), (1, 7, 1, 'PART II'), (1, 8, 0, 'end')) AS v(id, block_index, heading_level, text)")
-    return blocks.section_paths(rows).select("block_index", F.array_join("section", " > ").alias("section"))
-
-
 def block_offset_violations(spark, d):
     rows = blocks.block_offsets(blocks.page_blocks(table(spark, d, "pages")))
     return blocks.offset_violations(rows, blocks.canonical_text(rows)).agg(F.count("*").alias("n"))
@@ -58,45 +52,6 @@ def body_sizes(spark, d):
     return blocks.body_size(rows)
 
 
-def table_rows(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'Revenue|$|16,434||€|5'), (2, '||a| b '), (3, '$'), (4, 'x|$')) AS v(id, cells)")
-    return rows.select("id", blocks.table_row(F.split("cells", r"\|")).alias("text"))
-
-
-def heading_classes(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'PART II', false), (2, 'Item 7. Discussion', true), (3, 'Item 7. Discussion', false), (4, 'Results of Operations', true), (5, 'Year Ended 2021', true), (6, 'Ends here.', true), (7, '(in millions only)', true)) AS v(id, text, bold)")
-    return rows.select("id", blocks.heading_class(F.col("text"), F.col("bold"), F.lit(10.0), F.lit(10.0)).alias("level"))
-
-
-def page_regions(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 1, 'text'), (1, 2, 'Pursuant to the requirements of Section 13 or 15(d)'), (1, 3, 'exhibit'), (2, 1, 'only text')) AS v(doc, page, text)")
-    return blocks.page_regions(rows).select("doc", "page", "region")
-
-
-def page_numbers_dropped(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 1, 0, '12'), (1, 1, 1, 'text'), (1, 1, 2, 'Page 7'), (1, 2, 0, '9 lives'), (1, 2, 1, 'more')) AS v(doc, page, block_index, text)")
-    return blocks.without_page_numbers(rows, ["doc", "page"]).select("doc", "page", "block_index")
-
-
-def item_presence(spark, d):
-    rows = spark.sql("SELECT doc, page, replace(t, '~', chr(10)) AS text FROM (VALUES (1, 1, 'Item 1. Business~Item 1A: Risk'), (1, 2, ' item 7a - Market'), (2, 1, 'nothing')) AS v(doc, page, t)")
-    found, missing = blocks.item_pages(rows, ["1", "1A", "2", "7A"])
-    return missing.join(found.groupBy("doc").agg(F.count("*").alias("found")), "doc", "left").select("doc", F.array_join("missing", ",").alias("missing"), F.coalesce("found", F.lit(0).cast("long")).alias("found"))
-
-
-def two_column_order(spark, d):
-    """Three paragraphs on each side of a gutter."""
-    prose = "'" + "prose " * 16 + "'"
-    rows = spark.sql(f"SELECT 1 AS id, 1 AS page, x0 * 1.0D AS x0, y0 * 1.0D AS y0, x1 * 1.0D AS x1, {prose} AS text, 600.0D AS width FROM (VALUES (310, 10, 560), (40, 11, 280), (40, 100, 280), (310, 101, 560), (310, 200, 560), (40, 201, 280)) AS v(x0, y0, x1)")
-    return blocks.reading_order(rows).select("reading_index", "x0", "y0")
-
-
-def covered_blocks(spark, d):
-    b = spark.sql("SELECT * FROM (VALUES (1, 1, 10.0D, 10.0D, 20.0D, 20.0D), (2, 1, 100.0D, 100.0D, 120.0D, 110.0D), (3, 2, 10.0D, 10.0D, 20.0D, 20.0D), (4, 1, 49.0D, 49.0D, 55.0D, 55.0D)) AS v(id, page, x0, y0, x1, y1)")
-    t = spark.sql("SELECT * FROM (VALUES (1, 0.0D, 0.0D, 50.0D, 50.0D)) AS v(page, bx0, by0, bx1, by1)")
-    return intervals.centre_inside(b, t, "page").select("id")
-
-
 def page_of_offset(spark, d):
     """The chunk in force at each evidence span's start, chunks taken as pages: the last that starts at or before it."""
     pages = chunks(spark, d).select("doc", F.col("char_start").alias("page_start"), "id")
@@ -203,12 +158,6 @@ def parse_queue(spark, d):
     return store.to_parse(incoming.select("doc_key", F.col("source_sha256").alias("sha256")), stored, "1").select("doc_key")
 
 
-def chunk_set_ids(spark, d):
-    stored = spark.sql("SELECT * FROM (VALUES (1, 'fixed', 128), (2, 'structure', 256)) AS v(id, strategy, chunk_size)")
-    wanted = spark.sql("SELECT * FROM (VALUES ('structure', 256), ('recursive', 128), ('fixed', 510), ('recursive', 128)) AS v(strategy, chunk_size)")
-    return store.get_or_create(stored, wanted, ["strategy", "chunk_size"])
-
-
 def cascade_delete(spark, d):
     """Line items left once the orders that are not final are gone."""
     orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -235,21 +184,11 @@ def near_empty_pages(spark, d):
     return documents(spark, d).groupBy("source").agg(F.count_if(empty).alias("near_empty"))
 
 
-def unknown_sources(spark, d):
-    wanted = spark.sql("SELECT * FROM (VALUES ('src1'), ('src99'), ('nowhere')) AS v(source)")
-    return filters.unknown_values(wanted, documents(spark, d), "source")
-
-
 def constraint_violations(spark, d):
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")  # noqa: E741
     return store.violations(l, unique=[["l_orderkey"]], checks={"quantity": F.col("l_quantity") < 50, "discount": F.col("l_discount") >= 0}, parents={"orders": (o.where("o_orderstatus <> 'P'").withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])})
 
 
-def citation_labels(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 7, 7), (2, 90, 91)) AS v(id, page, page_end)")
-    return rows.select("id", page_label(F.col("page"), F.col("page_end")).alias("label"))
-
-
 def rare_figures(spark, d):
     from ..operators.statistics import rare_figures as rare
 
@@ -263,7 +202,7 @@ _RUN = f"""{_KEYED.replace("trim(regexp_replace(line, '\\s+', ' ', 'g'))", "line
 r AS (SELECT doc, key, count(DISTINCT page) AS pages FROM k JOIN a USING (doc) GROUP BY doc, key, total HAVING count(DISTINCT page) >= greatest(5, floor(0.05 * total)))"""
 _T = "t AS (SELECT doc_id AS chunk_id, sha256(text) AS sha, text FROM documents), v AS (SELECT vec_id AS chunk_id FROM embeddings)"
 _V = "d AS (SELECT doc_id AS k, sha256(text) AS sha FROM documents), s AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'old' ELSE sha END AS sha FROM d WHERE k % 3 <> 0)"
-QUERIES = {f.__name__: f for f in (page_blocks, page_sections, section_fixture, block_offset_violations, line_offsets, repeat_lines, lines_without_repeats, body_sizes, table_rows, heading_classes, page_regions, page_numbers_dropped, item_presence, two_column_order, covered_blocks, page_of_offset, first_page_holding, chunk_regions, chunks_fixed, chunks_recursive, chunks_structure, chunk_violations, chunk_shape, exact_duplicates, missing_embeddings, embedding_reuse, texts_to_embed, hashed_embeddings, upsert_actions, upserted_store, parse_queue, chunk_set_ids, cascade_delete, document_catalog, label_catalog, inspection_totals, near_empty_pages, unknown_sources, constraint_violations, citation_labels, rare_figures)}
+QUERIES = {f.__name__: f for f in (page_blocks, page_sections, block_offset_violations, line_offsets, repeat_lines, lines_without_repeats, body_sizes, page_of_offset, first_page_holding, chunk_regions, chunks_fixed, chunks_recursive, chunks_structure, chunk_violations, chunk_shape, exact_duplicates, missing_embeddings, embedding_reuse, texts_to_embed, hashed_embeddings, upsert_actions, upserted_store, parse_queue, cascade_delete, document_catalog, label_catalog, inspection_totals, near_empty_pages, constraint_violations, rare_figures)}
 _EV = "e AS (SELECT item_id AS qid, doc_id AS doc, (i - 1)::INT AS start FROM (SELECT item_id, doc_id, b.text AS q, d.text AS t, length(b.text) AS n, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE substr(t, i, n) = q)"
 _BLOCK = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "title"))
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(b, '(?is)^<[^>]*>|<[^>]*>$', '', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g')"
@@ -274,20 +213,12 @@ ORACLES = {
 x AS (SELECT page_id, regexp_extract_all(h, '{_BLOCK}') AS l FROM h), y AS (SELECT page_id, i, l[i] AS b FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM x)),
 z AS (SELECT page_id, i, lower(regexp_extract(b, '^<([a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g')) AS text FROM y)
 SELECT page_id AS id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS block_index, tag, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN least(3, substr(tag, 2, 1)::INT) ELSE 0 END AS heading_level, text FROM z WHERE text <> ''""",
-    "section_fixture": "SELECT * FROM (VALUES (0, ''), (1, 'PART I'), (2, 'PART I > Item 1'), (3, 'PART I > Item 1 > Sub'), (4, 'PART I > Item 1 > Sub'), (5, 'PART I > Item 2'), (6, 'PART I > Item 2'), (7, 'PART II'), (8, 'PART II')) AS v(block_index, section)",
     "block_offset_violations": "SELECT 0::BIGINT AS n",
     "line_offsets": """WITH l AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents), x AS (SELECT id, i, l[i] AS t FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM l)),
 o AS (SELECT id, i, length(t) AS n, coalesce(sum(length(t) + 2) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x) SELECT id, (i - 1)::INT AS block_index, s::INT AS char_start, (s + n)::INT AS char_end FROM o""",
     "repeat_lines": f"WITH {_RUN} SELECT * FROM r",
     "lines_without_repeats": f"WITH {_RUN} SELECT doc, count(*) AS lines FROM k ANTI JOIN r USING (doc, key) GROUP BY ALL",
     "body_sizes": "WITH s AS (SELECT l_suppkey AS id, round_even(l_quantity, 1) AS size, sum(length(l_returnflag)) AS c FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, size) AS n FROM s) SELECT id, size AS body_size FROM r WHERE n = 1",
-    "table_rows": "SELECT * FROM (VALUES (1, 'Revenue | $16,434 | €5'), (2, 'a | b'), (3, '$'), (4, 'x | $')) AS v(id, text)",
-    "heading_classes": "SELECT * FROM (VALUES (1, 1), (2, 2), (3, 0), (4, 3), (5, 0), (6, 0), (7, 0)) AS v(id, level)",
-    "page_regions": "SELECT * FROM (VALUES (1, 1, 'body'), (1, 2, 'body'), (1, 3, 'after_signatures'), (2, 1, 'body')) AS v(doc, page, region)",
-    "page_numbers_dropped": "SELECT * FROM (VALUES (1, 1, 0), (1, 1, 1), (1, 2, 0), (1, 2, 1)) AS v(doc, page, block_index)",
-    "item_presence": "SELECT * FROM (VALUES (1, '2', 3::BIGINT), (2, '1,1A,2,7A', 0)) AS v(doc, missing, found)",
-    "two_column_order": "SELECT * FROM (VALUES (0, 40::DOUBLE, 11::DOUBLE), (1, 40, 100), (2, 40, 201), (3, 310, 10), (4, 310, 101), (5, 310, 200)) AS v(reading_index, x0, y0)",
-    "covered_blocks": "SELECT * FROM (VALUES (2), (3)) AS v(id)",
     "page_of_offset": f"WITH {_C}, {_EV} SELECT qid, e.doc, start, max(c.id) AS page_id FROM e JOIN c ON c.doc = e.doc AND char_start <= start GROUP BY ALL",
     "first_page_holding": f"WITH {_C}, {_EV} SELECT e.doc, start, min(c.id) AS page_id FROM (SELECT DISTINCT doc, start FROM e) e JOIN c ON c.doc = e.doc AND char_start <= start AND start < char_end GROUP BY ALL",
     "chunk_regions": f"""WITH {_C}, x AS (SELECT doc_id AS doc, i, l[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
@@ -302,16 +233,13 @@ SELECT c.id, count(*) AS lines FROM c JOIN o ON c.doc = o.doc AND s < char_end A
     "upsert_actions": f"WITH {_V} SELECT d.k AS doc_key, CASE WHEN s.k IS NULL THEN 'inserted' WHEN s.sha = d.sha THEN 'unchanged' ELSE 'replaced' END AS action FROM d LEFT JOIN s ON s.k = d.k",
     "upserted_store": f"WITH {_V} SELECT sha AS source_sha256, count(*) AS n FROM d GROUP BY ALL",
     "parse_queue": f"WITH {_V} SELECT d.k AS doc_key FROM d ANTI JOIN s ON s.k = d.k AND s.sha = d.sha",
-    "chunk_set_ids": "SELECT * FROM (VALUES ('structure', 256, 2), ('fixed', 510, 3), ('recursive', 128, 4)) AS v(strategy, chunk_size, id)",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F') USING (l_orderkey) GROUP BY ALL",
     "document_catalog": "SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL",
     "label_catalog": "SELECT source, count(*) AS documents, sum((quality = 1)::INT)::BIGINT AS labelled FROM (SELECT source, coalesce(quality, 0) AS quality FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL",
     "inspection_totals": "SELECT source AS doc, count(*) AS pages, sum(length(text))::BIGINT AS chars, min(length(text))::INT AS least, median(length(text)) AS median, max(length(text))::INT AS most FROM documents GROUP BY ALL",
     "near_empty_pages": "SELECT source, count(*) FILTER (length(trim(text)) < 200) AS near_empty FROM documents GROUP BY ALL",
-    "unknown_sources": "SELECT * FROM (VALUES ('src99'), ('nowhere')) AS v(source)",
     "constraint_violations": """SELECT 'unique l_orderkey' AS rule, count(*) AS n FROM (SELECT l_orderkey FROM lineitem GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'check quantity', count(*) FROM lineitem WHERE l_quantity >= 50 HAVING count(*) > 0
 UNION ALL SELECT 'check discount', count(*) FROM lineitem WHERE l_discount < 0 HAVING count(*) > 0 UNION ALL SELECT 'reference orders', count(*) FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l_orderkey = o_orderkey HAVING count(*) > 0""",
-    "citation_labels": "SELECT * FROM (VALUES (1, 'p. 7'), (2, 'pp. 90–91')) AS v(id, label)",
     "rare_figures": r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text || ' ' || format('{:,}', n_chars), '\b\d{1,3}(?:,\d{3})+\b')) AS figure FROM documents) SELECT figure, count(DISTINCT doc_id) AS n FROM f GROUP BY ALL HAVING count(DISTINCT doc_id) <= 2""",
 }
 ORACLES["page_sections"] = f"""WITH p AS ({ORACLES["page_blocks"]}), o AS (SELECT id, block_index AS i, heading_level AS lv, text FROM p),

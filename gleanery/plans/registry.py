@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("search", "logs", "evaluation", "text", "ingest")
+PARTS = ("search", "logs", "evaluation", "text", "ingest", "corpus")
 
 
 def _parts():

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import guard as G
-from ..functions.text import LEXEME, edge_key, has_phrase, lexemes, normalise, word_count
+from ..functions.text import LEXEME, has_phrase, lexemes, word_count
 from ..operators import answers, evaluation, filters
 from ..operators import keyword_search as ks
 from ..operators.ranking import presentation_position
 from ..sources.tables import table
-from ..streaming.events import event_protocol_problems, parse_sse
+from ..streaming.events import event_protocol_problems
 from ..streaming.filters import filter_batch
 from .search import index, questions
 
@@ -124,25 +124,11 @@ def poisoned_ranks(spark, d):
     return evaluation.insert_at_rank_2(hits, poison).select("qid", "attack", "rank", "id", "poison")
 
 
-def attack_success(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES ('A1', true, false), ('A1', true, true), ('A2', false, false)) AS v(attack, v1, full)")
-    return evaluation.attack_counts(rows, ["v1", "full"])
-
-
 def detector_comparison(spark, d):
     rows = texts(spark).select((F.col("id").isin(1, 2, 9)).alias("is_attack"), (F.size(G.signals(F.col("text"))) > 0).alias("patterns"), F.lower("text").contains("ignore").alias("keyword"))
     return evaluation.detector_counts(rows, ["patterns", "keyword"])
 
 
-def laundered_claims(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'It is 42 [1].', '42'), (2, 'It is 42 [2].', '42'), (3, 'It is 41 [1].', '42'), (4, 'It is 42.', '42')) AS v(qid, sentence, marker)").withColumn("poison", F.array(F.lit(2)))
-    return answers.laundered(rows)
-
-
-def sse_events(spark, d):
-    return parse_sse(spark.sql(SSE)).select("stream", "event", "data")
-
-
 def _deltas(spark, d) -> DataFrame:
     """The turns of a conversation as one request: each word a delta, then its end."""
     t = turns(spark, d).select("conv_id", "turn", F.posexplode(F.split("text", "(?<= )")).alias("_i", "delta"))
@@ -163,11 +149,6 @@ def event_problems(spark, d):
     return event_protocol_problems(rows)
 
 
-def edge_keys(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, '5 Verizon 2022 Annual Report'), (2, 'Form 10-K 6'), (3, '17'), (4, '  two   spaces 8 ')) AS v(id, line)")
-    return rows.select("id", edge_key(normalise(F.col("line"))).alias("key"))
-
-
 def quote_search(spark, d):
     """First place of each item's second to fourth lexemes in documents, letter case aside."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -191,7 +172,7 @@ c AS (SELECT *, regexp_replace(t2, '{G.LINK}', '\1', 'g') AS t3 FROM b) SELECT i
 _PACK = f"""WITH RECURSIVE h AS ({HITS}), p AS (SELECT qid, 0 AS rank, 0 AS used, 0 AS n, false AS kept FROM h GROUP BY qid UNION ALL
 SELECT p.qid, h.rank, CASE WHEN p.used + h.cost + (p.n > 0)::INT <= {BUDGET} THEN p.used + h.cost + (p.n > 0)::INT ELSE p.used END, p.n + (p.used + h.cost + (p.n > 0)::INT <= {BUDGET})::INT, p.used + h.cost + (p.n > 0)::INT <= {BUDGET}
 FROM p JOIN h ON h.qid = p.qid AND h.rank = p.rank + 1)"""
-QUERIES = {f.__name__: f for f in (guard_signals, guard_defuse, output_policy, refusals, citation_report, cited_numbers, claim_flags, control_characters, request_checks, context_packing, sandwich_order, extractive_answer, assembled_answers, prompts, cache_split, poisoned_ranks, attack_success, detector_comparison, laundered_claims, sse_events, stream_output_filter, event_problems, edge_keys, quote_search, word_counts, phrase_in_turns)}
+QUERIES = {f.__name__: f for f in (guard_signals, guard_defuse, output_policy, refusals, citation_report, cited_numbers, claim_flags, control_characters, request_checks, context_packing, sandwich_order, extractive_answer, assembled_answers, prompts, cache_split, poisoned_ranks, detector_comparison, stream_output_filter, event_problems, quote_search, word_counts, phrase_in_turns)}
 ORACLES = {
     "guard_signals": f"SELECT key, array_to_string(list_filter([{_SIG}], lambda x: x IS NOT NULL), ',') AS signals FROM (SELECT 'f' || id AS key, text FROM ({TEXTS}) UNION ALL {_TURNS})",
     "output_policy": f"WITH f AS (SELECT * FROM ({TEXTS}) UNION ALL SELECT (conv_id * 1000 + turn)::INT, text FROM conversations), {_POLICY}",
@@ -205,21 +186,17 @@ l AS (SELECT id, list_transform(flatten(list_transform(regexp_extract_all(t, '{_
     "cache_split": "WITH u AS (SELECT text FROM conversations WHERE role = 'user') SELECT count(*) FILTER (length(text) % 2 = 0) AS found, count(DISTINCT text) FILTER (length(text) % 2 = 1) AS missing, count(DISTINCT text) FILTER (length(text) % 2 = 0) AS keys_hit FROM u",
     "poisoned_ranks": f"""WITH h AS ({HITS}), p AS (SELECT * FROM (VALUES (1, 'A1', -1), (2, 'A1', -1), (3, 'A2', -2)) AS v(qid, attack, id))
 SELECT p.qid, attack, CASE WHEN rank >= 2 THEN rank + 1 ELSE rank END AS rank, cost AS id, false AS poison FROM p JOIN h USING (qid) UNION ALL SELECT qid, attack, 2, id, true FROM p""",
-    "attack_success": "SELECT * FROM (VALUES ('A1', 2::BIGINT, 2::BIGINT, 1::BIGINT), ('A2', 1, 0, 0)) AS v(attack, n, v1, \"full\")",
     "detector_comparison": f"""WITH t AS (SELECT id IN (1, 2, 9) AS a, len(list_filter([{_SIG}], lambda x: x IS NOT NULL)) > 0 AS p, contains(lower(text), 'ignore') AS k FROM ({TEXTS}))
 SELECT 'patterns' AS detector, count(*) FILTER (p AND a) AS true_positives, count(*) FILTER (p AND NOT a) AS false_positives FROM t UNION ALL SELECT 'keyword', count(*) FILTER (k AND a), count(*) FILTER (k AND NOT a) FROM t""",
-    "laundered_claims": "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS v(qid, laundered)",
     "guard_defuse": f"SELECT id, CASE id WHEN 7 THEN replace(text, '[4]', '(4)') WHEN 9 THEN replace(text, '<source', '‹source') ELSE text END AS body, (id IN (7, 9))::INT AS edits FROM ({TEXTS})",
     "citation_report": f"""WITH e AS (SELECT * FROM (VALUES (1, '', '', 1), (2, '', '', 1), (3, '1,2,3', '', 0), (4, '', '', 1), (5, '', '', 1), (6, '', '', 1), (7, '2', '9,4', 0), (8, '1,2,3', '', 0), (9, '', '5', 0), (10, '', '', 0)) AS v(id, cited, invalid, uncited))
 SELECT id, cited, invalid, uncited, CASE id WHEN 7 THEN 'In summary: [2] .' || chr(10) || ' Acme 2022 Form 10-K' WHEN 8 THEN '[1] and [2, 3] are wide. insufficient_context' WHEN 9 THEN replace(text, '[5]', '') ELSE text END AS clean FROM e JOIN ({TEXTS}) USING (id)""",
     "prompts": """SELECT qid, replace(t, '~', chr(10)) AS prompt FROM (VALUES (1, 'Sources:~~[1] passage 1~~[2] passage 3~~[3] passage 4~~[4] passage 5~~Question: one?'), (2, 'Sources:~~[1] passage 2~~[2] passage 3~~Question: two?'), (3, 'Sources:~~~Question: three?')) AS v(qid, t)""",
-    "sse_events": "SELECT * FROM (VALUES ('s0', 'sources', '[1]'), ('s0', 'delta', '\"x\"'), ('s1', 'message', '\"a\"'), ('s1', 'message', '\"b\"'), ('s1', 'message', '7')) AS v(stream, event, data)",
     "refusals": f"SELECT id, id = 5 AS refused FROM ({TEXTS})",
     "stream_output_filter": "SELECT conv_id::VARCHAR AS request_id, sha256(string_agg(text, '' ORDER BY turn)) AS text_sha256 FROM conversations GROUP BY ALL",
     "event_problems": """WITH k AS (SELECT conv_id AS request_id, turn, CASE role WHEN 'system' THEN 'sources' WHEN 'user' THEN 'delta' ELSE 'answer' END AS kind FROM conversations),
 g AS (SELECT request_id, arg_min(kind, (turn, kind)) AS f, arg_max(kind, (turn, kind)) AS l, count(*) FILTER (kind = 'answer') AS n FROM k GROUP BY ALL),
 p AS (SELECT request_id, CASE WHEN f <> 'sources' THEN 'starts without sources' WHEN l <> 'answer' THEN 'does not end' WHEN n > 1 THEN 'ends twice' END AS problem FROM g) SELECT * FROM p WHERE problem IS NOT NULL""",
-    "edge_keys": "SELECT * FROM (VALUES (1, 'Verizon # Annual Report'), (2, 'Form #-K'), (3, '#'), (4, 'two spaces')) AS v(id, key)",
     "quote_search": "SELECT doc_id AS id, (instr(lower(text), 'all rights reserved') - 1)::INT AS at FROM documents WHERE contains(lower(text), 'all rights reserved')",
     "word_counts": r"SELECT role, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words, sum(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')))::BIGINT AS tokens FROM conversations GROUP BY ALL",
     "phrase_in_turns": f"SELECT conv_id, turn, contains(' ' || array_to_string(regexp_extract_all(lower(text), '{LEXEME}'), ' ') || ' ', ' of the ') AS found FROM conversations",
