@@ -7,7 +7,7 @@ rows themselves, whose postings it then makes. Text is joined to the hits after
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -67,12 +67,17 @@ def phrase_matches(questions: DataFrame, source: Index | DataFrame, *, id: str =
     """qid, id: rows that have all phrases of the question. questions: qid, phrases (array of strings). A phrase without
     lexemes asks for nothing; a question without phrases that do has no rows here.
 
-    A phrase begins at the places where each of its lexemes stands as many words on as it does in the phrase."""
+    The rarest lexeme of a phrase says where it can begin; there each other one must stand as many words on as it does in
+    the phrase. So the positions of frequent words are looked at in rows that have the rare one, and no others."""
     index = as_index(source, id, text, analyser)
     each = question_lexemes(questions.select("qid", F.posexplode("phrases").alias("nth", "_phrase")), F.col("_phrase"), index.analyser, "qid", "nth")
     need = each.groupBy("qid", "nth").agg(F.count("*").alias("words"))
-    begun = term_hits(each, index, "positions").select("qid", "nth", "id", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
-    found = begun.groupBy("qid", "nth", "id", "start").agg(F.count("*").alias("words")).join(bounded_terms(need), ["qid", "nth", "words"], "left_semi")
+    known = index.lexemes.join(bounded_terms(each.withColumn("part", part_of(F.col("lexeme")))), ["part", "lexeme"])
+    known = known.withColumn("_place", F.row_number().over(Window.partitionBy("qid", "nth").orderBy("df", "at"))).select("qid", "nth", "at", "lexeme", "_place")
+    begun = term_hits(known.where("_place = 1"), index, "positions").select("qid", "nth", "id", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start"))
+    others = term_hits(known.where("_place > 1").drop("_place"), index, "positions").join(begun, ["qid", "nth", "id"])
+    others = others.where(F.array_contains("positions", F.col("start") + F.col("at"))).select("qid", "nth", "id", "start")
+    found = begun.unionByName(others).groupBy("qid", "nth", "id", "start").agg(F.count("*").alias("words")).join(bounded_terms(need), ["qid", "nth", "words"], "left_semi")
     all_of = need.groupBy("qid").agg(F.count("*").alias("phrases"))
     got = found.select("qid", "nth", "id").distinct().groupBy("qid", "id").agg(F.count("*").alias("phrases"))
     return got.join(bounded_terms(all_of), ["qid", "phrases"], "left_semi").select("qid", "id")
