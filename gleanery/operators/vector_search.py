@@ -26,7 +26,8 @@ def query_blocks(queries: DataFrame, most: int = MOST_QUERY_NUMBERS) -> Iterator
     the driver holds one block. queries: qid, qvec."""
     ids: list = []
     vectors: list = []
-    for qid, vector in queries.select("qid", "qvec").orderBy("qid").toLocalIterator():
+    # One partition, so that the driver's iterator is one job; the task sorts it, on disk if need be.
+    for qid, vector in queries.select("qid", "qvec").repartition(1).sortWithinPartitions("qid").toLocalIterator():
         if vectors and len(vectors[0]) != len(vector):
             raise ValueError("vectors of different dimensions")
         ids.append(qid)
@@ -79,12 +80,12 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, sign:
 
 
 def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str, vector: str, metric: str, qid_type) -> DataFrame:
-    shipped = vectors.sparkSession.sparkContext.broadcast(matrix)
+    shipped = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
     measure, ascending, _ = METRICS[metric]
     sign = 1.0 if ascending else -1.0
 
     def score(batches):
-        q = shipped.value
+        names, q = shipped.value
         query, ids, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         worst = np.full(len(q), np.inf)  # of each query the k-th best so far, the less the better
         for batch in batches:
@@ -98,17 +99,10 @@ def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str
                 counts = np.bincount(query, minlength=len(q))
                 full = np.flatnonzero(counts == k)
                 worst[full] = sign * np.round(scores[np.cumsum(counts)[full] - 1], SCORE_DIGITS)
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["q", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query.tolist()], _ARROW[qid_type]), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["qid", "id", "score"])
 
-    found = vectors.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(score, "q long, id long, score double")
-    names = vectors.sparkSession.sparkContext.broadcast(qids)
-
-    def named(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([names.value[k] for k in batch.column(0).to_pylist()], _ARROW[qid_type]), *batch.columns[1:]], names=["qid", "id", "score", "rank"])
-
-    rows = top_k(found.withColumnRenamed("q", "qid"), k, ascending=ascending).select("qid", "id", "score", "rank")
-    return rows.mapInArrow(named, f"qid {qid_type}, id long, score double, rank int")
+    found = vectors.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(score, f"qid {qid_type}, id long, score double")
+    return top_k(found, k, ascending=ascending).select("qid", "id", "score", "rank")
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
