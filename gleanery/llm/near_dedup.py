@@ -26,7 +26,9 @@ from .common import dropped, once, small_batches, written
 from .components import components
 from .hashing import joined_words, mixed, word_numbers
 
-SHINGLE, PERCENT = 2, 80
+SHINGLE, PERCENT = 5, 80
+#: The words of a shingle that the registered query's contract names.
+CONTRACT_SHINGLE = 2
 CHUNKS, PER_CHUNK, ERRORS, BITS = 12, 7, 1, 8
 PLACES = CHUNKS * PER_CHUNK
 #: The signature distance up to which pairs with a common key are held against their full sets. Sets at the threshold of

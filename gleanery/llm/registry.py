@@ -35,7 +35,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its component at 80 % of two-word shingles. Rows of one doc_id are one document; those without words are linked with nothing."""
-    return near_dedup.near_groups(documents(spark, sf_dir))
+    return near_dedup.near_groups(documents(spark, sf_dir), near_dedup.CONTRACT_SHINGLE)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

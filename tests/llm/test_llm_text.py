@@ -91,7 +91,7 @@ def test_texts_with_equal_polynomials_stay_apart(spark):
     got = substring_dedup.repeats_removed(df).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_brute(rows)
     sets, component = near_brute(rows)
-    for r in near_dedup.near_groups(df).collect():
+    for r in near_dedup.near_groups(df, 2).collect():
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), component[r.doc_id], r.doc_id == component[r.doc_id])
 
 
@@ -107,7 +107,7 @@ def test_ids_that_are_not_numbers_are_an_error_for_repeats(spark):
         substring_dedup.remove_repeats(spark.createDataFrame([("a1", "x")], "doc_id string, text string"))
 
 
-def near_brute(rows, size=2):
+def near_brute(rows, size=2):  # the contract's size
     sets = {}
     for r in rows:
         if r[0] is not None:
@@ -129,9 +129,10 @@ def near_brute(rows, size=2):
     return sets, {i: find(i) for i in ids}
 
 
-def test_near_groups(docs, rows):
-    sets, component = near_brute(rows)
-    got = near_dedup.near_groups(docs).collect()
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_groups(docs, rows, size):
+    sets, component = near_brute(rows, size)
+    got = near_dedup.near_groups(docs, size).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
@@ -148,7 +149,7 @@ def test_one_id_with_several_texts_is_one_document(spark):
     for order in (rows, rows[::-1]):
         got = near_dedup.near_groups(spark.createDataFrame(order, "doc_id long, text string")).collect()
         assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True)] * 2 + [(2, 1, False)] * 2 + [(3, 1, False)] + [(4, 4, True)] * 2 + [(5, 5, True)] * 2
-        assert {r.n_shingles for r in got if r.doc_id == 2} == {99, 0}
+        assert {r.n_shingles for r in got if r.doc_id == 2} == {96, 0}
     named = spark.createDataFrame([(f"a{i}", t) for i, t in rows], "doc_id string, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.near_groups(named).collect()} == {"a1": "a1", "a2": "a1", "a3": "a1", "a4": "a4", "a5": "a5"}
 
@@ -164,19 +165,19 @@ def test_shingles_are_counted_by_their_words(size):
     assert all(len(own[a] & own[b]) == len(sets[a] & sets[b]) for a in range(len(texts)) for b in range(a) if min(len(x.split()) for x in (texts[a], texts[b])) >= size)
 
 
-def test_recall_of_pairs_at_the_threshold(spark):
+@pytest.mark.parametrize("size, edits", [(2, (8, 9, 10, 11)), (5, (4, 4, 4, 5))])
+def test_recall_of_pairs_at_the_threshold(spark, size, edits):
     """Pairs of similarity 0.80 to 0.85 alone, so that no third text can join them: all but 1 in 1000 at least are found."""
     rng = random.Random(21)
     rows = []
     for k in range(1500):
         w = [f"{k}x{j}" for j in range(200)]
-        edits = rng.randrange(8, 12)  # each changes two shingles of 199
         v = list(w)
-        for j in rng.sample(range(1, 199, 2), edits):
+        for j in rng.sample(range(size - 1, 200 - size, size), rng.choice(edits)):  # each changes `size` shingles
             v[j] = f"e{k}x{j}"
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
-    close = [k for k in range(1500) for a, b in [(near_dedup.shingle_set(rows[2 * k][1], 2), near_dedup.shingle_set(rows[2 * k + 1][1], 2))] if 80 * len(a | b) <= 100 * len(a & b)]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [k for k in range(1500) for a, b in [(near_dedup.shingle_set(rows[2 * k][1], size), near_dedup.shingle_set(rows[2 * k + 1][1], size))] if 80 * len(a | b) <= 100 * len(a & b)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), size).collect()}
     found = [k for k in close if got[2 * k + 1] == 2 * k]
     assert len(close) > 1000 and len(found) >= 0.999 * len(close)
     assert all(got[2 * k + 1] == 2 * k + 1 for k in set(range(1500)) - set(close))
@@ -206,7 +207,7 @@ def test_family_about_the_threshold_loses_no_link(spark):
         rows.append((k, " ".join(w)))
     sets, component = near_brute(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()} == component
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df, 2).collect()} == component
     assert len(set(component.values())) > 1
 
 
@@ -505,7 +506,7 @@ def test_pipeline_against_a_plain_version(spark, rows, tmp_path):
         if key in kept:
             kept.discard(key)
             found.append(r)
-    _, component = near_brute(found)
+    _, component = near_brute(found, 5)
     found = [r for r in found if r[0] is None or component[r[0]] == r[0]]
     assert len(rows) > len(left) > len(found) > 10
     want = sorted((str(found[k][0]), str(found[k][3]), t) for k, t in mixed_brute([(r[0], r[1], r[3]) for r in found]))
