@@ -15,9 +15,11 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import HOT_PART, packed, unpacked, written
 
 PLACES = 1 << 14
+#: Parts of a key that more than 1 in HOT_PART rows have; each is ranked by itself.
+PARTS = 64
 
 
 def ring_points(n_shards: int, vnodes: int, places: int = PLACES, seed: int = 0) -> list[tuple[int, int]]:
@@ -67,12 +69,49 @@ def allocate(counts: dict[int, int], points: list[tuple[int, int]], room: list[i
     return out
 
 
+def _hot(rows: DataFrame, column: str, total: int) -> list[int]:
+    """The values that more than one row and more than 1 in HOT_PART of all rows have: fewer than HOT_PART."""
+    return [r[0] for r in rows.groupBy(column).count().where((F.col("count") > 1) & (F.col("count") * HOT_PART > total)).collect()]
+
+
+def _ranked(rows: DataFrame, counts: dict[int, int], ties: list[str]) -> DataFrame:
+    """rows with _rank, from 0 within their _place.
+
+    Rows go by hash, key and ties. Hot keys come after the other rows of their place, in PARTS parts by a hash of their
+    ties; rows equal in these that are hot again are interchangeable and dealt at random, once, in a written table."""
+
+    def numbered(part: DataFrame, *by: str) -> DataFrame:
+        return part.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", "_key", *ties)).cast("long") - 1)
+
+    total = sum(counts.values())
+    crowded = [p for p, n in counts.items() if n > 1 and n * HOT_PART > total]
+    hot = _hot(rows.where(F.col("_place").isin(crowded)), "_hash", total) if crowded else []
+    if not hot:
+        return numbered(rows, "_place")
+    own = rows.where(F.col("_hash").isin(hot)).withColumns({"_group": F.xxhash64("_hash", *ties), "_part": (F.rand() * PARTS).cast("int")})
+    own = written(own, "hot_keys")
+    equal = F.col("_group").isin(_hot(own, "_group", total))
+    own = own.withColumn("_part", F.when(equal, F.col("_part")).otherwise(F.pmod("_group", F.lit(PARTS)).cast("int"))).withColumn("_group", F.when(equal, F.col("_group")).otherwise(0))
+    keys = ["_place", "_hash", "_group", "_part"]
+    sizes = own.groupBy(keys).count().collect()  # at most 2 * HOT_PART * PARTS rows
+    at = dict(counts)
+    for r in sizes:
+        at[r["_place"]] -= r["count"]
+    begins = []
+    for *key, n in sorted(tuple(r) for r in sizes):
+        begins.append((*key, at[key[0]]))
+        at[key[0]] += n
+    table = rows.sparkSession.createDataFrame(begins, "_place int, _hash long, _group long, _part int, _begin long")
+    own = numbered(own, *keys).join(F.broadcast(table), keys).withColumn("_rank", F.col("_rank") + F.col("_begin"))
+    return numbered(rows.where(~F.col("_hash").isin(hot)), "_place").unionByName(own.drop("_group", "_part", "_begin"))
+
+
 def assign_shards(df: DataFrame, key: str, n_shards: int, *, load_factor: float | None = None, vnodes: int = 64, places: int = PLACES, seed: int = 0, tie: list[str] | None = None) -> DataFrame:
     """df with `shard` (int, 0 to n_shards - 1) and `slot` (long, gapless from 0 within the shard).
 
     key: column whose text decides the place on the ring; rows with a null key are placed by the columns of tie. tie:
-    columns that order rows of equal keys; rows equal in all of these are interchangeable. An empty df gives an empty
-    result. Columns of df may have any names; those called shard and slot are replaced."""
+    columns that order rows of equal keys; rows equal in all of these are interchangeable. Keys and equal rows that more
+    than a thousandth of all rows have are ranked in parts, so no key is one task's. An empty df gives an empty result. Columns of df may have any names; those called shard and slot are replaced."""
     if places & (places - 1):
         raise ValueError("places is a power of 2")
     spark, tie = df.sparkSession, tie or []
@@ -83,8 +122,7 @@ def assign_shards(df: DataFrame, key: str, n_shards: int, *, load_factor: float
     counts = {r[0]: r[1] for r in rows.groupBy("_place").count().collect()}  # at most `places` rows
     parts = allocate(counts, ring_points(n_shards, vnodes, places, seed), capacities(sum(counts.values()), n_shards, load_factor), places)
     table = spark.createDataFrame(parts or [(0, 0, 0, 0, 0)], "_at int, _lo long, _hi long, _shard int, _slot long")
-    order = Window.partitionBy("_place").orderBy("_hash", "_key", *(f"_tie{k}" for k in range(len(tie))))
-    rows = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    rows = _ranked(rows, counts, [f"_tie{k}" for k in range(len(tie))])
     # The table has at most one row a place and one a shard's filling up more: a fixed bound.
     found = rows.join(F.broadcast(table), (F.col("_place") == F.col("_at")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return unpacked(found, df.columns, shard=F.col("_shard"), slot=F.col("_slot") + F.col("_rank") - F.col("_lo"))

@@ -167,6 +167,23 @@ def test_null_keys_are_spread(spark):
     assert [r["count"] for r in got] == [500] * 4
 
 
+def test_a_key_that_many_rows_have_is_ranked_in_parts(spark):
+    rows = [("hot", k, k) for k in range(3000)] + [("same", 0, k) for k in range(1500)] + [(None, 0, 0)] * 1500 + [(f"k{k}", k, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, tie long, own long").repartition(5)
+    for factor in (None, 1.1):
+        got, again = (sharding.assign_shards(df, "key", 7, load_factor=factor, tie=["tie"]).collect() for _ in range(2))
+        assert Counter((r.key, r.tie, r.own) for r in got) == Counter(rows)
+        sizes = Counter(r.shard for r in got)
+        assert max(sizes.values()) <= (-(-9000 // 7) if factor is None else 9000 * 1.1 / 7 + 1)
+        assert len({(r.shard, r.slot) for r in got}) == 9000 and all(r.slot < sizes[r.shard] for r in got)
+        assert Counter((r.key, r.tie, r.shard, r.slot) for r in got) == Counter((r.key, r.tie, r.shard, r.slot) for r in again)
+    places = spark.createDataFrame(rows, "key string, tie long, own long").select(F.lit(1).alias("_place"), F.xxhash64("key").alias("_hash"), F.col("key").alias("_key"), F.col("tie").alias("_tie0"))
+    ranked = sharding._ranked(places, {1: 9000}, ["_tie0"])
+    assert sorted(r[0] for r in ranked.select("_rank").collect()) == list(range(9000))
+    steps = [r["n"] for r in ranked.where("_key = 'hot'").groupBy(F.pmod(F.xxhash64("_hash", "_tie0"), F.lit(sharding.PARTS))).agg((F.max("_rank") - F.min("_rank") + 1 - F.count("*")).alias("n")).collect()]
+    assert len(steps) == sharding.PARTS and not any(steps)
+
+
 @pytest.mark.parametrize("factor, moved, between_old", [(None, 0.07, 0.045), (1.25, 0.04, 0.01)])
 def test_rows_moved_by_one_more_shard(factor, moved, between_old):
     """40 to 41 shards, as registered (None) and with slack: the least that can move is 1 in 41, 2.4 %."""
