@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id, and with it all rows of that doc_id;
-    rows without doc_id or words stay. Near means what it does in op6: 80 % of two-word shingles. Takes empty tables and
+    rows without doc_id or words stay. Near means 80 % of five-word shingles. Takes empty tables and
     columns of any names."""
     stays = fresh(docs, "_stays")
     stay = near_dedup.near_groups(docs).where("kept").select(F.col("doc_id").alias(stays)).distinct()
