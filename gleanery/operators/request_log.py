@@ -46,8 +46,9 @@ def stage_map(spans: DataFrame) -> DataFrame:
     return sums.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("timings_ms"))
 
 
-def stage_medians(log: DataFrame, request_ids: list, timings: str = "timings_ms") -> DataFrame:
-    return log.where(F.col("request_id").isin(list(request_ids))).select(F.explode(timings).alias("stage", "ms")).groupBy("stage").agg(F.median("ms").alias("median_ms"))
+def stage_medians(log: DataFrame, requests: DataFrame, timings: str = "timings_ms") -> DataFrame:
+    """stage, median_ms over the rows of log whose request_id is in requests: request_id."""
+    return log.join(requests.select("request_id"), "request_id", "left_semi").select(F.explode(timings).alias("stage", "ms")).groupBy("stage").agg(F.median("ms").alias("median_ms"))
 
 
 def request_record(requests: DataFrame) -> DataFrame:

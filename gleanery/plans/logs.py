@@ -60,9 +60,9 @@ def requests_with_stage(spark, d):
 
 
 def stage_medians(spark, d):
-    """Median of the stage timings over the requests of users divisible by 50."""
-    log = rl.timings_from_json(request_log(spark, d), "props").where("user_id % 50 = 0")
-    return log.select(F.explode("timings_ms").alias("stage", "ms")).groupBy("stage").agg(F.round(F.median("ms"), 4).alias("median_ms"))
+    """Median of the stage timings over the requests that failed."""
+    log = rl.timings_from_json(request_log(spark, d), "props")
+    return _rounded(rl.stage_medians(log, log.where("status >= 400")), "median_ms")
 
 
 def stage_maps(spark, d):
@@ -111,7 +111,7 @@ ORACLES = {
     "requests_by_endpoint": f"{_LOG} SELECT endpoint, count(*) AS n FROM log GROUP BY ALL",
     "stage_percentiles": f"{_LOG} SELECT 'k' AS stage, count(*) AS n, round(quantile_cont(k::DOUBLE, 0.5), 4) AS p50_ms, round(quantile_cont(k::DOUBLE, 0.95), 4) AS p95_ms FROM log WHERE k IS NOT NULL HAVING count(*) > 0",
     "requests_with_stage": f"{_LOG} SELECT endpoint, count(*) AS n FROM log WHERE k IS NOT NULL GROUP BY ALL",
-    "stage_medians": f"{_LOG} SELECT 'k' AS stage, round(median(k::DOUBLE), 4) AS median_ms FROM log WHERE user_id % 50 = 0 AND k IS NOT NULL HAVING count(*) > 0",
+    "stage_medians": f"{_LOG} SELECT 'k' AS stage, round(median(k::DOUBLE), 4) AS median_ms FROM log WHERE status >= 400 AND k IS NOT NULL HAVING count(*) > 0",
     "stage_maps": "SELECT user_id AS request_id, round(sum(value) FILTER (event_type = 'click'), 2) AS click_ms, count(DISTINCT event_type)::INT AS stages FROM events GROUP BY ALL",
     "error_taxonomy": f"WITH t AS (SELECT row_number() OVER () - 1 AS i, * FROM (VALUES {_TAXONOMY}) AS v(failure, status, error)) SELECT coalesce(t.status, 200)::INT AS status, t.error AS error, count(*) AS n FROM events LEFT JOIN t ON event_type = 'error' AND user_id % {len(rl.ERRORS)} = t.i GROUP BY ALL",
     "request_records": "SELECT conv_id AS request_id, turn, sha256(text) AS question_sha256, length(text)::INT AS question_chars FROM conversations WHERE role = 'user'",

@@ -46,7 +46,7 @@ def guard_defuse(spark, d):
 
 
 def output_policy(spark, d):
-    rows = texts(spark).unionByName(turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("id"), "text"))
+    rows = texts(spark).withColumn("id", F.col("id").cast("string")).unionByName(turns(spark, d).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text"))
     text, images, links = G.answer_policy(F.col("text"))
     return rows.select("id", text.alias("text"), images.alias("images"), links.alias("links"))
 
@@ -175,7 +175,7 @@ FROM p JOIN h ON h.qid = p.qid AND h.rank = p.rank + 1)"""
 QUERIES = {f.__name__: f for f in (guard_signals, guard_defuse, output_policy, refusals, citation_report, cited_numbers, claim_flags, control_characters, request_checks, context_packing, sandwich_order, extractive_answer, assembled_answers, prompts, cache_split, poisoned_ranks, detector_comparison, stream_output_filter, event_problems, quote_search, word_counts, phrase_in_turns)}
 ORACLES = {
     "guard_signals": f"SELECT key, array_to_string(list_filter([{_SIG}], lambda x: x IS NOT NULL), ',') AS signals FROM (SELECT 'f' || id AS key, text FROM ({TEXTS}) UNION ALL {_TURNS})",
-    "output_policy": f"WITH f AS (SELECT * FROM ({TEXTS}) UNION ALL SELECT (conv_id * 1000 + turn)::INT, text FROM conversations), {_POLICY}",
+    "output_policy": f"WITH f AS (SELECT id::VARCHAR AS id, text FROM ({TEXTS}) UNION ALL SELECT conv_id || '/' || turn, text FROM conversations), {_POLICY}",
     "cited_numbers": rf"""WITH n AS (SELECT id, regexp_replace(text, '【\s*(\d+(?:\s*[,，]\s*\d+)*)\s*】', '[\1]', 'g') AS t FROM ({TEXTS})),
 l AS (SELECT id, list_transform(flatten(list_transform(regexp_extract_all(t, '{_MARK}', 1), lambda g: string_split(g, ','))), lambda x: trim(x)::INT) AS l FROM n) SELECT id, (i - 1)::INT AS at, l[i] AS n FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM l)""",
     "claim_flags": rf"""SELECT conv_id, turn, regexp_matches(b, '\d') OR len(list_filter(regexp_split_to_array(b, '\s+'), lambda w: w <> '')) >= 4 AS claim FROM (SELECT conv_id, turn, trim(regexp_replace(text, '{_MARK}', '', 'g')) AS b FROM conversations)""",
