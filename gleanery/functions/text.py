@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: Lexemes of the plain analyser: letters and digits of any script.
 LEXEME = r"[\p{L}\p{N}]+"
@@ -56,11 +57,22 @@ def has_phrase(words: Column, phrase: Column) -> Column:
     return (n > 0) & F.exists(starts, lambda i: F.slice(words, i, n) == phrase)
 
 
+def places(text: str, quote: str) -> Iterator[int]:
+    """All offsets of quote in text, overlapping ones too: the search goes on from each, so the text is read once."""
+    at = text.find(quote) if quote else -1
+    while at >= 0:
+        yield at
+        at = text.find(quote, at + 1)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _places(text: pd.Series, quote: pd.Series) -> pd.Series:
+    return pd.Series([[] if t is None or q is None else list(places(t, q)) for t, q in zip(text, quote, strict=True)])
+
+
 def occurrences(text: Column, quote: Column) -> Column:
     """All 0-based offsets of quote in text, overlapping ones too."""
-    n = F.length(quote)
-    starts = F.when((n > 0) & (F.length(text) >= n), F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(starts, lambda i: F.substring(text, i, n) == quote), lambda i: i - 1)
+    return _places(text, quote)
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,16 @@ def top_k(rows: DataFrame, k: int, *, by: str = "qid", score: str = "score", tie
     return ranked(rows, [by], [key.asc() if ascending else key.desc(), F.col(tie).asc()], into).where(F.col(into) <= k)
 
 
+def best_rows(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, sign: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query of a task, ties by id. sign: 1 if the least score is best, else -1."""
+    order = np.lexsort((ids, sign * np.round(scores, SCORE_DIGITS), query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if query.size else np.empty(0, np.int64)
+    place = np.arange(query.size) - np.repeat(starts, np.diff(np.append(starts, query.size)))
+    keep = place < k
+    return query[keep], ids[keep], scores[keep]
+
+
 def presentation_position(rank0: Column, n: Column, order: str) -> Column:
     """0-based place in the prompt of the 0-based rank. sandwich: the best at both ends, the weakest in the middle."""
     if order == "rank":

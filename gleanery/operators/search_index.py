@@ -1,14 +1,15 @@
-"""The stored keyword index: postings with positions, lexeme statistics, and statistics of the whole set.
+"""The stored keyword index: a row for each document, with its postings, and the statistics of lexemes and of the whole set.
 
-Postings are partitioned by a hash of the lexeme, so that a batch of questions reads the partitions of its lexemes alone,
-and within them the columns that its rank function needs. The statistics are computed when the index is refreshed, which
-happens only if the rows have changed, and never by a search.
+A row is made where the document is, and nothing is shuffled: a search scans the columns that its rank function needs, scores
+each row where it lies and keeps k for each question and task. So neither the build nor a search sends postings over the
+network. The statistics are computed when the index is refreshed, which happens only if the rows have changed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,13 @@ from ..functions.stemmer import stem, stem_column
 from ..functions.text import STOP_WORDS, lexemes
 from ..settings import one_of
 
-PARTS, SLICES = 64, 8
+#: Documents whose postings a task makes at once.
+SLICE = 1024
 ANALYSERS = ("plain", "english")
 #: Stems that a worker remembers at a time.
 REMEMBERED = 200_000
 
 
-def part_of(lexeme: Column, parts: int = PARTS) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(parts)).cast("int")
-
-
 def analysed(text: Column, analyser: str) -> Column:
     """The text's lexemes in sequence. english: stemmed, and null where a stop word stands."""
     words = lexemes(text)
@@ -39,51 +37,76 @@ def question_lexemes(questions: DataFrame, text: Column, analyser: str, *columns
     return rows.withColumn("lexeme", stem_column("lexeme")) if analyser == "english" else rows
 
 
-def postings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> DataFrame:
-    """lexeme, id, tf, length (the row's distinct lexemes), total (all its lexemes), positions (1-based; stop words count).
-
-    A row's postings are made where the row is: nothing is shuffled."""
+def _rows_of(words: pa.ListArray, stems) -> list[pa.Array]:
+    """length, total, lexemes, tfs and positions of each text's words; stems turns an array of words into one of stems."""
+    coded = words.flatten().dictionary_encode()
+    names, codes = coded.dictionary, coded.indices
+    valid = np.asarray(codes.is_valid())
+    codes = np.asarray(codes.fill_null(0), np.int64)
+    if stems is not None and len(names):
+        joined = stems(names).dictionary_encode()
+        names, codes = joined.dictionary, np.asarray(joined.indices, np.int64)[codes]
+    sizes = np.asarray(words.value_lengths(), np.int64)
+    doc = np.repeat(np.arange(sizes.size), sizes)
+    at = np.arange(doc.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    doc, at, key = doc[valid], at[valid], doc[valid] * max(1, len(names)) + codes[valid]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else np.empty(0, np.int64)
+    lengths = np.bincount(doc[order][first], minlength=sizes.size)
+    outer = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    inner = np.append(first, key.size)
+    lists = [names.take(pa.array(key[first] % max(1, len(names)))), pa.array(np.diff(inner), pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(at[order], pa.int32()))]
+    return [pa.array(lengths, pa.int32()), pa.array(np.bincount(doc, minlength=sizes.size), pa.int32()), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
+
+
+def document_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> DataFrame:
+    """id, length (distinct lexemes), total (all lexemes), and side by side lexemes, tfs and positions (1-based; stop words
+    count): a row for each document, made where it is."""
     kind = docs.schema[id].dataType.simpleString()
-    stems: dict[str, str] = {}
+    known: dict[str, str] = {}
 
-    def known(word: str) -> str:
-        if word not in stems:
-            if len(stems) >= REMEMBERED:
-                stems.clear()
-            stems[word] = stem(word)
-        return stems[word]
+    def stems(words: pa.Array) -> pa.Array:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        for word in words.to_pylist():
+            if word not in known:
+                known[word] = stem(word)
+        return pa.array([known[word] for word in words.to_pylist()], pa.string())
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in range(5)]
-                for k, words in enumerate(part.column(1).to_pylist()):
-                    at: dict[str, list[int]] = {}
-                    for place, word in enumerate(words, 1):
-                        if word is not None:
-                            at.setdefault(known(word) if analyser == "english" else word, []).append(place)
-                    out[0] += at
-                    out[1] += [k] * len(at)
-                    out[2] += [len(at)] * len(at)
-                    out[3] += [sum(map(len, at.values()))] * len(at)
-                    out[4] += at.values()
-                columns = [pa.array(out[0], pa.string()), part.column(0).take(pa.array(out[1], pa.int64())), pa.array([len(x) for x in out[4]], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["lexeme", "id", "tf", "length", "total", "positions"])
-
-    return docs.select(F.col(id).alias("id"), analysed(F.col(text), analyser).alias("words")).mapInArrow(run, f"lexeme string, id {kind}, tf long, length int, total int, positions array<int>")
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_rows_of(part.column(1), stems if analyser == "english" else None)], names=["id", "length", "total", "lexemes", "tfs", "positions"])
+
+    return docs.select(F.col(id).alias("id"), analysed(F.col(text), analyser).alias("words")).mapInArrow(run, f"id {kind}, length int, total int, lexemes array<string>, tfs array<int>, positions array<array<int>>")
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: as postings() gives them, with `part`. lexemes: lexeme, df, part. n: rows. mean: their average length."""
+    """rows: as document_rows() gives them. lexemes: lexeme, df. n: rows. mean: their average length."""
 
-    postings: DataFrame
+    rows: DataFrame
     lexemes: DataFrame
     n: int
     mean: float
     analyser: str
 
+    @property
+    def postings(self) -> DataFrame:
+        """lexeme, id, tf, length, total, positions: a row for each lexeme of each document."""
+        each = self.rows.select("id", "length", "total", F.explode(F.arrays_zip("lexemes", "tfs", "positions")).alias("_p"))
+        return each.select(F.col("_p.lexemes").alias("lexeme"), "id", F.col("_p.tfs").cast("long").alias("tf"), "length", "total", F.col("_p.positions").alias("positions"))
+
+
+def _lexemes_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("lexemes").alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("df"))
+
+
+def _set_of(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.sum("length").cast("double"), F.count("*")), F.lit(0.0)).alias("mean"))
+
 
 def fingerprint(docs: DataFrame, id: str, text: str) -> DataFrame:
     """One row that changes with the rows' number, ids or texts."""
@@ -98,14 +121,10 @@ def refresh(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "te
     now = fingerprint(docs, id, text)
     if any(tuple(r) == tuple(now.first()) for r in _if_there(spark, f"{folder}/fingerprint")):
         return False
-    # A lexeme that most rows have is parted by ids as well, or its task would write the most.
-    rows = postings(docs, id=id, text=text, analyser=analyser).withColumn("part", part_of(F.col("lexeme")))
-    rows = rows.repartition("part", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("part", "lexeme")
-    rows.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    stored = spark.read.parquet(f"{folder}/postings")
-    stored.groupBy("lexeme").agg(F.count("*").alias("df")).withColumn("part", part_of(F.col("lexeme"))).write.mode("overwrite").parquet(f"{folder}/lexemes")
-    sums = stored.agg(F.count("*").cast("double").alias("pairs")).join(docs.agg(F.count("*").alias("n")))
-    sums.select("n", F.coalesce(F.try_divide("pairs", "n"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{folder}/set")
+    document_rows(docs, id=id, text=text, analyser=analyser).write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    _lexemes_of(rows).write.mode("overwrite").parquet(f"{folder}/lexemes")
+    _set_of(rows).write.mode("overwrite").parquet(f"{folder}/set")
     now.write.mode("overwrite").parquet(f"{folder}/fingerprint")
     return True
 
@@ -119,17 +138,15 @@ def _if_there(spark: SparkSession, path: str) -> list:
 
 def stored(spark: SparkSession, folder: str, analyser: str = "plain") -> Index:
     n, mean = spark.read.parquet(f"{folder}/set").select("n", "mean").first()
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lexemes"), n, mean, analyser)
+    return Index(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/lexemes"), n, mean, analyser)
 
 
 def unstored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> Index:
-    """The same for one search, made from the rows themselves."""
-    rows = postings(docs, id=id, text=text, analyser=analyser).withColumn("part", part_of(F.col("lexeme")))
-    n, pairs = docs.count(), rows.count()
-    return Index(rows, rows.groupBy("lexeme", "part").agg(F.count("*").alias("df")), n, pairs / n if n else 0.0, analyser)
+    """The same for one search, made from the rows themselves each time that they are read."""
+    rows = document_rows(docs, id=id, text=text, analyser=analyser)
+    n, mean = _set_of(rows).first()
+    return Index(rows, _lexemes_of(rows), n, mean, analyser)
 
 
 def as_index(source: Index | DataFrame, id: str, text: str, analyser: str) -> Index:
     return source if isinstance(source, Index) else unstored(source, id=id, text=text, analyser=analyser)
-
-

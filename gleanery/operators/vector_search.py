@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, inner_product, l2_distance
 from ..sources.stored import written
-from .ranking import SCORE_DIGITS, top_k
+from .ranking import SCORE_DIGITS, best_rows, top_k
 
 #: Query vectors sent to the executors at once, in numbers; scores that a task makes at once.
 MOST_QUERY_NUMBERS, MOST_SCORES = 4_000_000, 4_000_000
@@ -69,16 +69,6 @@ METRICS: dict[str, tuple[Callable, bool, Callable | None]] = {
 }
 
 
-def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, sign: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of each query, ties by id."""
-    order = np.lexsort((ids, sign * np.round(scores, SCORE_DIGITS), query))
-    query, ids, scores = query[order], ids[order], scores[order]
-    starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if query.size else np.empty(0, np.int64)
-    place = np.arange(query.size) - np.repeat(starts, np.diff(np.append(starts, query.size)))
-    keep = place < k
-    return query[keep], ids[keep], scores[keep]
-
-
 def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str, vector: str, metric: str, qid_type) -> DataFrame:
     shipped = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
     measure, ascending, _ = METRICS[metric]
@@ -95,7 +85,7 @@ def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str
             for lo in range(0, len(block), step):
                 found = measure(q, block[lo : lo + step])
                 at, row = np.nonzero(sign * np.round(found, SCORE_DIGITS) <= worst[:, None])  # never true of not-a-number
-                query, ids, scores = _best(np.concatenate([query, at]), np.concatenate([ids, own[lo + row]]), np.concatenate([scores, found[at, row]]), k, sign)
+                query, ids, scores = best_rows(np.concatenate([query, at]), np.concatenate([ids, own[lo + row]]), np.concatenate([scores, found[at, row]]), k, sign)
                 counts = np.bincount(query, minlength=len(q))
                 full = np.flatnonzero(counts == k)
                 worst[full] = sign * np.round(scores[np.cumsum(counts)[full] - 1], SCORE_DIGITS)

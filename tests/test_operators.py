@@ -348,3 +348,42 @@ def test_filters(spark):
         filters.trailing_window("ts", "2024-01-01", 0)
     with pytest.raises(ValueError):
         filters.wanted_ids(rows, ["zz"], "company")
+
+
+def test_search_shuffles_nothing_but_the_best_of_each_task(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    folder = f"file://{tmp_path}/index"
+    search_index.refresh(docs, folder)
+    own = search_index.stored(spark, folder)
+    q = spark.createDataFrame([(1, 'goodwill "goodwill impairment"')], "qid long, question string")
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+    for search in (ks.bm25, ks.ts_rank, ks.cover_density):
+        for phrases in (False, True):
+            assert moved(search(q, own, 3, phrases=phrases)) == moved(search(q, docs, 3, phrases=phrases)) == 1
+    assert moved(ks.phrase_matches(q.select("qid", F.array(F.lit("goodwill impairment")).alias("phrases")), own)) == 0
+
+
+def test_quotes_are_found_in_one_scan(spark):
+    long = "ab " * 100_000 + "one two three two three"
+    docs = spark.createDataFrame([(1, long), (2, "One two three"), (3, None), (4, "x two three, two three y"), (5, "one two three one two three")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "one two three"), (2, "two three"), (3, "ab ab"), (4, ""), (5, "b ab ab")], "qid long, question string")
+    found = ks.quotes(q, docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        assert r.end - r.start == len({1: "one two three", 2: "two three", 3: "ab ab", 5: "b ab ab"}[r.qid])
+        got.setdefault((r.qid, r.id), []).append(r.start)
+    assert {k: sorted(v) for k, v in got.items() if k[0] < 3} == {(1, 1): [300000], (1, 5): [0, 14], (2, 1): [300004, 300014], (2, 2): [4], (2, 4): [2, 13], (2, 5): [4, 18]}
+    assert len(got[3, 1]) == 99_999 and len(got[5, 1]) == 99_998 and set(got) == {(1, 1), (1, 5), (2, 1), (2, 2), (2, 4), (2, 5), (3, 1), (5, 1)}
+
+
+def test_blocks_of_questions_give_the_same_hits(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(CORPUS * 3)), "doc_id long, text string")
+    q = spark.createDataFrame([(n, " ".join(CORPUS[n % 5].split()[: 1 + n % 3]) + (' "goodwill at" acme' if n == 3 else "")) for n in range(9)], "qid long, question string")
+    for search in (ks.bm25, ks.ts_rank, ks.cover_density):
+        rows = [sorted((r.qid, r.id, r.rank, round(r.score, 9)) for r in search(q, docs, 4, phrases=True).collect())]
+        monkeypatch.setattr(ks, "MOST_WEIGHTS", 4)
+        assert len(list(ks._terms(q, search_index.unstored(docs)).blocks())) > 3
+        rows.append(sorted((r.qid, r.id, r.rank, round(r.score, 9)) for r in search(q, docs, 4, phrases=True).collect()))
+        monkeypatch.undo()
+        assert rows[0] == rows[1] and not any(r[0] == 3 for r in rows[0])
