@@ -17,13 +17,13 @@ from ..functions.vectors import cosine, inner_product, l2_distance
 from ..sources.stored import written
 from .ranking import SCORE_DIGITS, best_rows, top_k
 
-#: Query vectors sent to the executors at once, in numbers; scores that a task makes at once.
-MOST_QUERY_NUMBERS, MOST_SCORES = 4_000_000, 4_000_000
+#: Query vectors sent to the executors at once, in numbers; scores that a task makes at once; rows that it keeps, k a query.
+MOST_QUERY_NUMBERS, MOST_SCORES, MOST_KEPT = 4_000_000, 1_000_000, 1_000_000
 
 
-def query_blocks(queries: DataFrame, most: int = MOST_QUERY_NUMBERS) -> Iterator[tuple[list, np.ndarray]]:
-    """Blocks of query ids and their matrix, of at most `most` numbers each, in the order of the ids: none is left out, and
-    the driver holds one block. queries: qid, qvec."""
+def query_blocks(queries: DataFrame, most: int = MOST_QUERY_NUMBERS, k: int = 1) -> Iterator[tuple[list, np.ndarray]]:
+    """Blocks of query ids and their matrix, of at most `most` numbers each, and of as many queries as a task can keep k rows
+    of, in the order of the ids: none is left out, and the driver holds one block. queries: qid, qvec."""
     ids: list = []
     vectors: list = []
     # One partition, so that the driver's iterator is one job; the task sorts it, on disk if need be.
@@ -32,7 +32,7 @@ def query_blocks(queries: DataFrame, most: int = MOST_QUERY_NUMBERS) -> Iterator
             raise ValueError("vectors of different dimensions")
         ids.append(qid)
         vectors.append(vector)
-        if (len(vectors) + 1) * len(vector) > most:
+        if (len(vectors) + 1) * len(vector) > most or (len(vectors) + 1) * k > MOST_KEPT:
             yield ids, np.array(vectors, np.float64)
             ids, vectors = [], []
     if ids:
@@ -69,29 +69,52 @@ METRICS: dict[str, tuple[Callable, bool, Callable | None]] = {
 }
 
 
-def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str, vector: str, metric: str, qid_type) -> DataFrame:
-    shipped = vectors.sparkSession.sparkContext.broadcast((qids, matrix))
+def _nearest(vectors: DataFrame, qids: list, matrix: np.ndarray, k: int, id: str, vector: str, metric: str, qid_type, probes: np.ndarray | None = None) -> DataFrame:
+    """qid, id, score, rank. probes: whether a query (row) looks at the vectors of a list (column); without, at all."""
+    shipped = vectors.sparkSession.sparkContext.broadcast((pa.array(qids, _ARROW[qid_type]), matrix, probes))
     measure, ascending, _ = METRICS[metric]
     sign = 1.0 if ascending else -1.0
 
     def score(batches):
-        names, q = shipped.value
+        names, q, probes = shipped.value
         query, ids, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         worst = np.full(len(q), np.inf)  # of each query the k-th best so far, the less the better
+        found: list[tuple] = []  # rows that may be among the best: they are sorted once they are as many as those kept
+        waiting = 0
+
+        def merge():
+            nonlocal query, ids, scores, found, waiting
+            query, ids, scores = best_rows(*(np.concatenate([kept, *new]) for kept, new in zip((query, ids, scores), zip(*found, strict=True), strict=True)), k, sign)
+            counts = np.bincount(query, minlength=len(q))
+            full = np.flatnonzero(counts == k)
+            worst[full] = sign * np.round(scores[np.cumsum(counts)[full] - 1], SCORE_DIGITS)
+            found, waiting = [], 0
+
+        every = np.arange(len(q))
         for batch in batches:
             good, block = matrix_of(batch.column(1), q.shape[1])
             own = batch.column(0).to_numpy(zero_copy_only=False)[good]
-            step = max(1, MOST_SCORES // len(q))
-            for lo in range(0, len(block), step):
-                found = measure(q, block[lo : lo + step])
-                at, row = np.nonzero(sign * np.round(found, SCORE_DIGITS) <= worst[:, None])  # never true of not-a-number
-                query, ids, scores = best_rows(np.concatenate([query, at]), np.concatenate([ids, own[lo + row]]), np.concatenate([scores, found[at, row]]), k, sign)
-                counts = np.bincount(query, minlength=len(q))
-                full = np.flatnonzero(counts == k)
-                worst[full] = sign * np.round(scores[np.cumsum(counts)[full] - 1], SCORE_DIGITS)
-        yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query.tolist()], _ARROW[qid_type]), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["qid", "id", "score"])
-
-    found = vectors.select(F.col(id).cast("long").alias("id"), vector).mapInArrow(score, f"qid {qid_type}, id long, score double")
+            if probes is None:
+                groups = [(block, own, every)]
+            else:
+                lists = batch.column(2).to_numpy()[good]
+                groups = [(block[lists == j], own[lists == j], np.flatnonzero(probes[:, j])) for j in np.unique(lists).tolist()]
+            for some, some_ids, asking in groups:
+                step = max(1, MOST_SCORES // max(1, asking.size))
+                for lo in range(0, len(some) if asking.size else 0, step):
+                    value = measure(q[asking], some[lo : lo + step])
+                    at, row = np.nonzero(sign * value <= worst[asking][:, None] + 1e-8)  # never true of not-a-number
+                    if at.size:
+                        found.append((asking[at], some_ids[lo + row], value[at, row]))
+                        waiting += at.size
+                    if waiting > max(MOST_SCORES // 4, query.size // 2):
+                        merge()
+        if found:
+            merge()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["qid", "id", "score"])
+
+    columns = [F.col(id).cast("long").alias("id"), vector, *(["list"] if probes is not None else [])]
+    found = vectors.select(*columns).mapInArrow(score, f"qid {qid_type}, id long, score double")
     return top_k(found, k, ascending=ascending).select("qid", "id", "score", "rank")
 
 
@@ -102,11 +125,11 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, id: str = "ve
     """qid, id, score, rank: the k nearest rows of vectors for each query. Filter vectors first to search among some.
 
     metric: cosine similarity, inner_product, or l2 and signs (distances: the least is best). More queries than fit into
-    `most` numbers are taken in blocks, a pass of the vectors each. Null vectors and those without length are never near;
+    `most` numbers, or than a task can keep k rows of, are taken in blocks, a pass of the vectors each. Null vectors and those without length are never near;
     vectors of different dimensions are an error."""
     kind = queries.schema["qid"].dataType.simpleString()
     out = None
-    for qids, matrix in query_blocks(queries, most):
+    for qids, matrix in query_blocks(queries, most, k):
         rows = _nearest(vectors, qids, matrix, k, id, vector, metric, kind)
         out = rows if out is None else out.unionByName(rows)
     return vectors.sparkSession.createDataFrame([], f"qid {kind}, id long, score double, rank int") if out is None else out
@@ -178,21 +201,20 @@ def stored_lists(spark, folder: str) -> tuple[DataFrame, np.ndarray]:
     return spark.read.parquet(f"{folder}/lists"), centre
 
 
-def _probe(plan: list[tuple], indexed: DataFrame, kind: str, id: str, vector: str) -> DataFrame:
-    """qid, id, score of the vectors in the lists that each query probes. plan: (qid, qvec, list)."""
-    small = F.broadcast(indexed.sparkSession.createDataFrame(plan, f"qid {kind}, qvec array<double>, list int"))
-    lists = sorted({p[2] for p in plan})
-    pairs = indexed.where(F.col("list").isin(lists)).select(F.col(id).alias("id"), F.col(vector).alias("_v"), "list").join(small, "list")
-    return pairs.select("qid", "id", cosine(F.col("qvec"), F.col("_v")).alias("score")).where("score IS NOT NULL")
+def _probe(near: np.ndarray, lists: int, indexed: DataFrame, qids: list, matrix: np.ndarray, k: int, kind: str, id: str, vector: str) -> DataFrame:
+    """qid, id, score, rank of the k nearest vectors in the lists that each query probes. near: a query's lists, in its row."""
+    probes = np.zeros((len(qids), lists), bool)
+    np.put_along_axis(probes, near, True, axis=1)
+    own = indexed.where(F.col("list").isin(np.flatnonzero(probes.any(axis=0)).tolist()))
+    return _nearest(own, qids, matrix, k, id, vector, "cosine", kind, probes)
 
 
 def probed_top_k(queries: DataFrame, indexed: DataFrame, centre: np.ndarray, k: int, probes: int, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate top k: each query looks at its `probes` nearest lists only."""
     kind, out = queries.schema["qid"].dataType.simpleString(), None
-    for qids, matrix in query_blocks(queries, MOST_QUERY_NUMBERS // probes):
+    for qids, matrix in query_blocks(queries, k=k):
         near = np.argsort(-(matrix @ centre.T), axis=1)[:, :probes]
-        plan = [(q, v.tolist(), int(j)) for q, v, own in zip(qids, matrix, near, strict=True) for j in own]
-        rows = top_k(_probe(plan, indexed, kind, id, vector), k).select("qid", "id", "score", "rank")
+        rows = _probe(near, len(centre), indexed, qids, matrix, k, kind, id, vector)
         out = rows if out is None else out.unionByName(rows)
     return indexed.sparkSession.createDataFrame([], f"qid {kind}, id long, score double, rank int") if out is None else out
 
@@ -202,12 +224,12 @@ def iterative_top_k(queries: DataFrame, indexed: DataFrame, centre: np.ndarray,
     many each round, until k rows passed or all lists are read. What a round found is written, and counted a query."""
     kind, out = queries.schema["qid"].dataType.simpleString(), []
     passing = indexed.where(keep)
-    for qids, matrix in query_blocks(queries, MOST_QUERY_NUMBERS // max(1, len(centre))):
+    for qids, matrix in query_blocks(queries, k=k):
         near = np.argsort(-(matrix @ centre.T), axis=1)
         done, step, rounds, open_ = 0, probes, [], set(range(len(qids)))
         while open_ and done < len(centre):
-            plan = [(qids[q], matrix[q].tolist(), int(j)) for q in sorted(open_) for j in near[q, done : done + step]]
-            rounds.append(written(top_k(_probe(plan, passing, kind, id, vector), k).select("qid", "id", "score")))
+            asking = sorted(open_)
+            rounds.append(written(_probe(near[asking, done : done + step], len(centre), passing, [qids[q] for q in asking], matrix[asking], k, kind, id, vector).select("qid", "id", "score")))
             every = rounds[0]
             for x in rounds[1:]:
                 every = every.unionByName(x)

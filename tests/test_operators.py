@@ -387,3 +387,38 @@ def test_blocks_of_questions_give_the_same_hits(spark, monkeypatch):
         rows.append(sorted((r.qid, r.id, r.rank, round(r.score, 9)) for r in search(q, docs, 4, phrases=True).collect()))
         monkeypatch.undo()
         assert rows[0] == rows[1] and not any(r[0] == 3 for r in rows[0])
+
+
+def test_a_task_keeps_a_bounded_number_of_rows(spark, sf_dir, monkeypatch):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    rows = lambda df: sorted((r.qid, r.id, r.rank, round(r.score, 9)) for r in df.collect())
+    whole = rows(vector_search.exact_top_k(q, v, 10))
+    monkeypatch.setattr(vector_search, "MOST_KEPT", 20)
+    monkeypatch.setattr(vector_search, "MOST_SCORES", 50)
+    assert max(len(ids) for ids, _ in vector_search.query_blocks(q, k=10)) == 2
+    assert rows(vector_search.exact_top_k(q, v, 10)) == whole
+
+
+def test_probing_all_lists_is_exact_and_multiplies_matrices(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    centre = vector_search.centroids(v, 4)
+    indexed = vector_search.inverted_lists(v, centre)
+    found = vector_search.probed_top_k(q, indexed, centre, 10, 4)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.qid, r.id, r.rank, round(r.score, 9)) for r in df.collect())
+    assert rows(found) == rows(vector_search.exact_top_k(q, v, 10))
+
+
+def test_texts_of_hits_stay_where_they_are(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string")
+    hits = spark.createDataFrame([(7, 2, 1.0, 1), (7, 1, 0.5, 2)], "qid long, id long, score double, rank int")
+    q = spark.createDataFrame([(7, "alpha beta")], "qid long, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fusion.rerank(hits, q, docs, 2, 2)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [id" in plan and "Exchange hashpartitioning(id" not in plan
+        assert [(r.id, r.rank) for r in fusion.rerank(hits, q, docs, 2, 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
