@@ -54,7 +54,8 @@ def lexical_overlap(question: Column, text: Column) -> Column:
 def rerank(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int, n: int, scorer=lexical_overlap) -> DataFrame:
     """qid, id, score, rank, first_rank: the first max(n, k) hits scored anew; ties keep their order."""
     rows = hits.where(F.col("rank") <= max(n, k)).select("qid", "id", F.col("rank").alias("first_rank"))
-    rows = rows.join(questions.select("qid", "question"), "qid").join(texts.select("id", "text"), "id").withColumn("score", scorer(F.col("question"), F.col("text")))
+    # The hits are few: texts stay where they are.
+    rows = texts.select("id", "text").join(F.broadcast(rows), "id").join(questions.select("qid", "question"), "qid").withColumn("score", scorer(F.col("question"), F.col("text")))
     return cut(ranked(rows, ["qid"], [F.round("score", 9).desc(), F.col("first_rank")]), k).select("qid", "id", "score", "rank", "first_rank")
 
 

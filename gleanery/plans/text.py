@@ -89,9 +89,8 @@ def sandwich_order(spark, d):
 
 
 def passages(spark, d, k: int = 5) -> DataFrame:
-    docs = table(spark, d, "documents")
     hits = ks.bm25(questions(spark, d), index(spark, d), k)
-    return hits.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    return ks.with_text(hits, table(spark, d, "documents"), ["text", "source"])
 
 
 def extractive_answer(spark, d):
