@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +38,39 @@ def question_lexemes(questions: DataFrame, text: Column, analyser: str, *columns
     return rows.withColumn("lexeme", stem_column("lexeme")) if analyser == "english" else rows
 
 
-def _rows_of(words: pa.ListArray, stems) -> list[pa.Array]:
-    """length, total, lexemes, tfs and positions of each text's words; stems turns an array of words into one of stems."""
-    coded = words.flatten().dictionary_encode()
+def _coded(words: pa.Array, stems) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, the number of each word among them, and which aren't null; stems turns an array of words into one of stems."""
+    coded = words.dictionary_encode()
     names, codes = coded.dictionary, coded.indices
     valid = np.asarray(codes.is_valid())
     codes = np.asarray(codes.fill_null(0), np.int64)
     if stems is not None and len(names):
         joined = stems(names).dictionary_encode()
         names, codes = joined.dictionary, np.asarray(joined.indices, np.int64)[codes]
+    return names, codes, valid
+
+
+def _counts_of(words: pa.ListArray, stems, only: pa.Array | None) -> list[pa.Array]:
+    """length, total, lexemes and tfs of each text's words. only: lexemes that lists are confined to; lengths count all."""
+    names, codes, valid = _coded(words.flatten(), stems)
+    sizes, n = np.asarray(words.value_lengths(), np.int64), max(1, len(names))
+    doc = np.repeat(np.arange(sizes.size), sizes)[valid]
+    key = np.sort(doc * n + codes[valid])
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else np.empty(0, np.int64)
+    tfs, key = np.diff(np.append(first, key.size)), key[first]
+    row, code = key // n, key % n
+    lengths = np.bincount(row, minlength=sizes.size)
+    if only is not None:
+        kept = np.asarray(pc.index_in(names, value_set=only).is_valid())[code] if len(names) else np.empty(0, bool)
+        row, code, tfs = row[kept], code[kept], tfs[kept]
+    outer = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=sizes.size))]), pa.int32())
+    lists = [names.take(pa.array(code)), pa.array(tfs, pa.int32())]
+    return [pa.array(lengths, pa.int32()), pa.array(np.bincount(doc, minlength=sizes.size), pa.int32()), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
+
+
+def _rows_of(words: pa.ListArray, stems) -> list[pa.Array]:
+    """length, total, lexemes, tfs and positions of each text's words."""
+    names, codes, valid = _coded(words.flatten(), stems)
     sizes = np.asarray(words.value_lengths(), np.int64)
     doc = np.repeat(np.arange(sizes.size), sizes)
     at = np.arange(doc.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
@@ -60,9 +85,13 @@ def _rows_of(words: pa.ListArray, stems) -> list[pa.Array]:
     return [pa.array(lengths, pa.int32()), pa.array(np.bincount(doc, minlength=sizes.size), pa.int32()), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
 
 
-def document_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> DataFrame:
+def document_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain", positions: bool = True, only: list[str] | None = None) -> DataFrame:
     """id, length (distinct lexemes), total (all lexemes), and side by side lexemes, tfs and positions (1-based; stop words
-    count): a row for each document, made where it is."""
+    count): a row for each document, made where it is. Without positions, lists can be confined to some lexemes."""
+    if only is not None and positions:
+        raise ValueError("only is for rows without positions")
+    own = None if only is None else pa.array(only, pa.string())
+    names = ["id", "length", "total", "lexemes", "tfs", *(["positions"] if positions else [])]
     kind = docs.schema[id].dataType.simpleString()
     known: dict[str, str] = {}
 
@@ -78,9 +107,11 @@ def document_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", an
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_rows_of(part.column(1), stems if analyser == "english" else None)], names=["id", "length", "total", "lexemes", "tfs", "positions"])
+                stemmer = stems if analyser == "english" else None
+                lists = _rows_of(part.column(1), stemmer) if positions else _counts_of(part.column(1), stemmer, own)
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=names)
 
-    return docs.select(F.col(id).alias("id"), analysed(F.col(text), analyser).alias("words")).mapInArrow(run, f"id {kind}, length int, total int, lexemes array<string>, tfs array<int>, positions array<array<int>>")
+    return docs.select(F.col(id).alias("id"), analysed(F.col(text), analyser).alias("words")).mapInArrow(run, f"id {kind}, length int, total int, lexemes array<string>, tfs array<int>{', positions array<array<int>>' if positions else ''}")
 
 
 @dataclass(frozen=True)
@@ -141,6 +172,15 @@ def stored(spark: SparkSession, folder: str, analyser: str = "plain") -> Index:
     return Index(spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/lexemes"), n, mean, analyser)
 
 
+def write_for(docs: DataFrame, folder: str, lexemes: list[str], *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> None:
+    """Writes what a batch of questions with these lexemes needs of the index of docs: lists of these lexemes alone, without
+    positions. Lengths, the number of rows and their average are those of the whole texts, so scores are the same."""
+    document_rows(docs, id=id, text=text, analyser=analyser, positions=False, only=lexemes).write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = docs.sparkSession.read.parquet(f"{folder}/rows")
+    _lexemes_of(rows).write.mode("overwrite").parquet(f"{folder}/lexemes")
+    _set_of(rows).write.mode("overwrite").parquet(f"{folder}/set")
+
+
 def unstored(docs: DataFrame, *, id: str = "doc_id", text: str = "text", analyser: str = "plain") -> Index:
     """The same for one search, made from the rows themselves each time that they are read."""
     rows = document_rows(docs, id=id, text=text, analyser=analyser)
