@@ -21,7 +21,9 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, at: str, start: s
 def as_of(points: DataFrame, marks: DataFrame, key: str, at: str, start: str, values: list[str], *, floor: bool = False) -> DataFrame:
     """points with the values of the last mark at or before them. floor: points before all marks get the first one.
 
-    One sort of both sides together, no pairs: marks carry their values forward along each key."""
+    One sort of both sides together, no pairs: marks carry their values forward along each key. Only marks of keys that
+    points have take part."""
+    marks = marks.join(points.select(key).distinct(), key, "left_semi")
     p = points.withColumns({"_at": F.col(at), "_kind": F.lit(1), "_mark": F.lit(None)}).select(key, "_at", "_kind", F.struct(*points.columns).alias("_point"), F.lit(None).cast(marks.select(F.struct(start, *values)).schema[0].dataType).alias("_mark"))
     m = marks.select(key, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(p.schema["_point"].dataType).alias("_point"), F.struct(start, *values).alias("_mark"))
     order = Window.partitionBy(key).orderBy("_at", "_kind")
