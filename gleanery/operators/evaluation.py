@@ -42,7 +42,7 @@ def gain(grade: Column, rank: Column) -> Column:
 
 def ideal_dcg(grades: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """qid, idcg@k: of the grades of every relevant chunk of the set (qid, grade), best first."""
-    ranked = grades.where("grade > 0").withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"))))
+    ranked = grades.where("grade > 0").withColumn("_rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade")))).where(F.col("_rn") <= max(cuts))
     return ranked.groupBy("qid").agg(*[F.sum(F.when(F.col("_rn") <= k, gain(F.col("grade"), F.col("_rn"))).otherwise(0.0)).alias(f"idcg@{k}") for k in cuts])
 
 
