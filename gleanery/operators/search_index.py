@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem, stem_column
-from ..functions.text import STOP_WORDS, lexemes
+from ..functions.text import LEXEME, STOP_WORDS, lexemes
 from ..settings import one_of
 
-#: Documents whose postings a task makes at once.
-SLICE = 1024
+#: Documents whose postings a task makes at once, and bytes of their texts.
+SLICE, SLICE_BYTES = 1024, 1 << 23
+#: Code points whose class is asked for in one row.
+PLANE = 1 << 16
 ANALYSERS = ("plain", "english")
 #: Stems that a worker remembers at a time.
 REMEMBERED = 200_000
@@ -38,12 +40,64 @@ def question_lexemes(questions: DataFrame, text: Column, analyser: str, *columns
     return rows.withColumn("lexeme", stem_column("lexeme")) if analyser == "english" else rows
 
 
+_LETTERS: dict[str, np.ndarray] = {}
+
+
+def letters_of(spark: SparkSession) -> np.ndarray:
+    """Of each code point whether it belongs to lexemes, as Spark's expression LEXEME says."""
+    own = spark.sparkContext.applicationId
+    if own not in _LETTERS:
+        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        planes = [(n, "".join(map(chr, every[lo : lo + PLANE]))) for n, lo in enumerate(range(0, len(every), PLANE))]
+        found = spark.createDataFrame(planes, "n int, s string").select("n", F.regexp_replace("s", LEXEME.removesuffix("+"), "").alias("rest")).collect()
+        letters = np.zeros(0x110000, bool)
+        letters[every] = True
+        for r in found:
+            letters[[ord(c) for c in r.rest]] = False
+        _LETTERS[own] = letters
+    return _LETTERS[own]
+
+
+def words_of(texts: pa.StringArray, letters: np.ndarray) -> pa.ListArray:
+    """The runs of letters of each text. Texts are looked at as bytes, all at once; none is null."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if data.size and data.max() < 0x80:
+        inside = letters[data]
+    else:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        inside = np.repeat(letters[points], 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+    begun = inside.copy()
+    begun[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < data.size]
+    begun[first] = inside[first]
+    starts = np.flatnonzero(begun)
+    kept = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(kept[starts] - 1, kept[-1:] if kept.size else 0).astype(np.int32)
+    words = pa.StringArray.from_buffers(starts.size, pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends), pa.int32()), words)
+
+
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch of at most SLICE rows and SLICE_BYTES of text, or one row."""
+    ends = np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + SLICE, batch.num_rows, max(lo + 1, int(np.searchsorted(ends, int(ends[lo]) + SLICE_BYTES, side="right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _coded(words: pa.Array, stems) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words, the number of each word among them, and which aren't null; stems turns an array of words into one of stems."""
+    """The distinct words, the number of each word among them, and which count; stems turns an array of words into one of
+    stems, and then stop words don't count."""
     coded = words.dictionary_encode()
-    names, codes = coded.dictionary, coded.indices
-    valid = np.asarray(codes.is_valid())
-    codes = np.asarray(codes.fill_null(0), np.int64)
+    names, codes = coded.dictionary, np.asarray(coded.indices, np.int64)
+    valid = np.ones(codes.size, bool)
+    if stems is not None and len(names):
+        valid = np.asarray(pc.index_in(names, value_set=pa.array(STOP_WORDS)).is_null())[codes]
     if stems is not None and len(names):
         joined = stems(names).dictionary_encode()
         names, codes = joined.dictionary, np.asarray(joined.indices, np.int64)[codes]
@@ -75,13 +129,17 @@ def _rows_of(words: pa.ListArray, stems) -> list[pa.Array]:
     doc = np.repeat(np.arange(sizes.size), sizes)
     at = np.arange(doc.size) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
     doc, at, key = doc[valid], at[valid], doc[valid] * max(1, len(names)) + codes[valid]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    width = int(at.max(initial=0)) + 1
+    if sizes.size * max(1, len(names)) * width < 1 << 62:
+        key, at = np.divmod(np.sort(key * width + at), width)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if key.size else np.empty(0, np.int64)
-    lengths = np.bincount(doc[order][first], minlength=sizes.size)
+    lengths = np.bincount(key[first] // max(1, len(names)), minlength=sizes.size)
     outer = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
     inner = np.append(first, key.size)
-    lists = [names.take(pa.array(key[first] % max(1, len(names)))), pa.array(np.diff(inner), pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(at[order], pa.int32()))]
+    lists = [names.take(pa.array(key[first] % max(1, len(names)))), pa.array(np.diff(inner), pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(at, pa.int32()))]
     return [pa.array(lengths, pa.int32()), pa.array(np.bincount(doc, minlength=sizes.size), pa.int32()), *[pa.ListArray.from_arrays(outer, x) for x in lists]]
 
 
@@ -103,15 +161,17 @@ def document_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", an
                 known[word] = stem(word)
         return pa.array([known[word] for word in words.to_pylist()], pa.string())
 
+    stemmer = stems if one_of("analyser", analyser, ANALYSERS) == "english" else None
+    letters = docs.sparkSession.sparkContext.broadcast(letters_of(docs.sparkSession))
+
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                stemmer = stems if analyser == "english" else None
-                lists = _rows_of(part.column(1), stemmer) if positions else _counts_of(part.column(1), stemmer, own)
+            for part in _slices(batch):
+                words = words_of(part.column(1), letters.value)
+                lists = _rows_of(words, stemmer) if positions else _counts_of(words, stemmer, own)
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=names)
 
-    return docs.select(F.col(id).alias("id"), analysed(F.col(text), analyser).alias("words")).mapInArrow(run, f"id {kind}, length int, total int, lexemes array<string>, tfs array<int>{', positions array<array<int>>' if positions else ''}")
+    return docs.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")).mapInArrow(run, f"id {kind}, length int, total int, lexemes array<string>, tfs array<int>{', positions array<array<int>>' if positions else ''}")
 
 
 @dataclass(frozen=True)
